@@ -408,6 +408,9 @@ ORACLES["exact_quantiles"] = """SELECT event_type, CAST(pos AS INT) AS pos, roun
 ORACLES["running_value"] = """SELECT event_id, count(*) OVER w AS n_upto, CAST(sum(CAST(floor(value) AS BIGINT)) OVER w AS BIGINT) AS value_upto
 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"""
 
+ORACLES["stream_hourly_volume"] = """SELECT strftime(ts, '%Y-%m-%d %H') AS hour_text, count(*) AS n,
+  CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS spend FROM events GROUP BY 1"""
+
 # --- Auctions -----------------------------------------------------------------------------
 
 add("advertisers_in_scope", "SELECT DISTINCT advertiser FROM imp WHERE date >= DATE '2024-01-26'")

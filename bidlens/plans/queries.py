@@ -19,6 +19,7 @@ from bidlens.operators import (auction, calibrate, features, labels, metrics, mo
 from bidlens.plans import event_logs as logs
 from bidlens.session import materialize, new_table_path
 from bidlens.sources import rawlogs, tables
+from bidlens.streaming import logs as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -853,6 +854,20 @@ def params_json(spark, d):
                                 F.coalesce("p.amount", "p.base", "p.low").alias("first_number")))
 
 
+# --- Streaming ------------------------------------------------------------------------
+
+@query
+def stream_hourly_volume(spark, d):
+    """Rows and spend per hour by a streaming aggregate over the event file."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    stream = (spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+              .selectExpr("ts as timestamp", "cast(floor(value) as bigint) as payprice"))
+    path = new_table_path(spark, "hourly-volume")
+    streaming.run_to_table(streaming.hourly_volume(stream), path, new_table_path(spark, "stream-state"))
+    stored = spark.read.parquet(path)
+    return stored.select(F.date_format("hour_start", "yyyy-MM-dd HH").alias("hour_text"), "n", "spend")
+
+
 # --- Models (compared by row count; their numbers are those of Spark's solvers) ------
 
 def _model_frames(spark, d):

@@ -58,6 +58,10 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDER[app]
 
 
+def folder_path(root: str, name: str) -> str:
+    return f"{root.rstrip('/')}/{name}"
+
+
 def new_table_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
 

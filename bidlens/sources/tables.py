@@ -25,15 +25,17 @@ def output_root(base: str, sample: bool = False) -> str:
     return f"{base.rstrip('/')}/{'sample' if sample else 'processed'}"
 
 
-def write_table(df: DataFrame, root: str, table: str, overwrite: bool = True) -> None:
+def write_table(df: DataFrame, root: str, table: str, overwrite: bool = True,
+                rebalance: bool = False) -> None:
     """Snappy Parquet under ``root/table/season=/date=``.
 
-    Only the partitions present in ``df`` are replaced.  The rebalance hint
-    gathers each day's rows into well-sized files and splits a day that holds
-    far more rows than the others.
+    Only the partitions present in ``df`` are replaced.  Raw files hold one day
+    each, so a task writes one day and nothing is shuffled.  For input whose days
+    are scattered over many tasks ``rebalance`` first gathers each day into
+    well-sized files and splits a day that holds far more rows than the others.
     """
-    (df.hint("rebalance", *schema.PARTITION_COLUMNS).write
-     .mode("overwrite" if overwrite else "append")
+    rows = df.hint("rebalance", *schema.PARTITION_COLUMNS) if rebalance else df
+    (rows.write.mode("overwrite" if overwrite else "append")
      .option("partitionOverwriteMode", "dynamic").option("compression", "snappy")
      .partitionBy(*schema.PARTITION_COLUMNS).parquet(f"{root}/{table}"))
 
@@ -94,10 +96,10 @@ def ledger_rows(source: DataFrame, stored: DataFrame, table: str) -> DataFrame:
                          F.coalesce("rows_out", F.lit(0)).alias("rows_out"))
 
 
-def write_counted(df: DataFrame, root: str, table: str, overwrite: bool = True) -> int:
+def write_counted(df: DataFrame, root: str, table: str, **options) -> int:
     """``write_table`` that also returns how many rows went in, from the same pass."""
     seen = Observation(f"{table}-rows")
-    write_table(df.observe(seen, F.count(F.lit(1)).alias("n")), root, table, overwrite)
+    write_table(df.observe(seen, F.count(F.lit(1)).alias("n")), root, table, **options)
     return seen.get["n"]
 
 
