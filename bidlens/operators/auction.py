@@ -6,11 +6,12 @@ budget is void, and from that row on the bidder takes no part at all.
 
 Costs are never negative, so the running cost only grows and "still bidding" is
 the same as "running cost within budget".  To find the last row of each run the
-pool is not sorted: costs are summed per hour, the one hour in which the budget
-gives out is looked at per second, that second per instant and id prefix, and
-only the last cell row by row.  Each step is a scan with map-side sums whose
-result is small, so neither a large advertiser nor a burst of rows in one
-second ends up in one task.
+pool is not sorted: costs are summed per hour, and only the one hour in which
+the budget gives out is looked at more closely.  While that cell still holds
+many rows it is cut finer (second, then instant with a growing id prefix); the
+last, small cell is gone through row by row.  Each step is a scan with map-side
+sums whose result is small, so neither a large advertiser nor a burst of rows in
+one instant ends up in one task.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from bidlens.session import materialize
 
 ABOVE_BID, ZERO_PRICE = "payprice_gt_bidprice", "payprice_zero"
 MAX_COLLIDING_KEYS = 20
+SMALL_CELL_ROWS = 1_000_000
 STRATEGIES = ["constant", "random", "linear_ctr"]
 RUN_KEY = ["advertiser", "run_id"]
 CELL_KEY = [*RUN_KEY, "budget_id"]
@@ -276,8 +278,9 @@ def _close_cells(cells: DataFrame, label: str) -> DataFrame:
     """Sums over the cells within budget, and the first cell (``cut``) that is not."""
     closed = cells.groupBy(*CELL_KEY, "run", "budget", "spent_before").agg(
         *[F.expr(f"coalesce(sum({c}) filter (where upto <= budget), 0) as {c}") for c in SUMS],
-        F.expr("sum(n) as n_all"), F.expr("min(cell) filter (where upto > budget) as cut"))
-    return materialize(closed, label)
+        F.expr("sum(n) as n_all"), F.expr("min(struct(cell, n)) filter (where upto > budget) as _first"))
+    return materialize(closed.withColumns({"cut": F.col("_first.cell"), "cut_rows": F.col("_first.n")})
+                       .drop("_first"), label)
 
 
 def _split_cut(pool: DataFrame, closed: DataFrame, outer: Column, cell: Column,
@@ -295,6 +298,13 @@ def _split_cut(pool: DataFrame, closed: DataFrame, outer: Column, cell: Column,
     return finer.withColumn("upto", running + F.col("spent_before"))
 
 
+def _finer_cells():
+    """Cells of the pool order, each one a part of the one before."""
+    yield second_number(F.col("timestamp"))
+    for width in (2, 4, 8, 16, 32):
+        yield F.struct("timestamp", F.substring("bidid", 1, width).alias("id_prefix"))
+
+
 # How many of the equal rows ending at running cost ``upto`` are still bid on.
 AFFORDABLE = """cast(case when upto - cost > budget then 0 when cost = 0 then {copies}
     else greatest(0, least({copies}, floor((budget - (upto - cost)) * {copies} / nullif(cost, 0))))
@@ -309,29 +319,31 @@ def _last_rows(cells: DataFrame) -> DataFrame:
     """
     stepped = cells.withColumn("_taken", F.expr(AFFORDABLE.format(copies="n")))
     parts = [F.expr(f"sum({c} div n * _taken) as {c}") for c in ("won", "clicks", "cost")]
-    return stepped.groupBy(*CELL_KEY).agg(F.expr("sum(_taken) as n"), *parts)
+    return stepped.groupBy(*CELL_KEY).agg(
+        F.expr("sum(_taken) as n"), *parts, F.expr("min(cell.timestamp) filter (where _taken < n) as stop"))
 
 
 def settle(pool: DataFrame, runs: DataFrame, budgets: DataFrame, tiebreak: Sequence[str] = (),
-           seed: int = 42, hours: DataFrame | None = None) -> DataFrame:
+           seed: int = 42, hours: DataFrame | None = None, small_cell: int = SMALL_CELL_ROWS) -> DataFrame:
     """Outcome of every run under every budget of its advertiser, one row each.
 
     ``runs``: advertiser, run_id, strategy and its parameters.  ``budgets``:
     advertiser, budget_id, budget.  Both should be stored tables (see
     ``session.materialize``) unless they are literal.  Pass ``hours`` to reuse
-    ``hourly_outcome``.
+    ``hourly_outcome``.  Cells of up to ``small_cell`` rows are sorted as they are.
     """
     hours = hourly_outcome(pool, runs, tiebreak, seed) if hours is None else hours
-    hour, second = hour_number(F.col("timestamp")), second_number(F.col("timestamp"))
-    instant = F.struct("timestamp", F.substring("bidid", 1, 2).alias("id_prefix"))
     row = F.struct("timestamp", "bidid", *tiebreak, "payprice", "click",
                    *[c for c in ("p_click",) if c in pool.columns])
     first = hours.join(check_budgets(budgets).select("advertiser", "budget_id", "budget"), "advertiser").withColumns(
         {"cell": F.col("hour"), "spent_before": F.lit(0).cast("long")})
-    by_hour = _close_cells(first, "cut-hour")
-    by_second = _close_cells(_split_cut(pool, by_hour, hour, second, tiebreak, seed), "cut-second")
-    by_instant = _close_cells(_split_cut(pool, by_second, second, instant, tiebreak, seed), "cut-instant")
-    rest = _last_rows(_split_cut(pool, by_instant, instant, row, tiebreak, seed))
+    closed, outer = [_close_cells(first, "cut-hour")], hour_number(F.col("timestamp"))
+    for cell in _finer_cells():
+        if (closed[-1].agg(F.max("cut_rows")).first()[0] or 0) <= small_cell:
+            break
+        closed.append(_close_cells(_split_cut(pool, closed[-1], outer, cell, tiebreak, seed), "cut-finer"))
+        outer = cell
+    rest = _last_rows(_split_cut(pool, closed[-1], outer, row, tiebreak, seed))
 
     def gains(part: DataFrame, **more: Column) -> DataFrame:
         extra = {"impressions_pool": F.lit(0), "stop": F.lit(None), "budget": F.lit(None), **more}
@@ -342,8 +354,8 @@ def settle(pool: DataFrame, runs: DataFrame, budgets: DataFrame, tiebreak: Seque
     every = runs.select(*RUN_KEY).join(check_budgets(budgets), "advertiser")
     nothing = every.withColumns({c: F.lit(0).cast("long") for c in SUMS})
     total = gains(nothing, budget=F.col("budget"))
-    for part in (gains(by_hour, impressions_pool=F.col("n_all")), gains(by_second),
-                 gains(by_instant, stop=F.col("cut.timestamp")), gains(rest)):
+    for part in (gains(closed[0], impressions_pool=F.col("n_all")), *map(gains, closed[1:]),
+                 gains(rest, stop=F.col("stop"))):
         total = total.unionByName(part)
     return run_metrics(total.groupBy(*CELL_KEY).agg(
         *[F.sum(c).alias(c) for c in [*SUMS, "impressions_pool"]],

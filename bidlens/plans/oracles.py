@@ -107,6 +107,9 @@ add("parse_raw_lines", f"""SELECT event_id, bidid,
   {_md5_bucket('domain')} AS domain_hash, url, urlid, slotid, slotwidth, slotheight, slotvisibility, slotformat,
   slotprice, creative, bidprice, payprice, keypage, CAST(NULL AS BIGINT) AS keypage_hash, advertiser, usertag,
   season, date FROM imp""")
+add("parse_bid_lines", f"""SELECT season, date, count(*) AS n, CAST(sum(bidprice) AS BIGINT) AS bidprice_total,
+  CAST(sum(slotprice) AS BIGINT) AS slotprice_total, count(adexchange) AS with_exchange, count(usertag) AS with_tags,
+  count(DISTINCT {_md5_bucket('userid')}) AS user_buckets FROM bids GROUP BY season, date""")
 add("stored_table_roundtrip", """SELECT season, date, advertiser, count(*) AS n, CAST(sum(payprice) AS BIGINT) AS spend
 FROM clk WHERE date >= DATE '2024-01-10' GROUP BY ALL""")
 add("load_ledger", """SELECT 'impressions' AS table_name, season, date, count(*) AS rows_in, count(*) AS rows_out
@@ -399,8 +402,9 @@ _T = "(1 / (1 + 0.2316419 * abs(z)))"
 add("auc_difference", f"""SELECT round(d, 6) AS difference, round(se, 6) AS se, round(d - 1.96 * se, 6) AS ci_low, round(d + 1.96 * se, 6) AS ci_high,
   round(z, 6) AS z, round(2 * exp(-z * z / 2) / sqrt(2 * pi()) * (0.319381530 * {_T} - 0.356563782 * {_T}**2 + 1.781477937 * {_T}**3
     - 1.821255978 * {_T}**4 + 1.330274429 * {_T}**5), 6) AS p_value
-FROM (SELECT *, d / se AS z FROM (SELECT u.auc - s.auc AS d, sqrt(u.se * u.se + s.se * s.se) AS se
-  FROM errs u, errs s WHERE u.definition = 'sampled train' AND s.definition = 'sampled train' AND u.bucket = 'unseen' AND s.bucket = 'seen'))""",
+FROM (SELECT *, d / se AS z FROM (SELECT max(auc) FILTER (WHERE bucket = 'unseen') - max(auc) FILTER (WHERE bucket = 'seen') AS d,
+  sqrt(max(se * se) FILTER (WHERE bucket = 'unseen') + max(se * se) FILTER (WHERE bucket = 'seen')) AS se
+  FROM errs WHERE definition = 'sampled train'))""",
     *_SEEN_PARTS)
 ORACLES["exact_quantiles"] = """SELECT event_type, CAST(pos AS INT) AS pos, round(value, 6) AS value FROM (
   SELECT event_type, unnest(q) AS value, unnest(range(7)) AS pos FROM (

@@ -149,7 +149,7 @@ def parse_raw_lines(spark, d):
 @query
 def parse_bid_lines(spark, d):
     lines = logs.raw_lines(logs.bids(spark, d), "bid")
-    typed = rawlogs.parse_lines(lines, "bid", keep=logs.KEEP)
+    typed = rawlogs.parse_lines(lines, "bid", keep=logs.KEEP, bucket=cleaning.hash_bucket_md5)
     return typed.groupBy("season", "date").agg(
         F.count("*").alias("n"), F.sum("bidprice").alias("bidprice_total"),
         F.sum("slotprice").alias("slotprice_total"), F.count("adexchange").alias("with_exchange"),

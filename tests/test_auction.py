@@ -140,8 +140,8 @@ def brute_force(rows, bid_of, budget):
     return on, won, clicks, spent, stop
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_against_brute_force_with_hot_groups(spark, seed):
+@pytest.mark.parametrize("seed,small_cell", [(0, 0), (1, 0), (2, 150), (3, 1_000_000)])
+def test_against_brute_force_with_hot_groups(spark, seed, small_cell):
     """A third of all rows share one instant, many rows are exact copies, ids share prefixes."""
     rng = random.Random(seed)
     rows = []
@@ -158,7 +158,8 @@ def test_against_brute_force_with_hot_groups(spark, seed):
     limits = [0.0, 37.0, 500.5, 1500.0, 2600.0, 1e9]
     money = spark.createDataFrame([(a, str(i), b) for a in "12" for i, b in enumerate(limits)],
                                   "advertiser string, budget_id string, budget double")
-    got = {(r.advertiser, r.run_id, r.budget_id): r for r in auction.settle(df, table, money, ["event_id"]).collect()}
+    got = {(r.advertiser, r.run_id, r.budget_id): r for r in auction.settle(
+        df, table, money, ["event_id"], small_cell=small_cell).collect()}
     assert len(got) == 24
     for (adv, run, b), r in got.items():
         mine = [x for x in rows if x[0] == adv]
@@ -187,14 +188,12 @@ def test_equal_bounds_are_a_constant(spark):
 
 
 def test_zero_mean_probability_is_refused(spark):
-    one = sweep.Sweep.__new__(sweep.Sweep)
     stats = spark.createDataFrame([("1458", [1.0] * 6, 0.0, 10)],
                                   "advertiser string, quantiles array<double>, mean_p_click double, historical_spend long")
     grid = sweep.sweep_grid(stats)
     assert grid.count() == 16 and grid.where("strategy = 'linear_ctr' and base is null").count() == 6
     with pytest.raises(Exception, match="at least 0"):
         auction.settle(pool(spark, [10], p=[0.0]), grid, budgets(spark, 10)).collect()
-    del one
 
 
 def test_hourly_spend_carries_forward(spark):
