@@ -27,6 +27,9 @@ def ingest(spark: SparkSession, raw_root: str, base: str, *, seasons: Sequence[i
     files = rawlogs.discover_files(spark, raw_root, seasons, log_types).withColumn("table_name", names[F.col("log_type")])
     todo = files if overwrite else tables.pending(files, tables.read_ledger(spark, ledger_path))
     listing = todo.select("path", "table_name", "season", "date").collect()  # file names only
+    # Counting while writing uses an observation.  A session that ever held one cannot
+    # ship a fitted model to its tasks, so the loads run in a session of their own.
+    loader = spark.newSession()
     result = None
     for log_type in log_types:
         table = schema.TABLE_OF_LOG_TYPE[log_type]
@@ -35,7 +38,7 @@ def ingest(spark: SparkSession, raw_root: str, base: str, *, seasons: Sequence[i
             continue
         paths = [f["path"] for f in mine]
         days = sorted({(f["season"], f["date"]) for f in mine})
-        lines = rawlogs.sample_lines(spark, paths) if sample_run else rawlogs.read_lines(spark, paths)
+        lines = rawlogs.sample_lines(loader, paths) if sample_run else rawlogs.read_lines(loader, paths)
         seen = Observation(f"{table}-in")
         per_day = [F.count_if((F.col("season") == s) & (F.col("date") == F.lit(d))).alias(f"d{i}")
                    for i, (s, d) in enumerate(days)]
