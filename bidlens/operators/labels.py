@@ -23,7 +23,7 @@ def with_label(rows: DataFrame, positives: DataFrame, label: str = "click",
 def label_counts(rows: DataFrame, positives: DataFrame, key: str = "bidid") -> DataFrame:
     """Second, independent count of labelled rows, by way of a semi join."""
     total = rows.agg(F.count("*").alias("n_rows"))
-    hits = rows.join(positives.select(key), key, "left_semi").agg(F.count("*").alias("n_positive"))
+    hits = rows.join(positives.select(key).distinct(), key, "left_semi").agg(F.count("*").alias("n_positive"))
     return total.select("n_rows", hits.scalar().alias("n_positive"))
 
 
@@ -89,4 +89,4 @@ def bid_log_match(impressions: DataFrame, bids: DataFrame, key: str = "bidid",
 
 def rows_with_partner(rows: DataFrame, others: DataFrame, key: str = "bidid") -> DataFrame:
     """Rows whose key occurs in another log (a semi join, so none multiplies)."""
-    return rows.join(others.select(key), key, "left_semi")
+    return rows.join(others.select(key).distinct(), key, "left_semi")
