@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidlens.llm import exact_dedup, sharding, warc
+from bidlens.llm import bpe, exact_dedup, packing, quality, sharding, warc
 from bidlens.llm.tables import read
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -17,13 +17,32 @@ def op1_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.assign(read(spark, d, "documents").select("doc_id"), ["doc_id"], SHARDS)
 
 
+def word_file() -> str:
+    """The tokenizer file, as the installed package of public tokenizers places it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_bpe(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.round_trip_digests(read(spark, d, "documents"), word_file())
+
+
+def op3_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(read(spark, d, "documents"), word_file())
+
+
 def op4_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, d, "documents"))
 
 
+def op5_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.score(read(spark, d, "documents"), read(spark, d, "labels"))
+
+
 def op10_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc.archive_pages(read(spark, d, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op4_exact_dedup, op10_warc)}
+    f.__name__: f for f in (op1_sharding, op2_bpe, op3_packing, op4_exact_dedup, op5_quality, op10_warc)}
