@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bidlens.llm import bpe, exact_dedup, packing, quality, sharding, warc
+from bidlens.llm import bpe, chat, exact_dedup, packing, quality, sharding, topk, warc
 from bidlens.llm.tables import read
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -40,9 +41,26 @@ def op5_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.score(read(spark, d, "documents"), read(spark, d, "labels"))
 
 
+def op7_topk(spark: SparkSession, d: str) -> DataFrame:
+    return topk.top_k(read(spark, d, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+CONTROL_TEXT = r"\### Assistant: </turn> ok"
+
+
+def op9_chat(spark: SparkSession, d: str) -> DataFrame:
+    """All conversations and one, number -7, whose texts hold the template's own control strings."""
+    added = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    rows = read(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat.format_and_read_back(chat.events_of_rows(rows))
+
+
 def op10_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc.archive_pages(read(spark, d, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_bpe, op3_packing, op4_exact_dedup, op5_quality, op10_warc)}
+    f.__name__: f for f in (op1_sharding, op2_bpe, op3_packing, op4_exact_dedup, op5_quality, op7_topk, op9_chat,
+    op10_warc)}
