@@ -282,23 +282,24 @@ def slices(texts: pa.Array | pa.ChunkedArray, chars: int = SLICE_CHARS) -> Itera
         yield start, held
 
 
-def _with_ids(path: str, make: Callable[[TrieEncoder, bytes], tuple], schema: pa.Schema):
-    """Batches of (doc, text) to batches of (doc, what ``make`` gives for the text's ids)."""
+Field = tuple[str, pa.DataType, T.DataType]
+
+
+def _encoded(docs: DataFrame, text: str, path: str, make: Callable[[TrieEncoder, bytes], tuple],
+             fields: list[Field], doc: Column, doc_type: T.DataType) -> DataFrame:
+    """``doc`` of every row, and what ``make`` gives for the ids of its text."""
+    names = ["doc", *[name for name, _, _ in fields]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
         for batch in batches:
             for start, texts in slices(batch.column(1)):
                 rows = [make(tool, ids) for ids in tool.encode_batch(texts)]
-                made = [pa.array(values, f.type) for values, f in zip(zip(*rows), list(schema)[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *made], schema=schema)
-    return run
+                made = [pa.array(values, kind) for values, (_, kind, _) in zip(zip(*rows), fields)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *made], names=names)
 
-
-def _encoded(docs: DataFrame, text: str, path: str, make, fields: list[tuple[str, pa.DataType, T.DataType]],
-             id_type: tuple[pa.DataType, T.DataType], doc: Column) -> DataFrame:
-    arrow = pa.schema([("doc", id_type[0]), *[(n, a) for n, a, _ in fields]])
-    spark = T.StructType([T.StructField("doc", id_type[1]), *[T.StructField(n, t) for n, _, t in fields]])
-    return docs.select(doc.alias("doc"), F.col(text).alias("text")).mapInArrow(_with_ids(path, make, arrow), spark)
+    schema = T.StructType([T.StructField("doc", doc_type), *[T.StructField(n, t) for n, _, t in fields]])
+    return docs.select(doc.alias("doc"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def _ids_of(tool: TrieEncoder, ids: bytes) -> tuple:
@@ -307,12 +308,9 @@ def _ids_of(tool: TrieEncoder, ids: bytes) -> tuple:
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """All columns of ``docs`` as ``doc``, with ``ids`` (binary, little-endian unsigned 32-bit)."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    whole = packed(docs).schema["doc"].dataType
-    return _encoded(docs, text, path, _ids_of, [("ids", pa.binary(), T.BinaryType())],
-                    (to_arrow_type(whole, timezone="UTC"), whole),
-                    F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in docs.columns]))
+    whole = F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in docs.columns])
+    return _encoded(docs, text, path, _ids_of, [("ids", pa.binary(), T.BinaryType())], whole,
+                    packed(docs).schema["doc"].dataType)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -331,7 +329,7 @@ def _digests(tool: TrieEncoder, ids: bytes) -> tuple:
 
 def round_trip_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes and decodes every text in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    fields = [("n_tokens", pa.int64(), T.LongType()), ("ids_sha256", pa.string(), T.StringType()),
-              ("decoded_sha256", pa.string(), T.StringType())]
-    return _encoded(docs, text, path, _digests, fields, (pa.int64(), T.LongType()),
-                    F.col(doc_id).cast("long")).withColumnRenamed("doc", "doc_id")
+    fields: list[Field] = [("n_tokens", pa.int64(), T.LongType()), ("ids_sha256", pa.string(), T.StringType()),
+                           ("decoded_sha256", pa.string(), T.StringType())]
+    return _encoded(docs, text, path, _digests, fields, F.col(doc_id), docs.schema[doc_id].dataType
+                    ).withColumnRenamed("doc", "doc_id")

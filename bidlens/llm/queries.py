@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlens.llm import bpe, chat, exact_dedup, packing, pii, quality, sharding, topk, warc
+from bidlens.llm import bpe, chat, exact_dedup, near_dedup, packing, pii, quality, sharding, topk, warc
 from bidlens.llm.tables import read
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -41,6 +41,10 @@ def op5_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.score(read(spark, d, "documents"), read(spark, d, "labels"))
 
 
+def op6_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return near_dedup.near_groups(read(spark, d, "documents"))
+
+
 def op7_topk(spark: SparkSession, d: str) -> DataFrame:
     return topk.top_k(read(spark, d, "embeddings"), F.col("id") % 20 == 0, k=20)
 
@@ -66,5 +70,5 @@ def op10_warc(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_bpe, op3_packing, op4_exact_dedup, op5_quality, op7_topk, op8_pii, op9_chat,
+    f.__name__: f for f in (op1_sharding, op2_bpe, op3_packing, op4_exact_dedup, op5_quality, op6_near_dedup, op7_topk, op8_pii, op9_chat,
     op10_warc)}
