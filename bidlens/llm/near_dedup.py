@@ -5,17 +5,17 @@ are one class and only its representative goes on, so copies never meet in pairs
 A class has a signature of ``HASHES`` minima.  Each of ``TREES`` sorted orders
 starts at another place of the signature; classes that share the first ``DEPTH``
 minima of an order are a region of it.  Depth is adaptive: a region of few classes
-is compared as a whole; in a larger one the order by the further minima goes on,
-and a class meets its neighbours with the longest common prefix, plus the class
-of the region that has most likely links so far.  A hub that a large group of
-copies was made from is found that way by every copy.  Candidates per class and
-order are a fixed number, however large its region is, and a region may lie in
-several tasks: orders are range-partitioned, and the ends of the ranges are
-compared as well.
-
-Candidates pass a sketch (one byte of each minimum) that a link fails with a
-probability below 1e-7, and are then confirmed on the full sets, which are built
-again for the documents concerned only.  Links make components by alternating
+is compared as a whole; a larger one is sorted by the further minima, cut into
+runs of a bounded length, and in a run a class meets the neighbours with the
+longest common prefix, the closest by sketch (one byte of each minimum), and the
+run's hubs, the classes closest to what most of it agrees on.  A text that a
+large group of copies was made from is such a hub.  Candidates per class and
+order are a fixed number, however large its region is; orders are
+range-partitioned, so a very large region lies in many tasks.
+
+Candidates must agree in their sketches in a number of places that a link misses
+with a probability below 1e-7, and are then confirmed on the full sets, which are
+built again for the documents concerned only.  Links make components by alternating
 star contraction, one stored table per step.
 
 A pair at the threshold shares no region in any order with probability
@@ -38,21 +38,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidlens.llm.tables import null_last, packed, unpacked
-from bidlens.operators.prefix import BLOCK, place_in_blocks
 from bidlens.session import materialize
 
 WORDS = 5
 THRESHOLD = 75  # per cent
 TREES, DEPTH = 32, 4
 HASHES = TREES * DEPTH
-NEIGHBOURS = 3
+WHOLE_REGION, LONGEST_RUN = 8, 1024
+NEIGHBOURS, CLOSEST, HUBS = 2, 3, 2
 LEAST_AGREEING = 68  # of HASHES: 5.7 standard deviations below the mean at the threshold
-LIKELY_AGREEING = 92
 BITMAP_BITS = 24
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RANDOM = np.random.default_rng(20240101)
@@ -132,70 +131,75 @@ def set_classes(signed: DataFrame, doc_id: str) -> DataFrame:
 
 
 def region_members(classes: DataFrame) -> DataFrame:
-    """region, size, digest, n, label of every class in a region of two or more; ``label`` orders a region."""
+    """region, label, digest, n, sketch of every class in a region of two or more; ``label`` orders a region."""
     width = 4 * DEPTH
     twice = F.concat("minima", "minima")
     places = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(
         F.xxhash64(t, F.substring(twice, t * width + 1, F.lit(width))).alias("region"),
         F.substring(twice, (t + 1) * width + 1, F.lit(width)).alias("label")))
-    placed = classes.select("digest", "n", F.explode(places).alias("p")).select("p.region", "p.label", "digest", "n")
-    sizes = materialize(placed.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"), "regions")
-    return materialize(placed.join(sizes, "region"), "members")
+    placed = classes.select("digest", F.explode(places).alias("p")).select("p.region", "p.label", "digest")
+    shared = materialize(placed.groupBy("region").agg(F.count("*").alias("size")).where("size > 1").select("region"), "regions")
+    return materialize(placed.join(shared, "region").join(classes.select("digest", "n", "sketch"), "digest")
+                       .select("region", "label", "digest", "n", "sketch"), "members")
 
 
-def _pairs(left: Column, right: Column, left_n: Column, right_n: Column) -> Column:
-    """A pair in a fixed order, or NULL where the sizes alone rule a link out."""
-    possible = (F.least(left_n, right_n) * 100 >= F.greatest(left_n, right_n) * THRESHOLD) & (left != right)
-    return F.when(possible, F.struct(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")))
+def chunk_pairs(sketches: np.ndarray) -> np.ndarray:
+    """Index pairs worth comparing in a run of one region, in the order's sequence; shape (pairs, 2).
 
-
-def neighbour_pairs(members: DataFrame) -> DataFrame:
-    """Classes next to each other in an order: ``NEIGHBOURS`` before each, across tasks as well."""
+    Few classes: all pairs.  More: neighbours with the longest common prefix, the
+    closest by sketch, and the two classes closest to what most of the run agrees
+    on, which is where the original of a large group of copies shows.
+    """
+    m = len(sketches)
+    if m <= WHOLE_REGION:
+        return np.argwhere(np.triu(np.ones((m, m), bool), 1))
+    places = np.arange(m)
+    common = np.bincount((sketches + np.arange(HASHES, dtype=np.int64) * 256).ravel(), minlength=HASHES * 256)
+    hubs = np.argsort(-(sketches == common.reshape(HASHES, 256).argmax(1)).sum(1), kind="stable")[:HUBS]
+    found = [np.column_stack([places[:-k], places[k:]]) for k in range(1, NEIGHBOURS + 1)]
+    found += [np.column_stack([places, np.full(m, hub)]) for hub in hubs]
+    for start in range(0, m, 64):
+        agreeing = (sketches[start:start + 64, None, :] == sketches[None, :, :]).sum(2)
+        rows = places[start:start + 64]
+        agreeing[np.arange(len(rows)), rows] = -1
+        close = np.argpartition(-agreeing, CLOSEST - 1, axis=1)[:, :CLOSEST]
+        found.append(np.column_stack([np.repeat(rows, CLOSEST), close.ravel()]))
+    return np.concatenate(found)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted members to likely pairs (a, b); holds one run of a region at a time."""
+    def pairs(run: list[tuple]) -> pa.RecordBatch | None:
+        if len(run) < 2:
+            return None
+        sketches = np.frombuffer(b"".join(r[2] for r in run), np.uint8).reshape(-1, HASHES)
+        n = np.array([r[1] for r in run], np.int64)
+        left, right = chunk_pairs(sketches).T
+        small, large = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
+        good = (left != right) & (100 * small >= THRESHOLD * large)
+        good[good] = (sketches[left[good]] == sketches[right[good]]).sum(1) >= LEAST_AGREEING
+        if not good.any():
+            return None
+        made = {(min(run[i][0], run[j][0]), max(run[i][0], run[j][0])) for i, j in zip(left[good], right[good])}
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*made)], names=["a", "b"])
+
+    region, run = None, []
+    for batch in batches:
+        for now, *member in zip(*[column.to_pylist() for column in batch.columns]):
+            if now != region or len(run) >= LONGEST_RUN:
+                if (out := pairs(run)) is not None:
+                    yield out
+                region, run = now, []
+            run.append(member)
+    if (out := pairs(run)) is not None:
+        yield out
+
+
+def candidate_pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) whose sketches make a link possible."""
     order = ["region", "label", "digest"]
-    placed = place_in_blocks(members, order, "orders")
-    inside = Window.partitionBy(BLOCK, "region").orderBy("label", "digest")
-    before = [F.struct(F.lag("digest", k).over(inside).alias("digest"), F.lag("n", k).over(inside).alias("n"))
-              for k in range(1, NEIGHBOURS + 1)]
-    near = (placed.select("digest", "n", F.array(*before).alias("before"))
-            .select("digest", "n", F.explode("before").alias("o")).where("o.digest IS NOT NULL")
-            .select(_pairs(F.col("o.digest"), F.col("digest"), F.col("o.n"), F.col("n")).alias("pair")))
-    here = F.struct(*order, "n")
-    ends = placed.groupBy(BLOCK).agg(F.min(here).alias("head"), F.max(here).alias("tail"))
-    follow = Window.orderBy(BLOCK)  # one row per block
-    across = (ends.select("head", F.lag("tail").over(follow).alias("tail")).where("head.region = tail.region")
-              .select(_pairs(F.col("tail.digest"), F.col("head.digest"), F.col("tail.n"), F.col("head.n")).alias("pair")))
-    return near.unionByName(across).where("pair IS NOT NULL").select("pair.a", "pair.b").distinct()
-
-
-def sketched_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose sketches agree often enough, with the number of agreeing places."""
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HASHES) for i in (2, 3))
-            agreeing = (x == y).sum(1)
-            at = pa.array(np.flatnonzero(agreeing >= LEAST_AGREEING))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(agreeing, pa.int32()).take(at)],
-                names=["a", "b", "agreeing"])
-
-    known = classes.select("digest", "sketch")
-    both = (pairs.join(known.withColumnsRenamed({"digest": "a", "sketch": "left_sketch"}), "a")
-            .join(known.withColumnsRenamed({"digest": "b", "sketch": "right_sketch"}), "b"))
-    return both.select("a", "b", "left_sketch", "right_sketch").mapInArrow(compare, "a binary, b binary, agreeing int")
-
-
-def hub_pairs(members: DataFrame, likely: DataFrame) -> DataFrame:
-    """Every class of a larger region with the class of it that has most likely links."""
-    ends = likely.where(F.col("agreeing") >= LIKELY_AGREEING).select(F.explode(F.array("a", "b")).alias("digest"))
-    degrees = materialize(ends.groupBy("digest").agg(F.count("*").alias("degree")), "degrees")
-    large = members.where(F.col("size") > NEIGHBOURS + 1).select("region", "digest", "n")
-    hubs = materialize(large.join(degrees, "digest").groupBy("region").agg(
-        F.max(F.struct("degree", "digest", "n")).alias("hub")), "hubs")
-    return (large.join(hubs, "region")
-            .select(_pairs(F.col("hub.digest"), F.col("digest"), F.col("hub.n"), F.col("n")).alias("pair"))
-            .where("pair IS NOT NULL").select("pair.a", "pair.b").distinct())
+    sorted_members = members.repartitionByRange(*order).sortWithinPartitions(*order)
+    return sorted_members.select("region", "digest", "n", "sketch").mapInArrow(_candidates, "a binary, b binary").distinct()
 
 
 def full_sets(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -281,9 +285,7 @@ def _with_components(docs: DataFrame, keep: list[str], text: str, doc_id: str) -
     signed = with_signatures(docs, keep, text)
     classes = set_classes(signed, doc_id)
     members = region_members(classes)
-    likely = materialize(sketched_pairs(neighbour_pairs(members), classes), "neighbours")
-    hubs = sketched_pairs(hub_pairs(members, likely), classes)
-    pairs = materialize(likely.select("a", "b").unionByName(hubs.select("a", "b")).distinct(), "candidates")
+    pairs = materialize(candidate_pairs(members), "candidates")
     links = confirmed_links(pairs, full_sets(docs, text, classes, pairs))
     stars = components(materialize(links, "links"))
     linked = materialize(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), "components")
