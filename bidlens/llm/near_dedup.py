@@ -15,7 +15,10 @@ range-partitioned, so a very large region lies in many tasks.
 
 Candidates must agree in their sketches in a number of places that a link misses
 with a probability below 1e-7, and are then confirmed on the full sets, which are
-built again for the documents concerned only.  Links make components by alternating
+built again for the documents concerned only.  A class that is nearly linked to
+another component is then compared with every class it shares a run with, so that
+one link to a group is found even where the group's other members are closer by
+sketch.  Links make components by alternating
 star contraction, one stored table per step.
 
 A pair at the threshold shares no region in any order with probability
@@ -49,6 +52,7 @@ WORDS = 5
 THRESHOLD = 75  # per cent
 TREES, DEPTH = 32, 4
 HASHES = TREES * DEPTH
+NEARLY = 65
 WHOLE_REGION, LONGEST_RUN = 8, 1024
 NEIGHBOURS, CLOSEST, HUBS = 2, 3, 2
 LEAST_AGREEING = 68  # of HASHES: 5.7 standard deviations below the mean at the threshold
@@ -167,14 +171,24 @@ def chunk_pairs(sketches: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
+def open_pairs(is_open: np.ndarray) -> np.ndarray:
+    """Index pairs of the open classes of a run with all others."""
+    at, m = np.flatnonzero(is_open), len(is_open)
+    return np.column_stack([np.repeat(at, m), np.tile(np.arange(m), len(at))])
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted members to likely pairs (a, b); holds one run of a region at a time."""
+    """Sorted members to likely pairs (a, b); holds one run of a region at a time.
+
+    With a fifth column, whether a class is open, only open classes get pairs.
+    """
     def pairs(run: list[tuple]) -> pa.RecordBatch | None:
         if len(run) < 2:
             return None
         sketches = np.frombuffer(b"".join(r[2] for r in run), np.uint8).reshape(-1, HASHES)
         n = np.array([r[1] for r in run], np.int64)
-        left, right = chunk_pairs(sketches).T
+        chosen = open_pairs(np.array([r[3] for r in run], bool)) if len(run[0]) > 3 else chunk_pairs(sketches)
+        left, right = chosen.T
         small, large = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
         good = (left != right) & (100 * small >= THRESHOLD * large)
         good[good] = (sketches[left[good]] == sketches[right[good]]).sum(1) >= LEAST_AGREEING
@@ -196,10 +210,24 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidate_pairs(members: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) whose sketches make a link possible."""
+    """Distinct pairs (a, b) whose sketches make a link possible; of open classes where ``members`` tells them."""
     order = ["region", "label", "digest"]
+    columns = ["region", "digest", "n", "sketch"] + (["open"] if "open" in members.columns else [])
     sorted_members = members.repartitionByRange(*order).sortWithinPartitions(*order)
-    return sorted_members.select("region", "digest", "n", "sketch").mapInArrow(_candidates, "a binary, b binary").distinct()
+    return sorted_members.select(*columns).mapInArrow(_candidates, "a binary, b binary").distinct()
+
+
+def open_classes(tested: DataFrame, stars: DataFrame) -> DataFrame:
+    """Classes of pairs that are nearly linked and lie in different components.
+
+    The other component may hold a class that is linked: these are compared with
+    every class they share a run with.
+    """
+    root = stars.select("node", "root")
+    ends = (tested.where("NOT linked").join(root.withColumnsRenamed({"node": "a", "root": "a_root"}), "a", "left")
+            .join(root.withColumnsRenamed({"node": "b", "root": "b_root"}), "b", "left")
+            .where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")))
+    return ends.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
 
 
 def full_sets(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -233,22 +261,25 @@ def full_sets(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame)
                        .groupBy("digest").agg(F.first("shingles").alias("shingles")), "full-sets")
 
 
-def confirmed_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
+def tested_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, linked of the pairs whose full sets are linked or nearly so."""
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
+            near, linked = [], []
             for i in range(batch.num_rows):
                 x, y = (np.frombuffer(batch.column(c)[i].as_py(), "<u8") for c in (2, 3))
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= THRESHOLD * (len(x) + len(y) - common):
-                    good.append(i)
-            at = pa.array(good, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+                either = len(x) + len(y) - common
+                if 100 * common >= NEARLY * either:
+                    near.append(i)
+                    linked.append(100 * common >= THRESHOLD * either)
+            at = pa.array(near, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(linked, pa.bool_())],
+                                             names=["a", "b", "linked"])
 
     both = (pairs.select("a", "b").join(sets.withColumnsRenamed({"digest": "a", "shingles": "left_set"}), "a")
             .join(sets.withColumnsRenamed({"digest": "b", "shingles": "right_set"}), "b"))
-    return both.select("a", "b", "left_set", "right_set").mapInArrow(confirm, "a binary, b binary")
+    return both.select("a", "b", "left_set", "right_set").mapInArrow(confirm, "a binary, b binary, linked boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -286,8 +317,13 @@ def _with_components(docs: DataFrame, keep: list[str], text: str, doc_id: str) -
     classes = set_classes(signed, doc_id)
     members = region_members(classes)
     pairs = materialize(candidate_pairs(members), "candidates")
-    links = confirmed_links(pairs, full_sets(docs, text, classes, pairs))
-    stars = components(materialize(links, "links"))
+    tested = materialize(tested_pairs(pairs, full_sets(docs, text, classes, pairs)), "tested")
+    stars = components(tested.where("linked"))
+    unsettled = materialize(open_classes(tested, stars).withColumn("open", F.lit(True)), "open-classes")
+    again = members.join(unsettled, "digest", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    rest = materialize(candidate_pairs(again).join(pairs, ["a", "b"], "left_anti"), "candidates")
+    more = materialize(tested_pairs(rest, full_sets(docs, text, classes, rest)), "tested")
+    stars = components(tested.unionByName(more).where("linked"))
     linked = materialize(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), "components")
     names = classes.select("digest", "first").join(linked.withColumnRenamed("node", "digest"), "digest", "left")
     firsts = materialize(names.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("smallest")), "firsts")
