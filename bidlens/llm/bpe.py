@@ -42,6 +42,8 @@ KEPT_WORDS = 600_000
 KEPT_PAIRS = 500_000
 SLICE_CHARS = 4_000_000
 TRIE_DEPTH = 64
+START = -1  # the state of the empty prefix
+ONE_SYMBOL = [1]
 
 # Unicode's white space, to which str.split() adds the four separators below.
 WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -104,17 +106,24 @@ class TrieEncoder(WordFile):
     def __init__(self, path: str):
         super().__init__(path)
         self.tokens = {i: t.encode() for t, i in [*self.ids.items(), *self.special.items()]}
+        self.text_of = {i: t for t, i in self.ids.items()}
         self.table = {b: c for b, c in byte_alphabet().items() if chr(b) != c}
-        # How long tokens can be, longest first, by the last two symbols before the end mark.
-        lengths: dict[tuple[str, str], set[int]] = {}
-        for token in self.ids:
+        # How long tokens without and with the end mark can be, by their last two symbols, and
+        # the tokens by their symbols, mark left out.
+        self.inner: dict[str, int] = {}
+        self.final: dict[str, int] = {}
+        inner: dict[str, set[int]] = {}
+        final: dict[str, set[int]] = {}
+        for token, i in self.ids.items():
             body = token.removesuffix(self.end) or token
-            mark = self.end if body != token else ""
-            lengths.setdefault((body[-2:], mark), set()).add(len(body))
-        self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
+            (self.inner if body == token else self.final)[body] = i
+            (inner if body == token else final).setdefault(body[-2:], {1}).add(len(body))
+        self.inner_lengths = {k: sorted(v, reverse=True) for k, v in inner.items()}
+        self.final_lengths = {k: sorted(v, reverse=True) for k, v in final.items()}
         self.kept: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.sound: dict[str, bool] = {}
+        self.words: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
+        self.sound: dict[int, bool] = {}
 
     # --- merging, the rule itself ---------------------------------------------
 
@@ -142,87 +151,102 @@ class TrieEncoder(WordFile):
         body = token.removesuffix(self.end)
         return [*body[:-1], body[-1] + self.end]
 
-    def is_sound(self, token: str) -> bool:
+    def is_sound(self, token: int) -> bool:
         """Whether merging the token's own symbols gives the token."""
         known = self.sound.get(token)
         if known is None:
-            known = self.sound[token] = self.merged(self.symbols(token)) == [token]
+            text = self.text_of[token]
+            known = self.sound[token] = self.merged(self.symbols(text)) == [text]
         return known
 
-    def may_follow(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.merged(self.symbols(left) + self.symbols(right)) == [left, right]
-            self.pairs[left, right] = known
+    def may_follow(self, left: int, right: int) -> bool:
+        """Whether merging the symbols of both tokens, the first one sound, leaves just these two."""
+        if len(self.pairs) >= KEPT_PAIRS:
+            self.pairs.clear()
+        a, b = self.text_of.get(left, ""), self.text_of[right]
+        known = self.is_sound(right) and (
+            left == START or self.merged(self.symbols(a) + self.symbols(b)) == [a, b])
+        self.pairs[left << 20 | right] = known
         return known
 
     # --- the trie -------------------------------------------------------------
 
-    def last_token(self, word: str, upto: int, states: list[str | None], mark: str) -> str:
-        """The last token of the first ``upto`` symbols of ``word``, given the states of all shorter prefixes."""
-        ids, sound, pairs = self.ids, self.sound, self.pairs
-        for length in (*self.lengths.get((word[max(0, upto - 2):upto], mark), ()), 1):
-            if length > upto:
-                continue
-            token = word[upto - length:upto] + mark
-            if token in ids and (sound.get(token) or self.is_sound(token)):
-                before = states[upto - length]
-                if before is None or pairs.get((before, token)) or self.may_follow(before, token):
-                    return token
+    def last_token(self, word: str, upto: int, states: list[int], mark: bool) -> tuple[int, int]:
+        """The last token of the first ``upto`` symbols of ``word`` and its length, given the states of shorter prefixes."""
+        tokens, lengths = (self.final, self.final_lengths) if mark else (self.inner, self.inner_lengths)
+        pairs = self.pairs
+        for length in lengths.get(word[max(0, upto - 2):upto], ONE_SYMBOL):
+            if length <= upto:
+                token = tokens.get(word[upto - length:upto])
+                if token is not None:
+                    before = states[upto - length]
+                    fits = pairs.get(before << 20 | token)
+                    if fits or (fits is None and self.may_follow(before, token)):
+                        return token, length
         raise ValueError("a symbol is not in the vocabulary")
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
+    def encode_words(self, words: Iterable[str]) -> dict[str, array]:
         """Ids of distinct words (byte alphabet) by one depth-first walk over their trie."""
         root: dict = {}
         for word in words:
             node = root
             for c in word[:min(len(word) - 1, TRIE_DEPTH)]:
-                node = node.setdefault(c, {})
+                down = node.get(c)
+                if down is None:
+                    down = node[c] = {}
+                node = down
             node.setdefault("", []).append(word)  # the last symbol, or a long word's rest, hangs below
-        found: dict[str, list[int]] = {}
-        states: list[str | None] = [None]
+        found: dict[str, array] = {}
+        states, lengths = [START], [0]
         stack: list[tuple[str, dict]] = [("", root)]
         while stack:
             prefix, node = stack.pop()
             if prefix:
                 depth = len(prefix)
-                del states[depth:]
-                states.append(self.last_token(prefix, depth, states, ""))
+                del states[depth:], lengths[depth:]
+                token, length = self.last_token(prefix, depth, states, False)
+                states.append(token)
+                lengths.append(length)
             for word in node.pop("", ()):
-                found[word] = self.finish(word, states)
+                found[word] = self.finish(word, states, lengths)
             for c, child in node.items():
                 stack.append((prefix + c, child))
         return found
 
-    def finish(self, word: str, states: list[str | None]) -> list[int]:
+    def finish(self, word: str, states: list[int], lengths: list[int]) -> array:
         """Goes on from the word's node to its end and reads the tokens backwards."""
-        own = states
-        if len(word) > len(states):  # a long word's rest, which is not shared
-            own = list(states)
-            while len(own) < len(word):
-                own.append(self.last_token(word, len(own), own, ""))
-        token = self.last_token(word, len(word), own, self.end)
-        out, at = [self.ids[token]], len(word) - (len(token) - len(self.end))
+        at = len(word)
+        if at > len(states):  # a long word's rest, which is not shared
+            states, lengths = list(states), list(lengths)
+            while len(states) < at:
+                token, length = self.last_token(word, len(states), states, False)
+                states.append(token)
+                lengths.append(length)
+        token, length = self.last_token(word, at, states, True)
+        out = array("I", (token,))
+        at -= length
         while at:
-            token = own[at]
-            out.append(self.ids[token])
-            at -= len(token)
-        return out[::-1]
+            out.append(states[at])
+            at -= lengths[at]
+        out.reverse()
+        return out
 
     # --- texts ----------------------------------------------------------------
 
     def learn(self, surfaces: Iterable[str]) -> None:
-        parts = {s: [p if isinstance(p, int) or (p.isascii() and p.isprintable())
-                     else p.encode().decode("latin-1").translate(self.table) for p in self.parts_of(s)]
-                 for s in surfaces}
-        ids = self.encode_words({p for ps in parts.values() for p in ps if isinstance(p, str)})
+        """Keeps the ids of new stretches; their words go through the trie unless they are known already."""
+        if len(self.words) > KEPT_WORDS:
+            self.words.clear()
+        parts = {s: self.parts_of(s) for s in surfaces}
+        words, table = self.words, self.table
+        new = {p for ps in parts.values() for p in ps if p not in words and isinstance(p, str)}
+        symbols = {p: p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(table) for p in new}
+        ids = self.encode_words(symbols.values())
+        for p, s in symbols.items():
+            words[p] = little_endian(ids[s])
         for surface, ps in parts.items():
-            whole = array("I")
-            for p in ps:
-                whole.extend(ids[p] if isinstance(p, str) else [p])
-            self.kept[surface] = little_endian(whole)
+            self.kept[surface] = words[ps[0]] if len(ps) == 1 and ps[0] in words else b"".join(
+                [words[p] if isinstance(p, str) else little_endian(array("I", (p,))) for p in ps])
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
