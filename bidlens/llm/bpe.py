@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidlens.llm.tables import packed
+from bidlens.llm.tables import packed, whole_row
 
 KEPT_WORDS = 600_000
 KEPT_PAIRS = 500_000
@@ -332,8 +332,7 @@ def _ids_of(tool: TrieEncoder, ids: bytes) -> tuple:
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """All columns of ``docs`` as ``doc``, with ``ids`` (binary, little-endian unsigned 32-bit)."""
-    whole = F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in docs.columns])
-    return _encoded(docs, text, path, _ids_of, [("ids", pa.binary(), T.BinaryType())], whole,
+    return _encoded(docs, text, path, _ids_of, [("ids", pa.binary(), T.BinaryType())], whole_row(docs.columns),
                     packed(docs).schema["doc"].dataType)
 
 

@@ -57,11 +57,11 @@ def with_recipes(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     """One row per document: ``doc`` (the columns of ``keep``), ``row``, ``recipe``, ``text_sha256``."""
     unverified = unverified_digests(docs, text, digest)
     whole = normalised(F.col(text))
-    kept = docs.select(*(keep or docs.columns))
+    kept = keep or docs.columns
+    doc = F.struct(*[F.col("doc").getField(c).alias(c) for c in kept]).alias("doc")
     parts = packed(docs, whole.alias("whole"), F.monotonically_increasing_id().alias("row"))
     recipe = F.transform(chunks(F.col("whole")), digest)
-    plain = parts.select(F.struct(*[F.col("doc").getField(c).alias(c) for c in kept.columns]).alias("doc"), "row",
-                         recipe.alias("recipe"), F.sha2("whole", 256).alias("text_sha256"))
+    plain = parts.select(doc, "row", recipe.alias("recipe"), F.sha2("whole", 256).alias("text_sha256"))
     if unverified.isEmpty():
         return materialize(plain, "recipes")
     doubtful = (parts.select("row", F.explode(F.transform(chunks(F.col("whole")), digest)).alias("digest"))
@@ -70,8 +70,7 @@ def with_recipes(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     spelled = F.transform(chunks(F.col("whole")), lambda c: F.concat(digest(c), F.encode(c, "utf-8")))
     return materialize(
         parts.join(doubtful, "row", "left").select(
-            F.struct(*[F.col("doc").getField(c).alias(c) for c in kept.columns]).alias("doc"), "row",
-            F.when(F.col("doubtful"), spelled).otherwise(recipe).alias("recipe"),
+            doc, "row", F.when(F.col("doubtful"), spelled).otherwise(recipe).alias("recipe"),
             F.sha2("whole", 256).alias("text_sha256")), "recipes")
 
 

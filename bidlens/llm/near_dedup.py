@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidlens.llm.tables import null_last, packed, unpacked
+from bidlens.llm.tables import null_last, unpacked, whole_row
 from bidlens.session import materialize
 
 WORDS = 5
@@ -116,9 +116,9 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def with_signatures(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     """doc (the columns of ``keep``), row, text_hash, n, digest, minima, sketch."""
-    doc_type = packed(docs.select(*keep)).schema["doc"].dataType
+    doc_type = docs.select(whole_row(keep).alias("doc")).schema["doc"].dataType
     source = docs.select(
-        F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in keep]).alias("doc"),
+        whole_row(keep).alias("doc"),
         F.monotonically_increasing_id().alias("row"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     schema = T.StructType([
         T.StructField("doc", doc_type), T.StructField("row", T.LongType()), T.StructField("text_hash", T.LongType()),

@@ -162,7 +162,7 @@ def find_spans(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
                least_values: int = LEAST_VALUES) -> DataFrame:
     """One row per document: ``doc`` (the columns of ``keep``), ``base`` and ``spans``, arrays of (kind, start, end)."""
     kept = docs.columns if keep is None else keep
-    parts = packed(docs.select(*kept) if text in kept else docs, F.coalesce(F.col(text), F.lit("")).alias("whole"))
+    parts = packed(docs, F.coalesce(F.col(text), F.lit("")).alias("whole"))
     doc = F.struct(*[F.col("doc").getField(c).alias(c) for c in kept]).alias("doc")
     with_base = parts.select(doc, "whole", base_spans(F.col("whole")).alias("base"))
     found = materialize(with_base.select(
@@ -228,4 +228,4 @@ def mask(docs: DataFrame, text: str = "text", length: str | None = "n_chars") ->
             own = F.col("doc").getField(text)
             value = F.when(F.size("spans") > 0, F.length(masked(own, F.col("spans"))).cast(field.dataType)).otherwise(value)
         columns.append(value.alias(field.name))
-    return found.select(*columns)
+    return found.select(F.struct(*columns).alias("doc")).select("doc.*")

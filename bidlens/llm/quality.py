@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidlens.llm.tables import packed, unpacked
+from bidlens.llm.tables import packed, unpacked, whole_row
 
 BUCKETS = 1 << 16
 SAMPLE_ROWS = 1_500
@@ -188,7 +188,5 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """The documents that are predicted to be good, with their columns."""
     whole = packed(docs)
-    scored = _scored(docs, train(docs, labels), text,
-                     F.struct(*[docs["`" + c.replace("`", "``") + "`"].alias(c) for c in docs.columns]),
-                     whole.schema["doc"].dataType)
+    scored = _scored(docs, train(docs, labels), text, whole_row(docs.columns), whole.schema["doc"].dataType)
     return unpacked(scored.where("score >= 0.5"))

@@ -25,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bidlens.llm.tables import quoted
+
 SLOTS = 65537
 
 
@@ -73,7 +75,7 @@ def assign(df: DataFrame, keys: Sequence[str], names: Sequence[str], spread: Seq
         raise ValueError("the input has a column named slot or shard")
     placed = df.withColumn("slot", slot_of([F.col(c) for c in [*keys, *spread]], slots))
     return placed.join(F.broadcast(table_frame(df.sparkSession, names, slots)), "slot").select(
-        *df.columns, "slot", "shard")
+        *map(quoted, df.columns), "slot", "shard")
 
 
 def write_shards(df: DataFrame, path: str, keys: Sequence[str], names: Sequence[str],

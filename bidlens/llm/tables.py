@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,14 +19,18 @@ def packed(df: DataFrame, *derived: Column) -> DataFrame:
     columns may have any name.  Parquet keeps the fields apart, so a later read
     of some of them stays pruned.
     """
-    return df.select(F.struct(*[df[_quoted(c)].alias(c) for c in df.columns]).alias("doc"), *derived)
+    return df.select(whole_row(df.columns).alias("doc"), *derived)
+
+
+def whole_row(columns: Sequence[str]) -> Column:
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in columns])
 
 
 def unpacked(df: DataFrame) -> DataFrame:
     return df.select("doc.*")
 
 
-def _quoted(name: str) -> str:
+def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
