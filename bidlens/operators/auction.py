@@ -4,14 +4,14 @@ Rules: a bid of at least the logged price wins and pays that price.  Wins are
 honoured in pool order (time, id, tiebreak).  The first win that would pass the
 budget is void, and from that row on the bidder takes no part at all.
 
+Rows without a time come last.
+
 Costs are never negative, so the running cost only grows and "still bidding" is
 the same as "running cost within budget".  To find the last row of each run the
-pool is not sorted: costs are summed per hour, and only the one hour in which
-the budget gives out is looked at more closely.  While that cell still holds
-many rows it is cut finer (second, then instant with a growing id prefix); the
-last, small cell is gone through row by row.  Each step is a scan with map-side
-sums whose result is small, so neither a large advertiser nor a burst of rows in
-one instant ends up in one task.
+pool is not sorted: costs are summed per hour, then per second of the one hour in
+which the budget gives out, both map-side.  The rows of that second alone are
+ordered, by range-partitioned running totals over folded equal rows, so neither a
+large advertiser nor a burst of rows in one instant ends up in one task.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from bidlens.operators.prefix import running_totals
 from bidlens.session import materialize
 
 ABOVE_BID, ZERO_PRICE = "payprice_gt_bidprice", "payprice_zero"
-MAX_COLLIDING_KEYS = 20
-SMALL_CELL_ROWS = 1_000_000
+MAX_COLLIDING_SHARE = 1e-4
+NO_TIME_HOUR = 48_000_000  # after any hour; stands for rows without a time
 STRATEGIES = ["constant", "random", "linear_ctr"]
 RUN_KEY = ["advertiser", "run_id"]
 CELL_KEY = [*RUN_KEY, "budget_id"]
@@ -186,8 +186,10 @@ def alignment_report(pool: DataFrame, predictions: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("_pool").isNull(), F.col("_pred"))), F.lit(0)).alias("predictions_unused"))
 
 
-def require_aligned(report: DataFrame, max_colliding: int = MAX_COLLIDING_KEYS) -> None:
-    broken = report.where((F.col("pool_unmatched") > 0) | (F.col("colliding_keys") > max_colliding))
+def require_aligned(report: DataFrame, max_share: float = MAX_COLLIDING_SHARE) -> None:
+    """Stops where a pool row has no prediction or more than ``max_share`` of the predictions collide."""
+    broken = report.where((F.col("pool_unmatched") > 0)
+                          | (F.col("colliding_keys") > max_share * F.col("prediction_rows")))
     found = broken.limit(5).collect()
     if found:
         raise ValueError(f"predictions do not line up with the pool: {found}")
@@ -240,13 +242,14 @@ def _cell_sums() -> list[Column]:
 # --- Settlement --------------------------------------------------------------
 
 def hour_number(timestamp: Column) -> Column:
-    """Hours since 1970 on the local clock (no time zone is involved)."""
+    """Hours since 1970 on the local clock (no time zone is involved); no time is an hour after all others."""
     days = F.datediff(F.to_date(timestamp), F.lit("1970-01-01").cast("date"))
-    return days.cast("long") * 24 + F.hour(timestamp)
+    return F.coalesce(days.cast("long") * 24 + F.hour(timestamp), F.lit(NO_TIME_HOUR).cast("long"))
 
 
 def second_number(timestamp: Column) -> Column:
-    return hour_number(timestamp) * 3600 + F.minute(timestamp) * 60 + F.second(timestamp)
+    within = F.minute(timestamp) * 60 + F.second(timestamp)
+    return hour_number(timestamp) * 3600 + F.coalesce(within, F.lit(0))
 
 
 def check_budgets(budgets: DataFrame) -> DataFrame:
@@ -278,88 +281,90 @@ def _close_cells(cells: DataFrame, label: str) -> DataFrame:
     """Sums over the cells within budget, and the first cell (``cut``) that is not."""
     closed = cells.groupBy(*CELL_KEY, "run", "budget", "spent_before").agg(
         *[F.expr(f"coalesce(sum({c}) filter (where upto <= budget), 0) as {c}") for c in SUMS],
-        F.expr("sum(n) as n_all"), F.expr("min(struct(cell, n)) filter (where upto > budget) as _first"))
-    return materialize(closed.withColumns({"cut": F.col("_first.cell"), "cut_rows": F.col("_first.n")})
-                       .drop("_first"), label)
+        F.expr("sum(n) as n_all"), F.expr("min(cell) filter (where upto > budget) as cut"))
+    return materialize(closed, label)
 
 
-def _split_cut(pool: DataFrame, closed: DataFrame, outer: Column, cell: Column,
-               tiebreak: Sequence[str], seed: int) -> DataFrame:
-    """Splits the cut cells of ``closed`` into finer cells with their running cost."""
+def _rows_of_cuts(pool: DataFrame, closed: DataFrame, outer: Column) -> DataFrame:
+    """The pool rows of the cut cells of ``closed``: an equi-join on advertiser and cell."""
     open_cells = closed.where(F.col("cut").isNotNull()).select(
         *CELL_KEY, "run", "budget", (F.col("spent_before") + F.col("cost")).alias("spent_before"),
         F.col("cut").alias("_outer"))
-    # The rows of the cut cells: an equi-join on advertiser and cell.
-    rows = pool.withColumn("_outer", outer).join(open_cells, ["advertiser", "_outer"])
-    finer = _outcome(rows.withColumn("cell", cell), tiebreak, seed).groupBy(
+    return pool.withColumn("_outer", outer).join(open_cells, ["advertiser", "_outer"])
+
+
+def _cut_seconds(pool: DataFrame, closed: DataFrame, tiebreak: Sequence[str], seed: int) -> DataFrame:
+    """The seconds of the cut hours with their running cost."""
+    rows = _rows_of_cuts(pool, closed, hour_number(F.col("timestamp")))
+    finer = _outcome(rows.withColumn("cell", second_number(F.col("timestamp"))), tiebreak, seed).groupBy(
         *CELL_KEY, "run", "budget", "spent_before", "cell").agg(*_cell_sums())
     running = F.sum("cost").over(Window.partitionBy(*CELL_KEY).orderBy("cell").rowsBetween(
         Window.unboundedPreceding, Window.currentRow))
     return finer.withColumn("upto", running + F.col("spent_before"))
 
 
-def _finer_cells():
-    """Cells of the pool order, each one a part of the one before."""
-    yield second_number(F.col("timestamp"))
-    for width in (2, 4, 8, 16, 32):
-        yield F.struct("timestamp", F.substring("bidid", 1, width).alias("id_prefix"))
-
-
 # How many of the equal rows ending at running cost ``upto`` are still bid on.
 AFFORDABLE = """cast(case when upto - cost > budget then 0 when cost = 0 then {copies}
     else greatest(0, least({copies}, floor((budget - (upto - cost)) * {copies} / nullif(cost, 0))))
     end as bigint)"""
 
 
-def _last_rows(cells: DataFrame) -> DataFrame:
-    """Within the last cell, rows one by one; equal rows are handled by number.
+def _in_order(rows: DataFrame, groups: Sequence[str], tiebreak: Sequence[str], seed: int, label: str) -> DataFrame:
+    """Outcomes folded to equal rows in pool order, with the running cost ``upto`` and ``position``."""
+    order = ["timestamp", "bidid", *tiebreak, "payprice", "click", *[c for c in ("p_click",) if c in rows.columns]]
+    folded = _outcome(rows, tiebreak, seed).groupBy(*groups, *order).agg(
+        F.expr("count(*) as copies"), F.expr("sum(_cost) as cost"), F.expr("first(_win) as win"))
+    late = folded.withColumn("_late", F.col("timestamp").isNull())
+    return running_totals(late, ["_late", *order], {"upto": "cost", "position": "copies"}, groups, label)
+
+
+def _last_rows(rows: DataFrame) -> DataFrame:
+    """Within the cut second, rows in order; equal rows are handled by number.
 
     ``k`` equal rows of cost ``c`` are taken while money lasts:
     ``floor((budget - spent) / c)`` of them, all if they cost nothing.
     """
-    stepped = cells.withColumn("_taken", F.expr(AFFORDABLE.format(copies="n")))
-    parts = [F.expr(f"sum({c} div n * _taken) as {c}") for c in ("won", "clicks", "cost")]
+    stepped = rows.withColumn("upto", F.expr("upto + spent_before")).withColumn(
+        "_taken", F.expr(AFFORDABLE.format(copies="copies")))
     return stepped.groupBy(*CELL_KEY).agg(
-        F.expr("sum(_taken) as n"), *parts, F.expr("min(cell.timestamp) filter (where _taken < n) as stop"))
+        F.expr("sum(_taken) as n"), F.expr("sum(if(win, _taken, 0)) as won"),
+        F.expr("sum(if(win, click * _taken, 0)) as clicks"), F.expr("sum(cost div copies * _taken) as cost"),
+        F.expr("min(timestamp) filter (where _taken < copies) as stop"),
+        F.expr("coalesce(bool_or(_taken < copies), false) as stopped"))
 
 
 def settle(pool: DataFrame, runs: DataFrame, budgets: DataFrame, tiebreak: Sequence[str] = (),
-           seed: int = 42, hours: DataFrame | None = None, small_cell: int = SMALL_CELL_ROWS) -> DataFrame:
+           seed: int = 42, hours: DataFrame | None = None) -> DataFrame:
     """Outcome of every run under every budget of its advertiser, one row each.
 
     ``runs``: advertiser, run_id, strategy and its parameters.  ``budgets``:
     advertiser, budget_id, budget.  Both should be stored tables (see
     ``session.materialize``) unless they are literal.  Pass ``hours`` to reuse
-    ``hourly_outcome``.  Cells of up to ``small_cell`` rows are sorted as they are.
+    ``hourly_outcome``.
     """
     hours = hourly_outcome(pool, runs, tiebreak, seed) if hours is None else hours
-    row = F.struct("timestamp", "bidid", *tiebreak, "payprice", "click",
-                   *[c for c in ("p_click",) if c in pool.columns])
     first = hours.join(check_budgets(budgets).select("advertiser", "budget_id", "budget"), "advertiser").withColumns(
         {"cell": F.col("hour"), "spent_before": F.lit(0).cast("long")})
-    closed, outer = [_close_cells(first, "cut-hour")], hour_number(F.col("timestamp"))
-    for cell in _finer_cells():
-        if (closed[-1].agg(F.max("cut_rows")).first()[0] or 0) <= small_cell:
-            break
-        closed.append(_close_cells(_split_cut(pool, closed[-1], outer, cell, tiebreak, seed), "cut-finer"))
-        outer = cell
-    rest = _last_rows(_split_cut(pool, closed[-1], outer, row, tiebreak, seed))
+    by_hour = _close_cells(first, "cut-hour")
+    by_second = _close_cells(_cut_seconds(pool, by_hour, tiebreak, seed), "cut-second")
+    rest = _last_rows(_in_order(_rows_of_cuts(pool, by_second, second_number(F.col("timestamp"))),
+                                [*CELL_KEY, "budget", "spent_before"], tiebreak, seed, "cut-rows"))
 
     def gains(part: DataFrame, **more: Column) -> DataFrame:
-        extra = {"impressions_pool": F.lit(0), "stop": F.lit(None), "budget": F.lit(None), **more}
-        types = {"impressions_pool": "long", "stop": "timestamp_ntz", "budget": "double"}
+        extra = {"impressions_pool": F.lit(0), "stop": F.lit(None), "stopped": F.lit(False), "budget": F.lit(None), **more}
+        types = {"impressions_pool": "long", "stop": "timestamp_ntz", "stopped": "boolean", "budget": "double"}
         return part.select(*CELL_KEY, *SUMS, *[extra[c].cast(t).alias(c) for c, t in types.items()])
 
     # A run whose advertiser has no rows is still a result: nothing won, nothing spent.
     every = runs.select(*RUN_KEY).join(check_budgets(budgets), "advertiser")
     nothing = every.withColumns({c: F.lit(0).cast("long") for c in SUMS})
     total = gains(nothing, budget=F.col("budget"))
-    for part in (gains(closed[0], impressions_pool=F.col("n_all")), *map(gains, closed[1:]),
-                 gains(rest, stop=F.col("stop"))):
+    for part in (gains(by_hour, impressions_pool=F.col("n_all")), gains(by_second),
+                 gains(rest, stop=F.col("stop"), stopped=F.col("stopped"))):
         total = total.unionByName(part)
     return run_metrics(total.groupBy(*CELL_KEY).agg(
         *[F.sum(c).alias(c) for c in [*SUMS, "impressions_pool"]],
-        F.max("stop").alias("stop"), F.max("budget").alias("budget")))
+        F.max("stop").alias("stop"), F.bool_or("stopped").alias("stopped"), F.max("budget").alias("budget")))
 
 
 def run_metrics(sums: DataFrame) -> DataFrame:
@@ -372,7 +377,7 @@ def run_metrics(sums: DataFrame) -> DataFrame:
         f"{ratio('won', 'impressions_pool', '0')} as win_rate_pool",
         "clicks as clicks_won", "cost as total_spend",
         f"{ratio('cost', 'clicks', 'null')} as effective_cpc",
-        "stop is not null as budget_exhausted", "if(stop is not null, n, null) as exhaustion_index",
+        "stopped as budget_exhausted", "if(stopped, n, null) as exhaustion_index",
         "stop as exhaustion_timestamp")
 
 
@@ -386,9 +391,7 @@ def spend_trajectory(pool: DataFrame, runs: DataFrame, budgets: DataFrame, tiebr
     params = materialize(complete_runs(runs).selectExpr("advertiser", "run_id", f"{RUN_STRUCT} as run").join(
         check_budgets(budgets).select("advertiser", "budget_id", "budget"), "advertiser"), "runs")
     order = ["timestamp", "bidid", *tiebreak, "payprice", "click"]
-    folded = _outcome(pool.join(params, "advertiser"), tiebreak, seed).groupBy(*CELL_KEY, "budget", *order).agg(
-        F.expr("count(*) as copies"), F.expr("sum(_cost) as cost"), F.expr("first(_win) as win"))
-    running = running_totals(folded, order, {"upto": "cost", "position": "copies"}, CELL_KEY, "trajectory")
+    running = _in_order(pool.join(params, "advertiser"), [*CELL_KEY, "budget"], tiebreak, seed, "trajectory")
     rows = running.withColumn("bid_on", F.expr(AFFORDABLE.format(copies="copies")))
     spent = "max(upto - cost + cost div copies * bid_on) filter (where bid_on > 0)"
     final = rows.groupBy(*CELL_KEY).agg(F.expr(f"coalesce({spent}, 0) as _final"))
