@@ -16,10 +16,10 @@ range-partitioned, so a very large region lies in many tasks.
 Candidates must agree in their sketches in a number of places that a link misses
 with a probability below 1e-7, and are then confirmed on the full sets, which are
 built again for the documents concerned only.  A class that is nearly linked to
-another component is then compared with every class it shares a run with, so that
-one link to a group is found even where the group's other members are closer by
-sketch.  Links make components by alternating
-star contraction, one stored table per step.
+a component that is no smaller than its own is then compared with the 64 closest
+classes of other components in each of its runs, so that one link to a group is
+found even where other members of the group are closer by sketch.  Links make
+components by alternating star contraction, one stored table per step.
 
 A pair at the threshold shares no region in any order with probability
 (1 - 0.75**DEPTH) ** TREES = 5e-6; pairs above it, and components with more than
@@ -52,9 +52,10 @@ WORDS = 5
 THRESHOLD = 75  # per cent
 TREES, DEPTH = 32, 4
 HASHES = TREES * DEPTH
-NEARLY = 65
+NEARLY = 70
 WHOLE_REGION, LONGEST_RUN = 8, 1024
-NEIGHBOURS, CLOSEST, HUBS = 2, 3, 2
+NEIGHBOURS, CLOSEST, HUBS = 1, 2, 2
+OPEN_CLOSEST = 64
 LEAST_AGREEING = 68  # of HASHES: 5.7 standard deviations below the mean at the threshold
 BITMAP_BITS = 24
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -171,23 +172,28 @@ def chunk_pairs(sketches: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
-def open_pairs(is_open: np.ndarray) -> np.ndarray:
-    """Index pairs of the open classes of a run with all others."""
-    at, m = np.flatnonzero(is_open), len(is_open)
-    return np.column_stack([np.repeat(at, m), np.tile(np.arange(m), len(at))])
+def open_pairs(sketches: np.ndarray, run: list[tuple]) -> np.ndarray:
+    """Index pairs of the open classes of a run with the closest classes of other components."""
+    roots, found = np.array([r[4] for r in run], object), [np.empty((0, 2), np.int64)]
+    for i in (i for i, r in enumerate(run) if r[3]):
+        agreeing = np.where(roots == roots[i], -1, (sketches == sketches[i]).sum(1))
+        close = np.argsort(-agreeing, kind="stable")[:OPEN_CLOSEST]
+        found.append(np.column_stack([np.full(len(close), i), close])[agreeing[close] >= LEAST_AGREEING])
+    return np.concatenate(found)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted members to likely pairs (a, b); holds one run of a region at a time.
 
-    With a fifth column, whether a class is open, only open classes get pairs.
+    With two more columns, whether a class is open and the root of its component,
+    only open classes get pairs, and only with classes of other components.
     """
     def pairs(run: list[tuple]) -> pa.RecordBatch | None:
         if len(run) < 2:
             return None
         sketches = np.frombuffer(b"".join(r[2] for r in run), np.uint8).reshape(-1, HASHES)
         n = np.array([r[1] for r in run], np.int64)
-        chosen = open_pairs(np.array([r[3] for r in run], bool)) if len(run[0]) > 3 else chunk_pairs(sketches)
+        chosen = open_pairs(sketches, run) if len(run[0]) > 3 else chunk_pairs(sketches)
         left, right = chosen.T
         small, large = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
         good = (left != right) & (100 * small >= THRESHOLD * large)
@@ -212,22 +218,31 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidate_pairs(members: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) whose sketches make a link possible; of open classes where ``members`` tells them."""
     order = ["region", "label", "digest"]
-    columns = ["region", "digest", "n", "sketch"] + (["open"] if "open" in members.columns else [])
+    columns = ["region", "digest", "n", "sketch"] + (["open", "root"] if "open" in members.columns else [])
     sorted_members = members.repartitionByRange(*order).sortWithinPartitions(*order)
     return sorted_members.select(*columns).mapInArrow(_candidates, "a binary, b binary").distinct()
 
 
-def open_classes(tested: DataFrame, stars: DataFrame) -> DataFrame:
-    """Classes of pairs that are nearly linked and lie in different components.
+def component_labels(stars: DataFrame) -> DataFrame:
+    """node, root, size for every class of a component of two or more."""
+    sizes = stars.groupBy("root").agg((F.count("*") + 1).alias("size"))
+    nodes = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+    return materialize(nodes.join(sizes, "root").select("node", "root", "size"), "labels")
+
+
+def open_classes(tested: DataFrame, labels: DataFrame) -> DataFrame:
+    """Classes that are nearly linked to a class of a component that is not smaller than their own.
 
-    The other component may hold a class that is linked: these are compared with
-    every class they share a run with.
+    That component may hold another class that is linked, so these are compared
+    with more classes of other components.
     """
-    root = stars.select("node", "root")
-    ends = (tested.where("NOT linked").join(root.withColumnsRenamed({"node": "a", "root": "a_root"}), "a", "left")
-            .join(root.withColumnsRenamed({"node": "b", "root": "b_root"}), "b", "left")
-            .where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")))
-    return ends.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    ends = tested.where("NOT linked")
+    for side in ("a", "b"):
+        own = labels.withColumnsRenamed({"node": side, "root": f"{side}_root", "size": f"{side}_size"})
+        ends = ends.join(own, side, "left").withColumns({
+            f"{side}_root": F.coalesce(f"{side}_root", side), f"{side}_size": F.coalesce(f"{side}_size", F.lit(1))})
+    smaller = F.when(F.struct("a_size", "a_root") < F.struct("b_size", "b_root"), F.col("a")).otherwise(F.col("b"))
+    return ends.where("a_root <> b_root").select(smaller.alias("digest")).distinct()
 
 
 def full_sets(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -319,12 +334,14 @@ def _with_components(docs: DataFrame, keep: list[str], text: str, doc_id: str) -
     pairs = materialize(candidate_pairs(members), "candidates")
     tested = materialize(tested_pairs(pairs, full_sets(docs, text, classes, pairs)), "tested")
     stars = components(tested.where("linked"))
-    unsettled = materialize(open_classes(tested, stars).withColumn("open", F.lit(True)), "open-classes")
-    again = members.join(unsettled, "digest", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    labels = component_labels(stars)
+    unsettled = materialize(open_classes(tested, labels).withColumn("open", F.lit(True)), "open-classes")
+    again = (members.join(unsettled, "digest", "left").join(labels.select(F.col("node").alias("digest"), "root"), "digest", "left")
+             .withColumns({"open": F.coalesce("open", F.lit(False)), "root": F.coalesce("root", "digest")}))
     rest = materialize(candidate_pairs(again).join(pairs, ["a", "b"], "left_anti"), "candidates")
     more = materialize(tested_pairs(rest, full_sets(docs, text, classes, rest)), "tested")
     stars = components(tested.unionByName(more).where("linked"))
-    linked = materialize(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), "components")
+    linked = component_labels(stars).select("node", "root")
     names = classes.select("digest", "first").join(linked.withColumnRenamed("node", "digest"), "digest", "left")
     firsts = materialize(names.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("smallest")), "firsts")
     named = materialize(names.join(firsts, "root", "left").select(
