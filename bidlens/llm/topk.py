@@ -4,8 +4,9 @@ Vectors become integers, floor(SCALE * x).  For every vector its distances to
 many pivots are stored beside it.  By the triangle inequality the largest
 difference between a query's and a candidate's distance to a pivot is a lower
 bound of their distance, and with their norms an upper bound of their inner
-product.  A query takes its candidates in the order of that bound and stops,
-exactly, when no further bound reaches its k-th best score so far.
+product.  A query takes its candidates in the order of that bound: the highest
+first, which gives it a k-th best score, then all whose bound reaches that score,
+several queries at once.  No other vector can be among the best, so it stops there.
 
 Queries and vectors are dealt into blocks; each pair of blocks is searched on its
 own and gives k rows per query, and the best k of those are the answer.  Block
@@ -38,7 +39,8 @@ SCALE = 64
 PIVOTS = 32
 QUERY_BLOCK = 2_048
 VECTOR_BLOCK = 8_192
-STEP = 512
+QUERY_STEP = 128
+STEP = 256
 
 
 def integer_vectors(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -87,35 +89,47 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 def search_block(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
     """The best ``k`` of one block of vectors for each of its queries, by elimination."""
-    q, x = np.stack(queries["v"]), np.stack(vectors["v"])
-    q_far, x_far = np.stack(queries["far"]), np.stack(vectors["far"])
-    q_ids, x_ids = queries["id"].to_numpy(), vectors["id"].to_numpy()
-    q_norm, x_norm = (q**2).sum(1), (x**2).sum(1)
-    slack = 1e-9 * (q_norm.max() + x_norm.max()) + 1e-6  # of the roots' rounding
+    order = np.argsort(vectors["id"].to_numpy(), kind="stable")  # equal scores then stand in the order of ids
+    x, x_far = np.stack(vectors["v"])[order], np.stack(vectors["far"])[order].astype(np.float32)
+    x_ids = vectors["id"].to_numpy()[order]
+    q, q_far = np.stack(queries["v"]), np.stack(queries["far"]).astype(np.float32)
+    q_ids = queries["id"].to_numpy()
+    x_norm, q_norm = (x**2).sum(1), (q**2).sum(1)
+    slack = 32 * np.finfo(np.float32).eps * (q_norm.max() + x_norm.max())  # of the bounds' rounding
     out = []
+    for start in range(0, len(q), QUERY_STEP):
+        part = slice(start, start + QUERY_STEP)
+        nearest = np.zeros((len(q[part]), len(x)), np.float32)  # lower bounds of the distances
+        for p in range(x_far.shape[1]):
+            np.maximum(nearest, np.abs(x_far[:, p] - q_far[part, p, None]), out=nearest)
+        bounds = (q_norm[part, None] + x_norm - np.square(nearest, dtype=np.float64)) / 2.0 + slack
+        bounds[q_ids[part, None] == x_ids] = -np.inf
+        out += _best_of(q[part], q_ids[part], x, x_ids, bounds, k)
+    query, vec, score = (np.concatenate(c) for c in zip(*out))
+    return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score.astype(np.int64)})
+
+
+def _best_of(q, q_ids, x, x_ids, bounds, k: int) -> list[tuple]:
+    """Candidates in the order of their bounds: first those with the highest ones, then all that can still count.
+
+    A bound below the k-th score found among the first ends the search for good;
+    one that equals it may still tie with a smaller id.
+    """
+    first = min(len(x), max(STEP, k))
+    lowest = np.empty(len(q))
     for i in range(len(q)):
-        nearest = np.abs(x_far - q_far[i]).max(1)  # a lower bound of the distance
-        bound = (q_norm[i] + x_norm - nearest**2) / 2.0 + slack
-        bound[x_ids == q_ids[i]] = -np.inf
-        best_score, best_id = np.empty(0), np.empty(0, np.int64)
-        rest = np.arange(len(x))
-        while len(rest):
-            if len(best_id) == k:  # a bound that equals the k-th score may still tie with a smaller id
-                rest = rest[bound[rest] >= best_score[-1]]
-            rest = rest[bound[rest] > -np.inf]
-            if not len(rest):
-                break
-            if len(rest) > STEP:
-                place = np.argpartition(-bound[rest], STEP - 1)
-                now, rest = rest[place[:STEP]], rest[place[STEP:]]
-            else:
-                now, rest = rest, rest[:0]
-            score = np.concatenate([best_score, x[now] @ q[i]])
-            ids = np.concatenate([best_id, x_ids[now]])
-            order = np.lexsort((ids, -score))[:k]
-            best_score, best_id = score[order], ids[order]
-        out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": best_id, "score": best_score.astype(np.int64)}))
-    return pd.concat(out, ignore_index=True)
+        now = np.argpartition(-bounds[i], first - 1)[:first]
+        scores = np.where(bounds[i, now] > -np.inf, x[now] @ q[i], -np.inf)
+        lowest[i] = np.partition(scores, first - k)[first - k] if first >= k else -np.inf
+    open_ = (bounds >= lowest[:, None]) & (bounds > -np.inf)
+    columns = np.flatnonzero(open_.any(0))  # a vector that no query can use any more is not evaluated
+    scores = np.where(open_[:, columns], q @ x[columns].T, -np.inf)
+    out = []
+    for i in range(len(q)):
+        near = np.flatnonzero(scores[i] >= max(lowest[i], np.finfo(np.float64).min))
+        near = near[np.argsort(-scores[i, near], kind="stable")][:k]
+        out.append((np.full(len(near), q_ids[i]), x_ids[columns[near]], scores[i, near]))
+    return out
 
 
 def _blocks(df: DataFrame, size: int, number: str) -> tuple[DataFrame, int]:
