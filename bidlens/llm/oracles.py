@@ -21,6 +21,23 @@ SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id <> winner THEN winner END AS refers_to
 FROM g"""
 
+OP6 = r"""
+WITH RECURSIVE t AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle
+      FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM t WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+      GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS start, doc_id AS node FROM documents
+      UNION SELECT r.start, e.b FROM r JOIN e ON r.node = e.a),
+c AS (SELECT start AS doc_id, min(node) AS component_id FROM r GROUP BY start)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept
+FROM c LEFT JOIN n USING (doc_id)"""
+
 OP7 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
            FROM embeddings WHERE embedding IS NOT NULL
@@ -42,4 +59,4 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(length('### ' || role || ': ') + length(shown) + length(' </turn>') + 1) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id"""
 
-ORACLES: dict[str, str] = {"op7_topk": OP7, "op9_chat": OP9, "op4_exact_dedup": OP4, "op10_warc": OP10}
+ORACLES: dict[str, str] = {"op6_near_dedup": OP6, "op7_topk": OP7, "op9_chat": OP9, "op4_exact_dedup": OP4, "op10_warc": OP10}
