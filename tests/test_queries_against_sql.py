@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from bidlens.plans import oracles, queries
 from oracle_compare import TESTDATA, connect, difference
 
 FOLDER = f"{TESTDATA}/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = queries.QUERIES, oracles.ORACLES  # those of the training-data subpackage have tests of their own
 SLOW_WITHOUT_SQL = {"lr_scores", "gbt_scores", "ablation"}
 
 
