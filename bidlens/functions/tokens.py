@@ -7,20 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bidlens.schema import HASHED_COLUMNS, PLAIN_CATEGORY_COLUMNS
+
 # --- Fixed values -----------------------------------------------------------
 NULL_TOKEN = "__null__"
 RARE_TOKEN = "__rare__"
-CATEGORICAL_FIELDS = [
-    "region", "city", "adexchange", "slotvisibility", "slotformat", "advertiser",
-    "domain", "url", "slotid", "creative", "useragent", "IP", "userid",
-]
-HIGH_CARDINALITY_FIELDS = [
-    "domain", "url", "slotid", "creative", "useragent", "IP", "userid",
-]
 NUMERIC_FIELDS = ["slotwidth", "slotheight", "slotprice"]
 PLACEMENT_FIELDS = ["domain", "slotid", "creative"]
 UNIT_SEPARATOR = "\u001f"
 # ----------------------------------------------------------------------------
+NOT_A_TOKEN = {"logtype", "keypage"}  # never in the bid log
+HIGH_CARDINALITY_FIELDS = [c for c in HASHED_COLUMNS if c not in NOT_A_TOKEN]
+CATEGORICAL_FIELDS = [c for c in PLAIN_CATEGORY_COLUMNS if c not in NOT_A_TOKEN] + HIGH_CARDINALITY_FIELDS
 
 
 def or_null_token(value: Column) -> Column:

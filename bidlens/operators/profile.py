@@ -44,10 +44,10 @@ def by_weekday(df: DataFrame, label: str = "click", timestamp: str = "timestamp"
 
 
 def peak_to_trough(hourly: DataFrame) -> DataFrame:
-    """Busiest and quietest hour; only 24 rows come in."""
+    """Busiest and quietest hour, the earlier one of equals; only 24 rows come in."""
     return hourly.agg(
-        F.max_by("hour", "n").alias("peak_hour"), F.max("n").alias("peak_n"),
-        F.min_by("hour", "n").alias("trough_hour"), F.min("n").alias("trough_n"),
+        F.max_by("hour", F.struct("n", -F.col("hour"))).alias("peak_hour"), F.max("n").alias("peak_n"),
+        F.min_by("hour", F.struct("n", "hour")).alias("trough_hour"), F.min("n").alias("trough_n"),
         (F.max("n") / F.min("n")).alias("peak_to_trough"))
 
 

@@ -176,7 +176,7 @@ def _idx(f: str) -> str:
     return (f"(SELECT idx FROM x WHERE x.field = '{f}' AND x.value = coalesce(lab.\"{f}\", '__null__')) AS {f}_idx")
 
 
-add("encode_indices", f"""SELECT event_id, {', '.join(_idx(f) for f in ('adexchange', 'domain', 'url', 'userid'))},
+add("encode_indices", f"""SELECT event_id, {', '.join(_idx(f) for f in _CATEGORICAL)},
   CAST(hour(ts) AS INT) AS hour_idx FROM lab WHERE split = 'test'""",
     f"v AS ({_VOCAB})",
     """x AS (SELECT field, value, CAST(CASE WHEN is_rare THEN count(*) FILTER (WHERE NOT is_rare) OVER (PARTITION BY field)
@@ -197,8 +197,8 @@ add("imp_clk_agreement", """SELECT count(*) AS joined_rows, count(*) FILTER (WHE
   count(DISTINCT i.bidid) AS shared_ids FROM imp i JOIN clk c ON i.bidid = c.bidid""")
 add("imp_bid_agreement", """SELECT advertiser, count(*) AS n, count(*) FILTER (WHERE m) AS matched,
   count(*) FILTER (WHERE a) AS agrees, count(*) FILTER (WHERE NOT m) AS unmatched
-FROM (SELECT advertiser, EXISTS (SELECT 1 FROM clk c WHERE c.bidid = i.bidid) AS m,
-  EXISTS (SELECT 1 FROM clk c WHERE c.bidid = i.bidid AND c.slotprice = i.slotprice) AS a
+FROM (SELECT advertiser, EXISTS (SELECT 1 FROM bids b WHERE b.bidid = i.bidid) AS m,
+  EXISTS (SELECT 1 FROM bids b WHERE b.bidid = i.bidid AND b.slotprice = i.slotprice) AS a
   FROM imp i WHERE payprice = 0) GROUP BY advertiser""")
 add("zero_price_clicks", "SELECT advertiser, count(*) AS n FROM lab WHERE payprice = 0 AND click = 1 GROUP BY advertiser")
 add("ctr_by_field", union(f"SELECT '{f}' AS field, {f} AS value, {_RATE.format(name='rate')} FROM lab GROUP BY {f}"
@@ -206,8 +206,8 @@ add("ctr_by_field", union(f"SELECT '{f}' AS field, {f} AS value, {_RATE.format(n
 add("ctr_min_rows", f"SELECT slotid, {_RATE.format(name='rate')} FROM lab GROUP BY slotid HAVING count(*) > 400")
 add("ctr_by_hour", f"SELECT CAST(hour(ts) AS INT) AS hour, {_RATE.format(name='rate')} FROM lab GROUP BY 1")
 add("ctr_by_weekday", f"SELECT CAST(dayofweek(ts) + 1 AS INT) AS weekday, {_RATE.format(name='rate')} FROM lab GROUP BY 1")
-add("peak_to_trough", """SELECT (SELECT h FROM hh ORDER BY n DESC LIMIT 1) AS peak_hour, max(n) AS peak_n,
-  (SELECT h FROM hh ORDER BY n LIMIT 1) AS trough_hour, min(n) AS trough_n,
+add("peak_to_trough", """SELECT (SELECT h FROM hh ORDER BY n DESC, h LIMIT 1) AS peak_hour, max(n) AS peak_n,
+  (SELECT h FROM hh ORDER BY n, h LIMIT 1) AS trough_hour, min(n) AS trough_n,
   round(max(n) / min(n)::DOUBLE, 6) AS peak_to_trough FROM hh""",
     "hh AS (SELECT CAST(hour(ts) AS INT) AS h, count(*) AS n FROM lab GROUP BY 1)")
 add("minute_burst", """SELECT CAST(hour(ts) AS INT) AS hour, CAST(minute(ts) AS INT) AS minute, count(*) AS n,

@@ -284,7 +284,7 @@ def vocabulary_summary(spark, d):
 @query
 def encode_indices(spark, d):
     rows = labelled(spark, d)
-    fields = ["adexchange", "domain", "url", "userid"]
+    fields = tokens.CATEGORICAL_FIELDS
     indexed = features.index_vocabulary(features.vocabulary(in_split(rows, "train"), fields, 5))
     encoded = features.encode_indices(in_split(rows, "test"), materialize(indexed, "vocabulary"), fields)
     return encoded.select("event_id", *[f"{f}_idx" for f in fields], "hour_idx")
@@ -317,7 +317,7 @@ def imp_clk_agreement(spark, d):
 @query
 def imp_bid_agreement(spark, d):
     zero = logs.impressions(spark, d).where(profile.ZERO_PRICE)
-    return labels.bid_log_match(zero, logs.clicks(spark, d), by=("advertiser",))
+    return labels.bid_log_match(zero, logs.bids(spark, d), by=("advertiser",))
 
 
 @query
@@ -805,7 +805,8 @@ def sweep_cells(spark, d):
 def dashboard_json(spark, d):
     _, _, hourly = _sweep(spark, d)
     cells = report.dashboard_cells(hourly)
-    return report.dashboard_json(cells, report.dashboard_meta(cells, 2, SPLIT.range_of("test")))
+    days = auction.pool_dates(pool(spark, d)).agg(F.min("first_date"), F.max("last_date")).first()
+    return report.dashboard_json(cells, report.dashboard_meta(cells, 2, tuple(map(str, days))))
 
 
 @query
@@ -879,15 +880,14 @@ def _model_frames(spark, d):
 @query
 def lr_scores(spark, d):
     train, val, test = _model_frames(spark, d)
-    search = models.LinearSearch(train, val, 0.2, keys=KEYS, c_grid=[0.1, 1.0], max_iter=15, dimension=1 << 14)
+    search = models.LinearSearch(train, val, 0.2, keys=KEYS)
     return search.score(test).select("event_id", "click", "p_raw")
 
 
 @query
 def gbt_scores(spark, d):
     train, val, test = _model_frames(spark, d)
-    search = models.TreeSearch(train, val, 0.2, keys=KEYS, max_iter=3, max_depth=3, max_categories=40,
-                               configs={"c1_baseline": models.TREE_CONFIGS["c1_baseline"]})
+    search = models.TreeSearch(train, val, 0.2, keys=KEYS)
     return search.score(test).select("event_id", "click", "p_raw")
 
 
@@ -902,5 +902,4 @@ def isotonic_scores(spark, d):
 @query
 def ablation(spark, d):
     train, val, _ = _model_frames(spark, d)
-    variants = {k: models.ABLATIONS[k] for k in ("full_field_set", "drop_all_high_cardinality")}
-    return models.ablation(train, val, 0.2, keys=KEYS, variants=variants, max_iter=10, dimension=1 << 14)
+    return models.ablation(train, val, 0.2, keys=KEYS)

@@ -31,13 +31,14 @@ HASHED_COLUMNS = [
     "useragent", "IP", "domain", "url", "slotid", "creative", "keypage", "userid",
 ]
 HASH_BUCKETS = 1 << 20
-HASH_SEED = 20130606
+HASH_SEED = 7919
 PARTITION_COLUMNS = ["season", "date"]
 NOT_A_FEATURE = {"bidid", "bidprice"}
 PLAIN_CATEGORY_COLUMNS = [
     "region", "city", "adexchange", "slotvisibility", "slotformat", "advertiser",
     "logtype",
 ]
+PERSON_COLUMNS = ["useragent", "IP", "userid"]
 # --------------------------------------------------------------------------
 
 BID_COLUMNS = [c for c in EVENT_COLUMNS if c not in ABSENT_FROM_BID_LOG]

@@ -269,8 +269,8 @@ def test_models_find_a_signal(spark):
     train, val = df.where("event_id % 3 > 0"), df.where("event_id % 3 = 0")
     linear = models.LinearSearch(train, val, 1.0, keys=["event_id"], c_grid=[0.1, 10.0], dimension=1 << 10, max_iter=20)
     assert linear.records.count() == 2 and linear.records.agg(F.min("auc")).first()[0] > 0.6
-    trees = models.TreeSearch(train, val, 1.0, keys=["event_id"], max_iter=3, max_depth=2,
-                              configs={"c4_fast_lr": models.TREE_CONFIGS["c4_fast_lr"]})
+    trees = models.TreeSearch(train, val, 1.0, keys=["event_id"], rounds=3,
+                              grid={"stumpy": models.TREE_GRID["stumpy"]})
     assert trees.records.first().auc > 0.6
     assert trees.score(val).where("p_raw between 0 and 1").count() == val.count()
 
