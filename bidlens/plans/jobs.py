@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from bidlens import schema
+from bidlens.functions.probability import recalibrate
 from bidlens.operators import auction, calibrate, metrics, models, quality, report, sample, split, sweep
-from bidlens.session import folder_path, materialize
+from bidlens.session import folder_path, materialize, new_table_path
 from bidlens.sources import artifacts, rawlogs, tables
 
 
@@ -18,8 +19,10 @@ def ingest(spark: SparkSession, raw_root: str, base: str, *, seasons: Sequence[i
            overwrite: bool = False) -> DataFrame:
     """Raw files to typed tables, one Spark job per log type; returns the new ledger rows.
 
-    Files whose day is already in the ledger are skipped unless ``overwrite``.
-    Rows in are counted per day while they are written, rows out from the table.
+    Files whose day is already in the ledger are skipped unless ``overwrite``.  A
+    load is all or nothing: typed rows go to a staging folder first, and only when
+    as many are there as lines were read are their days published.  Rows in are
+    the staged rows of a day, rows out those of the published day.
     """
     root = tables.output_root(base, sample_run)
     ledger_path = folder_path(root, "ledger")
@@ -37,16 +40,17 @@ def ingest(spark: SparkSession, raw_root: str, base: str, *, seasons: Sequence[i
         if not mine:
             continue
         paths = [f["path"] for f in mine]
-        days = sorted({(f["season"], f["date"]) for f in mine})
         lines = rawlogs.sample_lines(loader, paths) if sample_run else rawlogs.read_lines(loader, paths)
-        seen = Observation(f"{table}-in")
-        per_day = [F.count_if((F.col("season") == s) & (F.col("date") == F.lit(d))).alias(f"d{i}")
-                   for i, (s, d) in enumerate(days)]
-        tables.write_table(rawlogs.parse_lines(lines.observe(seen, *per_day), log_type), root, table)
-        counted = [(table, s, d, seen.get[f"d{i}"]) for i, (s, d) in enumerate(days)]
-        rows_in = spark.createDataFrame(counted, "table_name string, season int, date date, rows_in long")
-        stored = tables.count_by_day(tables.read_table(spark, root, table), table, "rows_out")
-        rows = rows_in.join(stored, ["table_name", "season", "date"], "left").fillna(0, ["rows_out"])
+        staging, read = new_table_path(spark, f"staged-{table}"), Observation(f"{table}-in")
+        rawlogs.parse_lines(lines.observe(read, F.count(F.lit(1)).alias("lines")), log_type).write.partitionBy(
+            *schema.PARTITION_COLUMNS).parquet(staging)
+        staged = spark.read.parquet(staging)
+        require_whole_load(read.get["lines"], staged.count(), table)
+        tables.write_table(staged, root, table)
+        days = materialize(tables.count_by_day(staged, table, "rows_in"), "loaded-days")
+        published = tables.read_table(spark, root, table).join(F.broadcast(days.select("season", "date")), ["season", "date"])
+        rows = (days.join(tables.count_by_day(published, table, "rows_out"), tables.DAY_KEYS, "left").fillna(0, ["rows_out"])
+                .withColumn("loaded_at", F.current_timestamp()))
         rows = materialize(rows.select(*[f.name for f in tables.LEDGER_SCHEMA]), "ledger")
         tables.require_equal_counts(rows)
         rows.write.mode("append").json(ledger_path)
@@ -55,6 +59,12 @@ def ingest(spark: SparkSession, raw_root: str, base: str, *, seasons: Sequence[i
     return result if result is not None else spark.createDataFrame([], tables.LEDGER_SCHEMA)
 
 
+def require_whole_load(lines: int, rows: int, table: str) -> None:
+    """The gate before publication: what was published before stays when it is shut."""
+    if lines != rows:
+        raise AssertionError(f"{table}: {lines} lines were read but {rows} rows were staged; nothing was published")
+
+
 def validate(spark: SparkSession, base: str, sample_run: bool = False) -> tuple[DataFrame, DataFrame]:
     """Per-table report and verdict over whatever tables exist."""
     root = tables.output_root(base, sample_run)
@@ -74,6 +84,8 @@ def train(spark: SparkSession, base: str, out: str, *, kind: str = "linear", sea
           rate: float = models.NEGATIVE_SAMPLING_RATE, seed: int = models.SEED,
           chosen: split.Split | None = None, touch_test: bool = False, overwrite: bool = False, **options):
     """Split, thin out negatives, search, store scores of val (and once of test) with records."""
+    if touch_test and not overwrite and artifacts.record_exists(spark, f"{out}/evaluation-test"):
+        raise FileExistsError("the test split has been evaluated already; it is not read again")
     frames = _split_frames(spark, tables.output_root(base), season, chosen or split.season_split(season))
     keys = ["bidid", "timestamp", "advertiser"]
     drawn, record = sample.downsample_negatives(frames["train"], rate, seed, ["bidid", "timestamp"])
@@ -84,11 +96,10 @@ def train(spark: SparkSession, base: str, out: str, *, kind: str = "linear", sea
     for name in ("val", "test") if touch_test else ("val",):
         scored = materialize(search.score(frames[name]).withColumnRenamed("click", "y_true"), f"scores-{name}")
         evaluation = metrics.evaluate(scored, "p_raw", model=kind, split=name, sampling_rate=rate)
-        artifacts.write_record(spark, f"{out}/evaluation-{name}", evaluation.first().asDict(),
-                               overwrite=overwrite or name == "val")
-        from bidlens.functions.probability import recalibrate
         final = scored.withColumn("p_calibrated", recalibrate(F.col("p_raw"), rate))
         artifacts.write_predictions(final, f"{out}/{name}", {**info, "split": name})
+        artifacts.write_record(spark, f"{out}/evaluation-{name}", evaluation.first().asDict(),
+                               overwrite=overwrite or name == "val")
     artifacts.append_run_log(spark, f"{out}/runs", {**info, "best": search.records.orderBy("log_loss").first().asDict()})
     return search
 

@@ -17,7 +17,9 @@ LEDGER_SCHEMA = T.StructType([
     T.StructField("date", T.DateType()),
     T.StructField("rows_in", T.LongType()),
     T.StructField("rows_out", T.LongType()),
+    T.StructField("loaded_at", T.TimestampType()),
 ])
+DAY_KEYS = ["table_name", "season", "date"]
 
 
 def output_root(base: str, sample: bool = False) -> str:
@@ -40,14 +42,14 @@ def write_table(df: DataFrame, root: str, table: str, overwrite: bool = True,
      .partitionBy(*schema.PARTITION_COLUMNS).parquet(f"{root}/{table}"))
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
 def table_exists(spark: SparkSession, root: str, table: str) -> bool:
     """True when at least one Parquet file is there; an empty folder is not a table."""
-    fs, path = _file_system(spark, f"{root}/{table}")
+    fs, path = file_system(spark, f"{root}/{table}")
     if not fs.exists(path):
         return False
     files = fs.listFiles(path, True)
@@ -58,7 +60,7 @@ def table_exists(spark: SparkSession, root: str, table: str) -> bool:
 
 
 def folder_bytes(spark: SparkSession, path: str) -> int:
-    fs, jpath = _file_system(spark, path)
+    fs, jpath = file_system(spark, path)
     return fs.getContentSummary(jpath).getLength() if fs.exists(jpath) else 0
 
 
@@ -70,16 +72,18 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The current row of every loaded day; a day that was loaded again has its last one."""
     try:
-        return spark.read.schema(LEDGER_SCHEMA).json(path)
+        rows = spark.read.schema(LEDGER_SCHEMA).json(path)
     except AnalysisException:
         return spark.createDataFrame([], LEDGER_SCHEMA)
+    last = F.max(F.struct("loaded_at", "rows_in", "rows_out")).alias("last")
+    return rows.groupBy(*DAY_KEYS).agg(last).select(*DAY_KEYS, "last.rows_in", "last.rows_out", "last.loaded_at")
 
 
 def pending(files: DataFrame, ledger: DataFrame) -> DataFrame:
     """Files whose (table, season, day) the ledger does not list yet."""
-    keys = ["table_name", "season", "date"]
-    return files.join(ledger.select(*keys).distinct(), keys, "left_anti")
+    return files.join(ledger.select(*DAY_KEYS).distinct(), DAY_KEYS, "left_anti")
 
 
 def count_by_day(df: DataFrame, table: str, name: str) -> DataFrame:
@@ -89,10 +93,9 @@ def count_by_day(df: DataFrame, table: str, name: str) -> DataFrame:
 
 def ledger_rows(source: DataFrame, stored: DataFrame, table: str) -> DataFrame:
     """Rows in and rows out per day; a day missing on one side counts as zero there."""
-    keys = ["table_name", "season", "date"]
     joined = count_by_day(source, table, "rows_in").join(
-        count_by_day(stored, table, "rows_out"), keys, "full")
-    return joined.select(*keys, F.coalesce("rows_in", F.lit(0)).alias("rows_in"),
+        count_by_day(stored, table, "rows_out"), DAY_KEYS, "full")
+    return joined.select(*DAY_KEYS, F.coalesce("rows_in", F.lit(0)).alias("rows_in"),
                          F.coalesce("rows_out", F.lit(0)).alias("rows_out"))
 
 

@@ -34,7 +34,7 @@ def test_pipeline(spark, base):
     out = f"{base}/model"
     options = dict(rate=0.2, chosen=queries.SPLIT, touch_test=True, c_grid=[0.1], max_iter=5, dimension=1 << 10)
     jobs.train(spark, base, out, **options)
-    with pytest.raises(Exception):               # the test record is written once
+    with pytest.raises(FileExistsError):         # the test split is read once
         jobs.train(spark, base, out, **options)
     assert 0 <= artifacts.read_record(spark, f"{out}/evaluation-test")["ece"] <= 1
     final = jobs.calibrate_scores(spark, out)
@@ -50,6 +50,25 @@ def test_pipeline(spark, base):
                for s in ("constant", "random", "linear_ctr")) == 400
 
 
+def test_loads_are_all_or_nothing(spark, base, tmp_path, monkeypatch):
+    raw, logs = tmp_path / "raw" / "training2nd", str(tmp_path / "logs")
+    raw.mkdir(parents=True)
+    lines = [r.line for r in event_logs.raw_lines(event_logs.clicks(spark, FOLDER), "clk").limit(6).collect()]
+    (raw / "clk.20240105.txt").write_text("\n".join(lines[:4]) + "\n")
+    jobs.ingest(spark, str(tmp_path / "raw"), logs, log_types=["clk"])
+    assert tables.read_table(spark, f"{logs}/processed", "clicks").count() == 4
+    (raw / "clk.20240105.txt").write_text("\n".join(lines) + "\n")
+    parse, lost = jobs.rawlogs.parse_lines, lines[0].split("\t")[0]
+    monkeypatch.setattr(jobs.rawlogs, "parse_lines", lambda df, kind: parse(df, kind).where(f"bidid <> '{lost}'"))
+    with pytest.raises(AssertionError, match="nothing was published"):
+        jobs.ingest(spark, str(tmp_path / "raw"), logs, log_types=["clk"], overwrite=True)
+    assert tables.read_table(spark, f"{logs}/processed", "clicks").count() == 4
+    monkeypatch.undo()
+    jobs.ingest(spark, str(tmp_path / "raw"), logs, log_types=["clk"], overwrite=True)
+    ledger = tables.read_ledger(spark, f"{logs}/processed/ledger").collect()
+    assert [(r.rows_in, r.rows_out) for r in ledger] == [(6, 6)]
+
+
 def test_split_frames_hold_no_settlement_columns(spark, base):
     processed = f"{base}/processed"
     frame = split.load_split(tables.read_table(spark, processed, "impressions"),
