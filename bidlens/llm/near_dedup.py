@@ -272,8 +272,9 @@ def full_sets(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame)
                                                  names=["digest", "shingles"])
 
     built = passing.mapInArrow(build, "digest binary, shingles binary")
-    return materialize(built.join(materialize(wanted, "wanted"), "digest", "left_semi")
-                       .groupBy("digest").agg(F.first("shingles").alias("shingles")), "full-sets")
+    # Copies of a text meet in one row per task before anything is shuffled.
+    one_each = built.groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    return materialize(one_each.join(materialize(wanted, "wanted"), "digest", "left_semi"), "full-sets")
 
 
 def tested_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
