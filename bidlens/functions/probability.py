@@ -13,7 +13,7 @@ NO_POSITIVES = "undefined (0 observed positives)"
 
 def check_rate(rate: float) -> float:
     if not 0.0 < rate <= 1.0:
-        raise ValueError(f"sampling rate must lie in (0, 1], got {rate!r}")
+        raise ValueError(f"{rate!r} is not a share of rows to keep: more than 0, at most 1")
     return float(rate)
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidlens.functions import tokens
 from bidlens.operators import metrics
 from bidlens.operators.prefix import join_null_safe
+from bidlens.session import materialize
 
 
 def flag_seen(test: DataFrame, train: DataFrame, fields: Sequence[str] = tuple(tokens.PLACEMENT_FIELDS),
@@ -44,13 +45,16 @@ def require_partition(stats: DataFrame, whole: DataFrame, label: str = "y_true")
 def seen_unseen(test: DataFrame, full_train: DataFrame, sampled_train: DataFrame, score: str,
                 label: str = "y_true", fields: Sequence[str] = tuple(tokens.PLACEMENT_FIELDS)) -> DataFrame:
     """Both definitions of "seen" side by side, with standard errors."""
-    flagged = flag_seen(flag_seen(test, full_train, fields, "seen_in_full_train"),
-                        sampled_train, fields, "seen_in_sampled_train")
-    parts = [bucket_stats(flagged, score, f, label).select(
-        F.lit(name).alias("definition"), F.when(F.col(f), "seen").otherwise("unseen").alias("bucket"),
-        "n", "n_positive", "positive_rate", "share", "auc", "undefined_reason")
-        for name, f in (("full train", "seen_in_full_train"), ("sampled train", "seen_in_sampled_train"))]
-    return metrics.auc_standard_error(parts[0].unionByName(parts[1]))
+    flagged = materialize(flag_seen(flag_seen(test, full_train, fields, "seen_in_full_train"),
+                                    sampled_train, fields, "seen_in_sampled_train"), "seen-flags")
+    both = F.array(*[F.struct(F.lit(name).alias("definition"), F.when(F.col(f), "seen").otherwise("unseen").alias("bucket"))
+                     for name, f in (("full train", "seen_in_full_train"), ("sampled train", "seen_in_sampled_train"))])
+    long = flagged.select(score, label, F.explode(both).alias("d")).select(score, label, "d.definition", "d.bucket")
+    areas = metrics.auc(long, score, label, ["definition", "bucket"])
+    total = F.sum("n").over(Window.partitionBy("definition"))  # two rows per definition
+    return metrics.auc_standard_error(areas.select(
+        "definition", "bucket", "n", "n_positive", (F.col("n_positive") / F.col("n")).alias("positive_rate"),
+        (F.col("n") / total).alias("share"), "auc", "undefined_reason"))
 
 
 def same_rows(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:

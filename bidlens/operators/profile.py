@@ -6,7 +6,7 @@ a large share of the rows costs no more than any other.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,6 +121,19 @@ def concentration(df: DataFrame, rule: str, by: Sequence[str | Column]) -> DataF
         "share_of_rows": safe_ratio(F.col("n"), rows)})
 
 
+def concentration_by_keys(df: DataFrame, rule: str, keys: Mapping[str, Column]) -> DataFrame:
+    """``concentration`` for several keys in one scan; rows are summed per (by, value) before the shuffle."""
+    pairs = F.array(*[F.struct(F.lit(name).alias("by"), value.cast("string").alias("value")) for name, value in keys.items()])
+    hit = F.coalesce(F.expr(rule), F.lit(False)).cast("int").alias("_hit")
+    out = df.select(hit, F.explode(pairs).alias("k")).groupBy("k.by", "k.value").agg(
+        F.count("*").alias("n"), F.sum("_hit").alias("n_hit"))
+    # Every row has each key, so the sums of one key are those of the table.
+    whole = out.where(F.col("by") == next(iter(keys)))
+    hits, rows = whole.agg(F.sum("n_hit")).scalar(), whole.agg(F.sum("n")).scalar()
+    return out.select("by", "value", "n", "n_hit", (F.col("n_hit") / F.col("n")).alias("rate"),
+                      safe_ratio(F.col("n_hit"), hits).alias("share_of_hits"), safe_ratio(F.col("n"), rows).alias("share_of_rows"))
+
+
 def floor_test(df: DataFrame, population: Column, rule: str = ZERO_PRICE) -> DataFrame:
     """Of the rows of ``rule``: how many had a positive floor, per population."""
     return df.where(rule).groupBy(population.alias("population")).agg(

@@ -90,5 +90,3 @@ def raw_lines(table: DataFrame, log_type: str) -> DataFrame:
     plain = table.drop("usertag").withColumnRenamed("usertag_text", "usertag")
     return render_lines(plain, log_type, keep=KEEP)
 
-
-SEASON_COLUMNS = schema.PARTITION_COLUMNS

@@ -100,10 +100,28 @@ def train(spark: SparkSession, base: str, out: str, *, kind: str = "linear", sea
         artifacts.write_predictions(final, f"{out}/{name}", {**info, "split": name})
         artifacts.write_record(spark, f"{out}/evaluation-{name}", evaluation.first().asDict(),
                                overwrite=overwrite or name == "val")
+    search.save(spark, f"{out}/model")
     artifacts.append_run_log(spark, f"{out}/runs", {**info, "best": search.records.orderBy("log_loss").first().asDict()})
     return search
 
 
+def score_stored(spark: SparkSession, out: str, rows: DataFrame, rate: float) -> DataFrame:
+    """Raw and recalibrated scores of ``rows`` by the model that ``train`` stored below ``out``."""
+    scored = models.load_search(spark, f"{out}/model").score(rows)
+    return scored.withColumn("p_calibrated", recalibrate(F.col("p_raw"), rate))
+
+
+def require_reproduced(again: DataFrame, stored: DataFrame, tolerance: float = 1e-9) -> None:
+    """Scores of the same keys must agree; a key without partner or with another score stops the job."""
+    keys = artifacts.PREDICTION_KEYS
+    fold = [F.avg("p_raw").alias("p"), F.count("*").alias("n")]
+    both = again.groupBy(*keys).agg(*fold).withColumnsRenamed({"p": "p2", "n": "n2"}).join(
+        stored.groupBy(*keys).agg(*fold), keys, "full")
+    wrong = both.where(~F.coalesce((F.col("n") == F.col("n2")) & (F.abs(F.col("p") - F.col("p2")) <= tolerance), F.lit(False)))
+    if not wrong.isEmpty():
+        raise AssertionError("the stored model does not give the stored scores")
+
+
 def calibrate_scores(spark: SparkSession, out: str) -> DataFrame:
     """Isotonic fit on the validation scores, applied once to the test scores, and audited."""
     val, val_info = artifacts.read_predictions(spark, f"{out}/val")

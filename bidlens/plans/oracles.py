@@ -267,9 +267,9 @@ FROM (SELECT date, count(*) AS n, CAST(sum(click) AS BIGINT) AS n_positive, avg(
 add("zero_price_concentration", union(f"""SELECT '{n}' AS "by", CAST({e} AS VARCHAR) AS value, count(*) AS n,
   count(*) FILTER (WHERE payprice = 0) AS n_hit, round(count(*) FILTER (WHERE payprice = 0) / count(*)::DOUBLE, 6) AS rate,
   round(count(*) FILTER (WHERE payprice = 0) / (SELECT count(*) FROM imp WHERE payprice = 0)::DOUBLE, 6) AS share_of_hits,
-  round(count(*) / (SELECT count(*) FROM imp)::DOUBLE, 6) AS share_of_rows FROM imp GROUP BY {e}"""
+  round(count(*) / (SELECT count(*) FROM imp)::DOUBLE, 6) AS share_of_rows FROM imp GROUP BY CAST({e} AS VARCHAR)"""
     for n, e in {"advertiser": "advertiser", "date": "date", "hour": "hour(ts)",
-                 "exchange": "coalesce(adexchange, 'none')", "slot": "slotid", "creative": "creative"}.items()))
+                 "exchange": "coalesce(adexchange, 'none')", "slot": "slotid", "creative": "creative", "season": "2"}.items()))
 add("floor_test", """SELECT CASE WHEN advertiser = '2' THEN 'advertiser 2' ELSE 'others' END AS population, count(*) AS n,
   count(*) FILTER (WHERE slotprice > 0) AS floor_breached, count(*) FILTER (WHERE slotprice = 0) AS no_floor,
   round(count(*) FILTER (WHERE slotprice > 0) / count(*)::DOUBLE, 6) AS breach_share

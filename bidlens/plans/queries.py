@@ -436,13 +436,8 @@ def zero_price_concentration(spark, d):
     rows = logs.impressions(spark, d)
     keys = {"advertiser": F.col("advertiser"), "date": F.col("date").cast("string"),
             "hour": F.hour("timestamp").cast("string"), "exchange": F.coalesce("adexchange", F.lit("none")),
-            "slot": F.col("slotid"), "creative": F.col("creative")}
-    parts = [profile.concentration(rows, profile.ZERO_PRICE, [k.alias("value")]).withColumn("by", F.lit(n))
-             for n, k in keys.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return rounded(out)
+            "slot": F.col("slotid"), "creative": F.col("creative"), "season": F.col("season")}
+    return rounded(profile.concentration_by_keys(rows, profile.ZERO_PRICE, keys))
 
 
 def _population():

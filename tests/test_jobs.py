@@ -37,6 +37,12 @@ def test_pipeline(spark, base):
     with pytest.raises(FileExistsError):         # the test split is read once
         jobs.train(spark, base, out, **options)
     assert 0 <= artifacts.read_record(spark, f"{out}/evaluation-test")["ece"] <= 1
+    val = split.load_split(imp, clk, 2, "val", queries.SPLIT, keys=["bidid"])
+    stored = artifacts.read_predictions(spark, f"{out}/val")[0]
+    again = jobs.score_stored(spark.newSession(), out, val, 0.2)
+    jobs.require_reproduced(again, stored)
+    with pytest.raises(AssertionError):
+        jobs.require_reproduced(again.withColumn("p_raw", again.p_raw + 1e-6), stored)
     final = jobs.calibrate_scores(spark, out)
     assert final.where("p_isotonic is null or p_isotonic not between 0 and 1").count() == 0
     assert artifacts.read_predictions(spark, f"{out}/test-calibrated")[1]["calibrator_fit_split"] == "val"
