@@ -128,8 +128,9 @@ def impression_summary(df: DataFrame) -> DataFrame:
     per_price = df.groupBy("payprice").agg(
         F.count("*").alias("_n"), F.sum("bidprice").alias("_bid"), F.count("bidprice").alias("_nb"))
     return per_price.agg(
-        F.sum("_n").alias("n"), F.min("payprice").alias("mn"), F.max("payprice").alias("mx"),
+        F.sum("_n").alias("impressions"), F.min("payprice").alias("price_lowest"),
+        F.max("payprice").alias("price_highest"),
         F.round(F.sum(F.col("payprice") * F.col("_n"))
-                / F.sum(F.when(F.col("payprice").isNotNull(), F.col("_n"))), 2).alias("mean"),
-        F.percentile("payprice", 0.5, F.col("_n")).alias("med"),
-        F.round(F.sum("_bid") / F.sum("_nb"), 2).alias("avg_bid"))
+                / F.sum(F.when(F.col("payprice").isNotNull(), F.col("_n"))), 2).alias("price_average"),
+        F.percentile("payprice", 0.5, F.col("_n")).alias("price_middle"),
+        F.round(F.sum("_bid") / F.sum("_nb"), 2).alias("bid_average"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bidlens.schema import HASH_SEED
+
 ORACLES: dict[str, str] = {}
 
 # --- Shared derived tables ------------------------------------------------------
@@ -90,14 +92,15 @@ _SPREAD = ("count(*) AS n, count(DISTINCT bidprice) AS n_distinct_bidprice, "
 add("bidprice_spread", f"SELECT season, advertiser, {_SPREAD} FROM imp GROUP BY season, advertiser")
 add("bidprice_lookup", f"""SELECT season, advertiser, adexchange, {_SPREAD},
   count(DISTINCT bidprice) = 1 AS recoverable FROM imp GROUP BY season, advertiser, adexchange""")
-add("impression_summary", """SELECT count(*) AS n, min(payprice) AS mn, max(payprice) AS mx,
-  round(avg(payprice), 2) AS mean, CAST(median(payprice) AS DOUBLE) AS med, round(avg(bidprice), 2) AS avg_bid FROM imp""")
+add("impression_summary", """SELECT avg(bidprice).round(2) AS bid_average, count(*) AS impressions,
+  avg(payprice).round(2) AS price_average, max(payprice) AS price_highest, min(payprice) AS price_lowest,
+  CAST(median(payprice) AS DOUBLE) AS price_middle FROM imp""")
 
 # --- Ingest -----------------------------------------------------------------------
 
 
 def _md5_bucket(c: str, buckets: int = 1 << 20) -> str:
-    return (f"CASE WHEN {c} IS NOT NULL THEN CAST('0x' || substr(md5('20130606:' || {c}), 1, 12) AS BIGINT) "
+    return (f"CASE WHEN {c} IS NOT NULL THEN CAST('0x' || substr(md5('{HASH_SEED}:' || {c}), 1, 12) AS BIGINT) "
             f"% {buckets} END")
 
 
