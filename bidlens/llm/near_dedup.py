@@ -7,7 +7,7 @@ starts at another place of the signature; classes that share the first ``DEPTH``
 minima of an order are a region of it.  Depth is adaptive: a region of few classes
 is compared as a whole; a larger one is sorted by the further minima, cut into
 runs of a bounded length, and in a run a class meets the neighbours with the
-longest common prefix, the closest by sketch (one byte of each minimum), and the
+longest common prefix, the closest by sketch (the low byte of each minimum), and the
 run's hubs, the classes closest to what most of it agrees on.  A text that a
 large group of copies was made from is such a hub.  Candidates per class and
 order are a fixed number, however large its region is; orders are
@@ -92,6 +92,11 @@ def signature(shingles: np.ndarray, rows: int = 512) -> np.ndarray:
     return lowest
 
 
+def sketch(minima: np.ndarray) -> np.ndarray:
+    """The low byte of each minimum: the high ones of a large set's minima are all zero."""
+    return (minima & np.uint32(0xFF)).astype(np.uint8)
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from bidlens.llm.bpe import slices
 
@@ -105,7 +110,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     m = signature(s)
                     digests.append(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest())
                     minima.append(m.astype("<u4").tobytes())
-                    sketches.append((m >> np.uint32(24)).astype(np.uint8).tobytes())
+                    sketches.append(sketch(m).tobytes())
                 else:
                     for column in (digests, minima, sketches):
                         column.append(None)

@@ -244,6 +244,57 @@ def test_near_copies_go(spark, texts):
     assert near_dedup.drop_near_copies(docs.limit(0)).count() == 0
 
 
+def edited(words, places, mark, rng):
+    words = list(words)
+    for at in rng.sample(range(len(words)), places):
+        words[at] = f"{mark}x{at}"
+    return words
+
+
+def links_by_brute_force(texts):
+    """All linked pairs, from counts of the shingles that two or more texts share."""
+    sets = [shingles(t) for t in texts]
+    sizes, holders = np.array([len(s) for s in sets]), defaultdict(list)
+    for i, s in enumerate(sets):
+        for shingle in s:
+            holders[shingle].append(i)
+    wide = [h for h in holders.values() if len(h) > 2]
+    has = np.zeros((len(texts), len(wide)), np.float32)
+    for k, h in enumerate(wide):
+        has[h, k] = 1
+    common = has @ has.T
+    for h in holders.values():
+        if len(h) == 2:
+            common[h[0], h[1]] += 1
+            common[h[1], h[0]] += 1
+    linked = 100 * common >= 75 * (sizes[:, None] + sizes - common)
+    return [(i, j) for i, j in np.argwhere(np.triu(linked, 1)).tolist()]
+
+
+def smallest_linked(n, links):
+    root = list(range(n))
+    for _ in range(n):
+        before = list(root)
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            return root
+
+
+def test_versions_of_a_long_text_meet(spark):
+    """Each version is linked to the original alone, and each later version to its own version alone."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(20_000)}" for _ in range(3000)]
+    versions = [edited(base, 74, f"v{k}", rng) for k in range(500)]
+    later = [edited(v, 74, f"l{k}", rng) for k, v in enumerate(versions[:499])]
+    texts = [" ".join(t) for t in [base, *versions, *later]]
+    links = links_by_brute_force(texts)
+    want = smallest_linked(len(texts), links)
+    assert len(links) < 1100 and set(want) == {0}
+    found = {r.doc_id: r.component_id for r in near_dedup.near_groups(table(spark, texts)).collect()}
+    assert sum(found[i] != w for i, w in enumerate(want)) == 0
+
+
 def test_star_contraction(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
