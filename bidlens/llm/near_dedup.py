@@ -4,22 +4,24 @@ A document's set is its distinct five-word shingles.  Documents with equal sets
 are one class and only its representative goes on, so copies never meet in pairs.
 A class has a signature of ``HASHES`` minima.  Each of ``TREES`` sorted orders
 starts at another place of the signature; classes that share the first ``DEPTH``
-minima of an order are a region of it.  Depth is adaptive: a region of few classes
-is compared as a whole; a larger one is sorted by the further minima, cut into
-runs of a bounded length, and in a run a class meets the neighbours with the
-longest common prefix, the closest by sketch (the low byte of each minimum), and the
-run's hubs, the classes closest to what most of it agrees on.  A text that a
-large group of copies was made from is such a hub.  Candidates per class and
-order are a fixed number, however large its region is; orders are
-range-partitioned, so a very large region lies in many tasks.
+minima of an order are a region of it.  A region of few classes is compared as a
+whole.  A larger one is first sorted by the further minima and cut into runs of a
+bounded length; in a run a class meets the neighbours with the longest common
+prefix, the closest by sketch (the low byte of each minimum), and the run's hubs,
+the classes closest to what most of it agrees on.  These pairs only find early
+which classes of a large region belong together: orders are range-partitioned, so a
+very large region lies in many tasks, and candidates per class are a fixed number.
 
 Candidates must agree in their sketches in a number of places that a link misses
 with a probability below 1e-7, and are then confirmed on the full sets, which are
-built again for the documents concerned only.  A class that is nearly linked to
-a component that is no smaller than its own is then compared with the 64 closest
-classes of other components in each of its runs, so that one link to a group is
-found even where other members of the group are closer by sketch.  Links make
-components by alternating star contraction, one stored table per step.
+built again for the documents concerned only.  Links make components by
+alternating star contraction, one stored table per step.  Then every pair of a
+large region whose classes are still in two components is compared by sketch and,
+where that makes a link possible, by its full sets: classes are dealt into blocks
+of bounded size, and each pair of blocks is one group of a task.  A pair is left
+out only if its classes are in one component already, so what is found does not
+depend on the first candidates.  The work of a region grows with the pairs of its
+classes that are in different components.
 
 A pair at the threshold shares no region in any order with probability
 (1 - 0.75**DEPTH) ** TREES = 5e-6; pairs above it, and components with more than
@@ -52,10 +54,9 @@ WORDS = 5
 THRESHOLD = 75  # per cent
 TREES, DEPTH = 32, 4
 HASHES = TREES * DEPTH
-NEARLY = 70
 WHOLE_REGION, LONGEST_RUN = 8, 1024
 NEIGHBOURS, CLOSEST, HUBS = 1, 2, 2
-OPEN_CLOSEST = 64
+BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1 << 20
 LEAST_AGREEING = 68  # of HASHES: 5.7 standard deviations below the mean at the threshold
 BITMAP_BITS = 24
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -141,16 +142,16 @@ def set_classes(signed: DataFrame, doc_id: str) -> DataFrame:
 
 
 def region_members(classes: DataFrame) -> DataFrame:
-    """region, label, digest, n, sketch of every class in a region of two or more; ``label`` orders a region."""
+    """region, tree, size, label, digest, n, sketch of every class in a region of two or more; ``label`` orders a region."""
     width = 4 * DEPTH
     twice = F.concat("minima", "minima")
     places = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(
-        F.xxhash64(t, F.substring(twice, t * width + 1, F.lit(width))).alias("region"),
+        t.alias("tree"), F.xxhash64(t, F.substring(twice, t * width + 1, F.lit(width))).alias("region"),
         F.substring(twice, (t + 1) * width + 1, F.lit(width)).alias("label")))
-    placed = classes.select("digest", F.explode(places).alias("p")).select("p.region", "p.label", "digest")
-    shared = materialize(placed.groupBy("region").agg(F.count("*").alias("size")).where("size > 1").select("region"), "regions")
+    placed = classes.select("digest", F.explode(places).alias("p")).select("p.region", "p.tree", "p.label", "digest")
+    shared = materialize(placed.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"), "regions")
     return materialize(placed.join(shared, "region").join(classes.select("digest", "n", "sketch"), "digest")
-                       .select("region", "label", "digest", "n", "sketch"), "members")
+                       .select("region", "tree", "size", "label", "digest", "n", "sketch"), "members")
 
 
 def chunk_pairs(sketches: np.ndarray) -> np.ndarray:
@@ -177,29 +178,14 @@ def chunk_pairs(sketches: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
-def open_pairs(sketches: np.ndarray, run: list[tuple]) -> np.ndarray:
-    """Index pairs of the open classes of a run with the closest classes of other components."""
-    roots, found = np.array([r[4] for r in run], object), [np.empty((0, 2), np.int64)]
-    for i in (i for i, r in enumerate(run) if r[3]):
-        agreeing = np.where(roots == roots[i], -1, (sketches == sketches[i]).sum(1))
-        close = np.argsort(-agreeing, kind="stable")[:OPEN_CLOSEST]
-        found.append(np.column_stack([np.full(len(close), i), close])[agreeing[close] >= LEAST_AGREEING])
-    return np.concatenate(found)
-
-
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted members to likely pairs (a, b); holds one run of a region at a time.
-
-    With two more columns, whether a class is open and the root of its component,
-    only open classes get pairs, and only with classes of other components.
-    """
+    """Sorted members to likely pairs (a, b); holds one run of a region at a time."""
     def pairs(run: list[tuple]) -> pa.RecordBatch | None:
         if len(run) < 2:
             return None
         sketches = np.frombuffer(b"".join(r[2] for r in run), np.uint8).reshape(-1, HASHES)
         n = np.array([r[1] for r in run], np.int64)
-        chosen = open_pairs(sketches, run) if len(run[0]) > 3 else chunk_pairs(sketches)
-        left, right = chosen.T
+        left, right = chunk_pairs(sketches).T
         small, large = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
         good = (left != right) & (100 * small >= THRESHOLD * large)
         good[good] = (sketches[left[good]] == sketches[right[good]]).sum(1) >= LEAST_AGREEING
@@ -221,43 +207,115 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidate_pairs(members: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) whose sketches make a link possible; of open classes where ``members`` tells them."""
-    order = ["region", "label", "digest"]
-    columns = ["region", "digest", "n", "sketch"] + (["open", "root"] if "open" in members.columns else [])
-    sorted_members = members.repartitionByRange(*order).sortWithinPartitions(*order)
-    return sorted_members.select(*columns).mapInArrow(_candidates, "a binary, b binary").distinct()
+    """Distinct pairs (a, b) whose sketches make a link possible."""
+    # Only a large region may lie in more than one task.
+    large = F.col("size") > WHOLE_REGION
+    dealt = members.repartitionByRange("region", F.when(large, F.col("label")), F.when(large, F.col("digest")))
+    return (dealt.sortWithinPartitions("region", "label", "digest").select("region", "digest", "n", "sketch")
+            .mapInArrow(_candidates, "a binary, b binary").distinct())
 
 
-def component_labels(stars: DataFrame) -> DataFrame:
-    """node, root, size for every class of a component of two or more."""
-    sizes = stars.groupBy("root").agg((F.count("*") + 1).alias("size"))
-    nodes = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
-    return materialize(nodes.join(sizes, "root").select("node", "root", "size"), "labels")
+def block_members(members: DataFrame, classes: DataFrame, stars: DataFrame) -> DataFrame:
+    """Classes of the large regions that hold several components, once for each pair of blocks they are in.
 
+    region, low, high (the blocks), second (whether the class is of block ``high``, not ``low``), tree, digest, n,
+    minima, root.
+    """
+    nodes = stars.select(F.col("node").alias("digest"), "root")
+    placed = (members.where(F.col("size") > WHOLE_REGION).select("region", "tree", "digest", "n")
+              .join(nodes, "digest", "left").withColumn("root", F.coalesce("root", "digest")))
+    regions = materialize(
+        placed.groupBy("region").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"),
+                                     F.min("root").alias("least"), F.max("root").alias("most"))
+        .where("least <> most").select("region", F.greatest(
+            F.ceil(F.col("size") / BLOCK_CLASSES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("blocks")), "split-regions")
+    own = placed.join(regions, "region").withColumn("own", F.pmod(F.xxhash64("digest"), "blocks"))
+    each = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return each.join(classes.select("digest", "minima"), "digest").select(
+        "region", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        (F.col("own") > F.col("other")).alias("second"), "tree", "digest", "n", "minima", "root")
+
+
+def linked_with(i: int, others: np.ndarray, codes: list[np.ndarray], mark: np.ndarray) -> np.ndarray:
+    """Those of ``others`` whose sets are linked with set ``i``; ``mark`` is all false before and after."""
+    sizes = np.array([len(codes[j]) for j in others])
+    mark[codes[i]] = True
+    common = np.add.reduceat(mark[np.concatenate([codes[j] for j in others])], np.r_[0, np.cumsum(sizes)[:-1]], dtype=np.int64)
+    mark[codes[i]] = False
+    return others[100 * common >= THRESHOLD * (len(codes[i]) + sizes - common)]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks, sorted, to what may be linked across components in them; holds one pair of blocks at a time.
+
+    Without full sets, the rows that have a possible partner; with them, links
+    (a, b): of each two components that are linked here, at least a path.  A pair
+    that shares more regions is looked at in the first of them only.
+    """
+    def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        block = pa.Table.from_batches(rows).combine_chunks()
+        roots = np.unique(np.array(block["root"].to_pylist(), object), return_inverse=True)[1]
+        if not roots.any():
+            return None
+        m, n, second = len(roots), block["n"].to_numpy(), block["second"].to_numpy()
+        minima = np.frombuffer(b"".join(block["minima"].to_pylist()), "<u4").reshape(m, HASHES)
+        sketches, regions, tree = sketch(minima), minima.reshape(m, TREES, DEPTH), block["tree"][0].as_py()
+        across = block["low"][0].as_py() != block["high"][0].as_py()
+        tested, useful, links = "shingles" in block.column_names, np.zeros(m, bool), []
+        if tested:
+            sets = [np.frombuffer(s, "<u8") for s in block["shingles"].to_pylist()]
+            whole = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            codes, mark = np.split(whole, np.cumsum(n)[:-1]), np.zeros(int(whole.max()) + 1, bool)
+        for i in np.flatnonzero(~second) if across else range(m):
+            apart = (roots != roots[i]) & (100 * np.minimum(n, n[i]) >= THRESHOLD * np.maximum(n, n[i]))
+            others = np.flatnonzero(apart & second) if across else i + 1 + np.flatnonzero(apart[i + 1:])
+            others = others[(sketches[others] == sketches[i]).sum(1) >= LEAST_AGREEING]
+            others = others[(regions[others] == regions[i]).all(2).argmax(1) == tree]
+            if len(others) and tested:
+                for j in linked_with(i, others, codes, mark):
+                    if roots[j] != roots[i]:
+                        links.append((i, j))
+                        roots[roots == roots[j]] = roots[i]
+            elif len(others):
+                useful[i] = useful[others] = True
+        if tested:
+            digests = block["digest"]
+            return pa.RecordBatch.from_arrays([digests.take(pa.array([x[k] for x in links], pa.int64())).combine_chunks()
+                                               for k in (0, 1)], names=["a", "b"]) if links else None
+        return block.filter(pa.array(useful)).combine_chunks().to_batches()[0] if useful.any() else None
+
+    key, rows = None, []
+    for batch in batches:
+        keys = list(zip(*[batch.column(c).to_pylist() for c in ("region", "low", "high")]))
+        cuts = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]], len(keys)]
+        for start, end in zip(cuts, cuts[1:]):
+            if start < end and keys[start] != key:
+                if rows and (out := pairs(rows)) is not None:
+                    yield out
+                key, rows = keys[start], []
+            if start < end:
+                rows.append(batch.slice(start, end - start))
+    if rows and (out := pairs(rows)) is not None:
+        yield out
 
-def open_classes(tested: DataFrame, labels: DataFrame) -> DataFrame:
-    """Classes that are nearly linked to a class of a component that is not smaller than their own.
 
-    That component may hold another class that is linked, so these are compared
-    with more classes of other components.
-    """
-    ends = tested.where("NOT linked")
-    for side in ("a", "b"):
-        own = labels.withColumnsRenamed({"node": side, "root": f"{side}_root", "size": f"{side}_size"})
-        ends = ends.join(own, side, "left").withColumns({
-            f"{side}_root": F.coalesce(f"{side}_root", side), f"{side}_size": F.coalesce(f"{side}_size", F.lit(1))})
-    smaller = F.when(F.struct("a_size", "a_root") < F.struct("b_size", "b_root"), F.col("a")).otherwise(F.col("b"))
-    return ends.where("a_root <> b_root").select(smaller.alias("digest")).distinct()
+def links_across(docs: DataFrame, text: str, classes: DataFrame, members: DataFrame, stars: DataFrame) -> DataFrame:
+    """a, b: links that join all components that any pair of a large region links."""
+    key = ["region", "low", "high"]
+    blocks = block_members(members, classes, stars)
+    possible = materialize(blocks.repartition(*key).sortWithinPartitions(*key).mapInArrow(_meet, blocks.schema), "possible")
+    sets = full_sets(docs, text, classes, possible.select("digest").distinct())
+    return materialize(possible.join(sets, "digest").repartition(*key).sortWithinPartitions(*key)
+                       .mapInArrow(_meet, "a binary, b binary"), "links-across")
 
 
-def full_sets(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """digest, shingles of the classes in ``pairs``, built again from their texts.
+def full_sets(docs: DataFrame, text: str, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """digest, shingles of the classes in ``wanted``, built again from their texts.
 
     Texts are let through by a bitmap of text hashes: a table of at most
     2 ** (BITMAP_BITS - 6) rows, so it is broadcast.  What passes by chance is
-    dropped when the sets meet the pairs.
+    dropped when the sets meet ``wanted``.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
     bit = F.pmod(F.col("text_hash"), F.lit(1 << BITMAP_BITS))
     word, mask = (bit / 64).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(text_hash, {1 << BITMAP_BITS}) % 64 as int))")
     bitmap = materialize(classes.select("digest", "text_hash").join(wanted, "digest").select(word.alias("word"), mask.alias("bit"))
@@ -283,24 +341,21 @@ def full_sets(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame)
 
 
 def tested_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, linked of the pairs whose full sets are linked or nearly so."""
+    """a, b of the pairs whose full sets are linked."""
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near, linked = [], []
+            linked = []
             for i in range(batch.num_rows):
                 x, y = (np.frombuffer(batch.column(c)[i].as_py(), "<u8") for c in (2, 3))
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                either = len(x) + len(y) - common
-                if 100 * common >= NEARLY * either:
-                    near.append(i)
-                    linked.append(100 * common >= THRESHOLD * either)
-            at = pa.array(near, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(linked, pa.bool_())],
-                                             names=["a", "b", "linked"])
+                if 100 * common >= THRESHOLD * (len(x) + len(y) - common):
+                    linked.append(i)
+            at = pa.array(linked, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
     both = (pairs.select("a", "b").join(sets.withColumnsRenamed({"digest": "a", "shingles": "left_set"}), "a")
             .join(sets.withColumnsRenamed({"digest": "b", "shingles": "right_set"}), "b"))
-    return both.select("a", "b", "left_set", "right_set").mapInArrow(confirm, "a binary, b binary, linked boolean")
+    return both.select("a", "b", "left_set", "right_set").mapInArrow(confirm, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -338,16 +393,13 @@ def _with_components(docs: DataFrame, keep: list[str], text: str, doc_id: str) -
     classes = set_classes(signed, doc_id)
     members = region_members(classes)
     pairs = materialize(candidate_pairs(members), "candidates")
-    tested = materialize(tested_pairs(pairs, full_sets(docs, text, classes, pairs)), "tested")
-    stars = components(tested.where("linked"))
-    labels = component_labels(stars)
-    unsettled = materialize(open_classes(tested, labels).withColumn("open", F.lit(True)), "open-classes")
-    again = (members.join(unsettled, "digest", "left").join(labels.select(F.col("node").alias("digest"), "root"), "digest", "left")
-             .withColumns({"open": F.coalesce("open", F.lit(False)), "root": F.coalesce("root", "digest")}))
-    rest = materialize(candidate_pairs(again).join(pairs, ["a", "b"], "left_anti"), "candidates")
-    more = materialize(tested_pairs(rest, full_sets(docs, text, classes, rest)), "tested")
-    stars = components(tested.unionByName(more).where("linked"))
-    linked = component_labels(stars).select("node", "root")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    links = materialize(tested_pairs(pairs, full_sets(docs, text, classes, wanted)), "links")
+    stars = components(links)
+    more = links_across(docs, text, classes, members, stars)
+    # Stars and the new links together have the components of all links.
+    stars = components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    linked = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
     names = classes.select("digest", "first").join(linked.withColumnRenamed("node", "digest"), "digest", "left")
     firsts = materialize(names.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("smallest")), "firsts")
     named = materialize(names.join(firsts, "root", "left").select(

@@ -295,6 +295,40 @@ def test_versions_of_a_long_text_meet(spark):
     assert sum(found[i] != w for i, w in enumerate(want)) == 0
 
 
+def test_pairs_among_pages_of_one_template(spark):
+    """Pages of a template that are not linked, and pairs of them that are, in regions of hundreds of classes."""
+    rng = random.Random(21)
+    base = [f"t{k}" for k in range(400)]
+    pages = [edited(base, 15, f"p{k}", rng) for k in range(1500)]
+    texts = [" ".join(t) for t in [*pages, *[edited(p, 11, f"q{k}", rng) for k, p in enumerate(pages[:200])]]]
+    links = links_by_brute_force(texts)
+    want = smallest_linked(len(texts), links)
+    assert 100 < len(links) < 400
+    found = {r.doc_id: r.component_id for r in near_dedup.near_groups(table(spark, texts)).collect()}
+    assert sum(found[i] != w for i, w in enumerate(want)) == 0
+
+
+def test_every_pair_of_a_large_region_meets(spark):
+    """2,000 classes in one region; the two that could be linked lie at its ends, in different runs."""
+    rng = np.random.default_rng(3)
+    minima = rng.integers(0, 1 << 32, (2000, near_dedup.HASHES), dtype=np.uint64).astype("<u4")
+    minima[:, :4] = minima[0, :4]
+    minima[-1, 16:] = minima[0, 16:]
+    minima[0, 4], minima[-1, 4] = 0, 0xFFFFFFFF
+    digests = [i.to_bytes(16, "big") for i in range(2000)]
+    rows = [(d, 100, m.tobytes(), (m & 0xFF).astype(np.uint8).tobytes()) for d, m in zip(digests, minima)]
+    classes = spark.createDataFrame(rows, "digest binary, n long, minima binary, sketch binary")
+    # Only the order of the common minima: the pair shares others, which are regions of two.
+    members = near_dedup.region_members(classes).where("size > 2")
+    assert members.count() == 2000
+    pair = (digests[0], digests[-1])
+    assert pair not in {(bytes(r.a), bytes(r.b)) for r in near_dedup.candidate_pairs(members).collect()}
+    blocks = near_dedup.block_members(members, classes, spark.createDataFrame([], "node binary, root binary"))
+    key = ["region", "low", "high"]
+    found = blocks.repartition(*key).sortWithinPartitions(*key).mapInArrow(near_dedup._meet, blocks.schema)
+    assert tuple(sorted({bytes(r.digest) for r in found.collect()})) == pair
+
+
 def test_star_contraction(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
