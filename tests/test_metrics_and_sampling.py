@@ -275,6 +275,25 @@ def test_models_find_a_signal(spark):
     assert trees.score(val).where("p_raw between 0 and 1").count() == val.count()
 
 
+def test_trees_go_on_for_small_gains_and_no_tags_merge(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, dt.datetime(2024, 1, 1, i % 24), str(i % 4), [i % 600, 7], int(rng.random() < 0.1 + 0.2 * (i % 4 == 1))) for i in range(1800)]
+    df = spark.createDataFrame(rows, "event_id long, timestamp timestamp_ntz, advertiser string, usertag array<int>, click int")
+    for f in ("region", "city", "adexchange", "slotvisibility", "slotformat", "domain", "url", "slotid", "creative",
+              "useragent", "IP", "userid"):
+        df = df.withColumn(f, F.lit(None).cast("string"))
+    df = df.withColumns({n: F.lit(1) for n in ("slotwidth", "slotheight", "slotprice")})
+    # Validation rows as in training: every round gains, though seldom one per cent of the loss.
+    trees = models.TreeSearch(df, df, 1.0, keys=["event_id"], rounds=5, grid={"one": dict(maxDepth=2, stepSize=0.02)})
+    assert trees.records.first().n_trees == 5
+    slots = trees._encode(df).select("features").first().features.size
+    empty = trees._encode(df.where("false"))
+    assert slots == 2 * len(trees.fields) + 1 + 3 + 600 and empty.count() == 0
+    trees.save(spark, str(tmp_path / "t"))
+    again = models.load_search(spark, str(tmp_path / "t"))
+    assert again.score(df).exceptAll(trees.score(df)).count() == 0
+
+
 def sweep_results(spark, **changes):
     rows = []
     for adv in ("10", "9"):
