@@ -59,4 +59,66 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(length('### ' || role || ': ') + length(shown) + length(' </turn>') + 1) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id"""
 
-ORACLES: dict[str, str] = {"op6_near_dedup": OP6, "op7_topk": OP7, "op9_chat": OP9, "op4_exact_dedup": OP4, "op10_warc": OP10}
+OP11 = """
+WITH RECURSIVE t AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+-- Unsigned crc32 of the decimal id, bit by bit.
+h AS (SELECT conv_id, n, conv_id - conv_id % 100 AS base, (xor(4294967295, list_reduce(
+          list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+          lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)),
+              lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))) % 6 AS h
+      FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id)),
+c AS (SELECT a.conv_id, a.n, a.base, a.h, least(a.h, coalesce(b.n, 0)) AS taken FROM h a LEFT JOIN h b ON b.conv_id = a.base),
+r AS (SELECT c.conv_id, t.pos AS depth, role, text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+      UNION ALL SELECT c.conv_id, taken + t.pos - h, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > h),
+p AS (SELECT conv_id, depth, length(text) AS chars,
+             string_agg(length(role) || ':' || length(text) || ':' || role || text, '' ORDER BY depth) OVER w AS path,
+             count(*) OVER (PARTITION BY conv_id) AS len FROM r
+      WINDOW w AS (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+m AS (SELECT conv_id, depth, chars, sha256(path) AS key, coalesce(lag(sha256(path)) OVER (PARTITION BY conv_id ORDER BY depth),
+             'root') AS parent, len FROM p
+      UNION ALL SELECT c.conv_id, 0, 0, 'root', NULL, taken + greatest(n - h, 0) FROM c),
+n AS (SELECT key, min(parent) AS parent, min(conv_id) AS conv_id, min(depth) AS depth, count(*) AS n_convs,
+             (count(*) - 1) * min(chars) AS own,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len = depth), '')) AS ends_sha256
+      FROM m GROUP BY key),
+k AS (SELECT parent AS key, count(*) AS n_children FROM n GROUP BY parent),
+u AS (SELECT key AS top, key FROM n UNION ALL SELECT u.top, n.key FROM u JOIN n ON n.parent = u.key),
+s AS (SELECT top AS key, count(*) FILTER (k.key IS NULL) AS n_leaves, CAST(sum(n.own) AS BIGINT) AS saved_tokens
+      FROM u JOIN n ON n.key = u.key LEFT JOIN k ON k.key = u.key GROUP BY top)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children,
+       n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN s USING (key) LEFT JOIN k USING (key) LEFT JOIN n q ON q.key = n.parent"""
+
+FINITE = """embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"""
+
+
+def _op13() -> str:
+    """Six rounds written out: assignments a0 to a6, codebooks c0 to c6."""
+    s = f"""WITH k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label,
+        list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {FINITE}),
+x AS MATERIALIZED (SELECT r, vec_id, p, v[CAST(p * len(v) // 8 + 1 AS INT):CAST((p + 1) * len(v) // 8 AS INT)] AS v FROM k, range(8) t(p)),
+c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id, v) - 1 AS e, v FROM x QUALIFY e < 16)"""
+    for i in range(7):
+        s += f""",
+a{i} AS MATERIALIZED (SELECT r, p, arg_min(e, d * 16 + e) AS e, min(d) AS d FROM (SELECT r, x.p, e, CAST(list_sum(list_transform(
+        list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM x JOIN c{i} c ON x.p = c.p) GROUP BY r, p)"""
+        if i < 6:
+            s += f""",
+s{i} AS (SELECT p, e, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT x.p, a.e, x.v, unnest(range(1, len(x.v) + 1)) AS i
+        FROM x JOIN a{i} a USING (r, p)) GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(any_value(m.v), any_value(c.v)) AS v FROM c{i} c LEFT JOIN (
+        SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{i} GROUP BY p, e) m ON m.p = c.p AND m.e = c.e
+        GROUP BY c.p, c.e)"""
+    s += """,
+f AS (SELECT r, string_agg(printf('%02x', CAST(e AS INT)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM c6) AS codebooks_sha256
+FROM f JOIN k USING (r)"""
+    return s
+
+
+ORACLES: dict[str, str] = {"op6_near_dedup": OP6, "op7_topk": OP7, "op9_chat": OP9, "op4_exact_dedup": OP4, "op10_warc": OP10,
+                           "op11_prefix_trie": OP11, "op13_vector_codes": _op13()}

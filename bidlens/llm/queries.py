@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlens.llm import bpe, chat, exact_dedup, near_dedup, packing, pii, quality, sharding, topk, warc
+from bidlens.llm import (bpe, chat, exact_dedup, hmm, near_dedup, packing, pii, prefix_trie, quality, sharding, topk,
+                         vector_codes, warc)
 from bidlens.llm.tables import read
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -69,6 +70,18 @@ def op10_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc.archive_pages(read(spark, d, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, d, "conversations"))
+
+
+def op12_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
+    return hmm.score(read(spark, d, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, d: str) -> DataFrame:
+    return vector_codes.compress(read(spark, d, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sharding, op2_bpe, op3_packing, op4_exact_dedup, op5_quality, op6_near_dedup, op7_topk, op8_pii, op9_chat,
-    op10_warc)}
+    op10_warc, op11_prefix_trie, op12_lm_scoring, op13_vector_codes)}

@@ -38,3 +38,9 @@ def null_last(column: Column, *ties: Column) -> Column:
     """A struct that sorts NULL after every value, then by ``ties``; for ``min``."""
     return F.struct(column.isNull().alias("missing"), column.alias("value"),
                     *[t.alias(f"tie{i}") for i, t in enumerate(ties)])
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Removes a stored table of this library that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
