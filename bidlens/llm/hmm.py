@@ -9,16 +9,17 @@ counts grow with the corpus and stay in tables, and the probabilities of all tex
 add up to one.
 
 ``corpus`` reads the texts once.  Tasks take documents in batches and write two kinds
-of rows: documents with their symbols, and per batch and word the documents that hold
-it and how often.  Word counts are sums over the latter, and a very common word is one
-row per batch.  Baum-Welch: every task runs the scaled forward and backward recursions
-over its training documents and gives expected counts per symbol, SYMBOLS rows at most;
-Spark adds them up, and the new tables, bounded by SYMBOLS times STATES, go back to the
-tasks.  Long texts are cut into chunks whose transfer matrices give the states at every
-chunk's ends, so a text of any length is computed exactly, chunks side by side.
-
-``score`` joins words with their counts, one row per batch and word, adds up per batch,
-and adds the forward recursion's likelihood.
+of rows: a batch with its documents as numbers of its own words, and those words, one
+row per batch and word however often it occurs.  A window over equal words adds up
+their training counts.  Baum-Welch: every task runs the scaled forward and backward
+recursions over its training documents and gives expected counts per symbol, SYMBOLS
+rows at most; Spark adds them up, and the new tables, bounded by SYMBOLS times STATES,
+go back to the tasks.  Long texts are cut into chunks whose transfer matrices give the
+states at every chunk's ends, so a text of any length is computed exactly, chunks side
+by side.
+
+``score`` brings a batch together with the counts of its words, except those that the
+batch alone has, and adds the forward recursion's likelihood.
 
 Defined results: NULL texts count as empty and hold the end token only; a NULL doc_id
 counts as an empty id when it is dealt to training or held out; repeated rows are rows
@@ -38,7 +39,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidlens.session import materialize, new_table_path
@@ -49,11 +50,12 @@ PRIOR = 200.0  # tokens of the symbols' overall shares added to every state
 CHUNK = 2_048  # tokens
 BATCH_TOKENS, BATCH_DOCS = 1 << 19, 4_096
 LONG_WORD = 48
+TASK_BATCHES = 16  # batches an expectation task reads at least, as every task gives back a table of the model's size
+PLACE_BITS, TASK_BITS = 25, 16  # a word's place: task, batch of the task, word of the batch
 END = b""
-LONGS, INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
 
-CORPUS_SCHEMA = ("kind int, batch long, idx int, doc_id long, held_out boolean, symbols array<int>, "
-                 "word binary, docs array<int>, times array<int>, train long")
+CORPUS_SCHEMA = ("kind int, batch long, doc_ids array<long>, held array<boolean>, sizes array<int>, ids binary, symbols binary, "
+                 "place long, word binary, train long")
 CORPUS_NAMES = [c.split(" ")[0] for c in CORPUS_SCHEMA.split(", ")]
 
 
@@ -66,36 +68,45 @@ def symbol(word: bytes) -> int:
     return SYMBOLS if word == END else zlib.crc32(word) % SYMBOLS
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Byte by byte, all lowest bytes first: the upper ones are mostly 0 and compress to nothing."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def _batch_rows(number: int, ids: list, held: list, texts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
-    """The two kinds of rows of one batch of documents."""
+    """One batch of documents and its words."""
     place: defaultdict[bytes, int] = defaultdict()
     place.default_factory = place.__len__  # a new word has the next number
     end = place[END]
     rows = [np.array([place[w] for w in t] + [end], np.int64) for t in texts]
-    sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows)
     names = [w if len(w) <= LONG_WORD else b" " + hashlib.sha256(w).digest() for w in place]
-    syms = np.array([symbol(w) for w in names], np.int32)[flat]
-    n = len(rows)
-    whole = lambda m, t: pa.nulls(m, t)
-    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    if len(names) >> PLACE_BITS or (number & ((1 << TASK_BITS) - 1)) == (1 << TASK_BITS) - 1:
+        raise ValueError("a batch or a task is too large to be numbered")
+    sizes, flat, m = np.array([len(r) for r in rows]), np.concatenate(rows), len(names)
+    symbols = np.array([symbol(w) for w in names], np.uint16)
+    list_of = lambda v, t: pa.array([v], pa.list_(t))
+    none = lambda n, t: pa.nulls(n, t)
     yield pa.RecordBatch.from_arrays([
-        pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), pa.array(ids, pa.int64()),
-        pa.array(held, pa.bool_()), pa.ListArray.from_arrays(offsets, pa.array(syms)), whole(n, pa.binary()), whole(n, INTS),
-        whole(n, INTS), whole(n, pa.int64())], names=CORPUS_NAMES)
-    pairs, times = np.unique(flat * n + np.repeat(np.arange(n), sizes), return_counts=True)
-    word, doc = pairs // n, pairs % n
-    trained = np.bincount(word, weights=times * ~np.array(held, bool)[doc], minlength=len(names)).astype(np.int64)
-    m = len(names)
-    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(word, minlength=m))]).astype(np.int32))
+        pa.array([0], pa.int32()), pa.array([number]), list_of(ids, pa.int64()), list_of(held, pa.bool_()), list_of(sizes, pa.int32()),
+        pa.array([_planes(flat)], pa.binary()), pa.array([symbols.tobytes()], pa.binary()), none(1, pa.int64()), none(1, pa.binary()),
+        none(1, pa.int64())], names=CORPUS_NAMES)
     yield pa.RecordBatch.from_arrays([
-        pa.array(np.ones(m, np.int32)), pa.array(np.full(m, number)), whole(m, pa.int32()), whole(m, pa.int64()), whole(m, pa.bool_()),
-        whole(m, INTS), pa.array(names, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(doc.astype(np.int32))),
-        pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))), pa.array(trained)], names=CORPUS_NAMES)
+        pa.array(np.ones(m, np.int32)), none(m, pa.int64()), none(m, pa.list_(pa.int64())), none(m, pa.list_(pa.bool_())),
+        none(m, pa.list_(pa.int32())), none(m, pa.binary()), none(m, pa.binary()), pa.array((number << PLACE_BITS) + np.arange(m)),
+        pa.array(names, pa.binary()), pa.array(_own_counts(flat, sizes, held, m))], names=CORPUS_NAMES)
+
+
+def _own_counts(flat: np.ndarray, sizes: np.ndarray, held: list, m: int) -> np.ndarray:
+    """Per word of a batch its tokens in the batch's training documents."""
+    return np.bincount(flat[np.repeat(~np.array(held, bool), sizes)], minlength=m)
 
 
 def _corpus_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
+    number = TaskContext.get().partitionId() << TASK_BITS
     ids, held, texts, tokens = [], [], [], 0
     for batch in batches:
         for doc_id, out, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -111,13 +122,21 @@ def _corpus_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Corpus(NamedTuple):
-    """Documents (batch, idx, doc_id, held_out, symbols), word rows (batch, word, docs, times), word counts, and totals."""
+    """Batches (batch, doc_ids, held, sizes, ids, symbols); training counts of their words (place, c, symbol, first, shared);
+    per symbol its tokens and different words; all tokens and different words of training."""
+
+    batches: DataFrame
+    words: DataFrame
+    symbol_tokens: np.ndarray
+    symbol_words: np.ndarray
+
+    @property
+    def tokens(self) -> int:
+        return int(self.symbol_tokens.sum())
 
-    docs: DataFrame
-    rows: DataFrame
-    counts: DataFrame
-    tokens: int
-    distinct: int
+    @property
+    def distinct(self) -> int:
+        return int(self.symbol_words.sum())
 
 
 def corpus(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Corpus:
@@ -128,22 +147,23 @@ def corpus(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Corpu
     (docs.select(key.alias("doc_id"), held.alias("held_out"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
      .mapInArrow(_corpus_rows, CORPUS_SCHEMA).write.partitionBy("kind").option("compression", "zstd").parquet(path))
     stored = spark.read.schema(CORPUS_SCHEMA).parquet(path)
-    rows = stored.where("kind = 1")
-    counts = materialize(rows.groupBy("word").agg(F.sum("train").alias("c")).where("c > 0"), "word-counts")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    return Corpus(stored.where("kind = 0").select("batch", "idx", "doc_id", "held_out", "symbols"),
-                  rows.select("batch", "word", "docs", "times"), counts, total["n"], total["v"])
-
-
-def symbol_totals(counts: DataFrame) -> np.ndarray:
+    # A word has one row per batch, so even the most common one is a small part of a window's task.
+    same = Window.partitionBy("word")
+    number = F.when(F.length("word") == 0, SYMBOLS).otherwise(F.crc32("word") % SYMBOLS).cast("int")
+    summed = stored.where("kind = 1").select(
+        "place", "train", number.alias("symbol"), F.sum("train").over(same).alias("c"), F.min("place").over(same).alias("least"))
+    counted = materialize(summed.select("place", "c", "symbol", (F.col("place") == F.col("least")).alias("first"),
+                                        (F.col("c") != F.col("train")).alias("shared")), "word-counts")
+    tokens, different = np.zeros(SYMBOLS + 1, np.int64), np.zeros(SYMBOLS + 1, np.int64)
+    for r in counted.where("first AND c > 0").groupBy("symbol").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+        tokens[r["symbol"]], different[r["symbol"]] = r["c"], r["v"]
+    return Corpus(stored.where("kind = 0").select("batch", "doc_ids", "held", "sizes", "ids", "symbols"), counted, tokens, different)
+
+
+def symbol_totals(found: Corpus) -> np.ndarray:
     """Per symbol the smoothed number of tokens, half a count per different word and for all unseen ones."""
-    number = F.when(F.length("word") == 0, SYMBOLS).otherwise(F.crc32("word") % SYMBOLS)
-    found = counts.groupBy(number.cast("int").alias("s")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
-    totals = np.full(SYMBOLS + 1, 0.5)
-    for r in found:
-        totals[r["s"]] = r["c"] + 0.5 * (r["v"] + 1)
-    ends = next((r["c"] for r in found if r["s"] == SYMBOLS), 0)
-    totals[SYMBOLS] = ends + 0.5  # the end token is the only one of its symbol
+    totals = found.symbol_tokens + 0.5 * (found.symbol_words + 1)
+    totals[SYMBOLS] = found.symbol_tokens[SYMBOLS] + 0.5  # the end token is the only one of its symbol
     return totals
 
 
@@ -172,6 +192,8 @@ class Packed:
         self.sizes = sizes[self.order]
         self.active = len(chunks) - np.searchsorted(np.sort(sizes), np.arange(self.sizes[0]), side="right")
         self.at = np.concatenate([[0], np.cumsum(self.active)])
+        self.going_on = np.append(self.active[1:], 0)
+        self.chunk = np.arange(self.at[-1]) - np.repeat(self.at[:-1], self.active)
         self.tokens = np.empty(self.at[-1], np.int64)
         for rank, i in enumerate(self.order):
             self.tokens[self.at[:sizes[i]] + rank] = chunks[i]
@@ -184,19 +206,19 @@ class Packed:
         seen = model.emit[:, self.tokens] if seen is None else seen
         turn = np.ascontiguousarray(model.step.T)
         states = np.empty_like(seen) if keep else None
-        scale, now = np.empty(len(self.tokens)), begin
-        ends = begin.copy()
+        scale, now, ends = np.empty(len(self.tokens), seen.dtype), begin, np.empty_like(begin)
         for t, n in enumerate(self.active):
             part = slice(self.at[t], self.at[t + 1])
-            now = (now if t == 0 else turn @ now[:, :n]) * seen[:, part]
-            total = now.sum(0)
+            now = begin * seen[:, part] if t == 0 else turn @ now[:, :n]
+            if t:
+                now *= seen[:, part]
+            total = now.sum(0, out=scale[part])
             now /= total
-            scale[part] = total
             if keep:
                 states[:, part] = now
-            ends[:, :n] = now
-        chunk = np.concatenate([np.arange(n) for n in self.active])
-        return states, scale, ends, np.bincount(chunk, weights=np.log(scale), minlength=len(self.sizes))
+            if (go_on := self.going_on[t]) < n:
+                ends[:, go_on:n] = now[:, go_on:]
+        return states, scale, ends, np.bincount(self.chunk, weights=np.log(scale), minlength=len(self.sizes))
 
     def transfers(self, model: Model) -> np.ndarray:
         """(chunks, K, K) up to a factor each: from the state before a chunk's first step to that after its last token.
@@ -211,7 +233,8 @@ class Packed:
         for t, n in enumerate(self.active):
             now = (now if t == 0 else (turn @ now[:, :n].reshape(k, n * k)).reshape(k, n, k)) * seen[:, self.at[t]:self.at[t + 1], None]
             now /= now.sum((0, 2))[:, None]
-            ends[:, :n] = now
+            if (go_on := self.going_on[t]) < n:
+                ends[:, go_on:n] = now[:, go_on:]
         return ends.transpose(1, 2, 0)
 
 
@@ -245,10 +268,11 @@ def cut(model: Model, docs: list[np.ndarray]) -> Cut:
     doc = np.repeat(np.arange(len(docs)), [-(-len(d) // CHUNK) for d in docs])
     first = np.concatenate([[True], doc[1:] != doc[:-1]])
     more = np.concatenate([~first[1:], [False]])  # another chunk of the document follows
-    before, after = np.zeros((k, len(chunks))), np.ones((k, len(chunks)))
+    kind = model.emit.dtype
+    before, after = np.zeros((k, len(chunks)), kind), np.ones((k, len(chunks)), kind)
     many = np.flatnonzero(more | ~first)
-    moves = np.empty((len(chunks), k, k)) if len(many) else None
-    heads = np.empty((len(chunks), k)) if len(many) else None
+    moves = np.empty((len(chunks), k, k), kind) if len(many) else None
+    heads = np.empty((len(chunks), k), kind) if len(many) else None
     for unit in _in_units([chunks[i] for i in many]):
         at = many[unit]
         packed = Packed([chunks[i] for i in at])
@@ -280,12 +304,12 @@ def log_likelihoods(model: Model, docs: list[np.ndarray]) -> np.ndarray:
 
 
 class Expected:
-    """Sums of expected counts over documents."""
+    """Sums of expected counts over documents; the recursions run in ``kind``, the sums in doubles."""
 
-    def __init__(self, model: Model):
-        self.model = model
-        self.start, self.step = np.zeros_like(model.start), np.zeros_like(model.step)
-        self.emit, self.log = np.zeros_like(model.emit), 0.0
+    def __init__(self, model: Model, kind: type = np.float64):
+        self.model = Model(*(x.astype(kind) for x in model))
+        self.start, self.step = np.zeros(model.start.shape), np.zeros(model.step.shape)
+        self.emit, self.log = np.zeros(model.emit.shape), 0.0
 
     def add(self, docs: list[np.ndarray]) -> None:
         parts = cut(self.model, docs)
@@ -301,16 +325,17 @@ class Expected:
         states, scale, ends, logs = packed.forward(model, begin, seen=seen)
         self.log += logs.sum()
         behind = after / (ends * after).sum(0)  # states times this add up to 1 at every token
-        ahead, pairs = None, np.zeros_like(model.step)
+        ahead, pairs = None, np.zeros(model.step.shape)
+        seen /= scale
         for t in range(len(packed.active) - 1, -1, -1):
             part = slice(packed.at[t], packed.at[t + 1])
-            now = behind[:, :packed.active[t]].copy()
+            now = behind[:, :packed.active[t]]
             if ahead is not None:
                 n = ahead.shape[1]
                 pairs += states[:, packed.at[t]:packed.at[t] + n] @ ahead.T
-                now[:, :n] = model.step @ ahead
-            ahead = seen[:, part] * now / scale[part]
-            states[:, part] *= now
+                now = np.concatenate([model.step @ ahead, now[:, n:]], 1)
+            ahead = seen[:, part] * now
+            states[:, part] *= now  # from here on the share of every state at a token
         self.start += states[:, :packed.active[0]][:, first].sum(1)
         pairs += before[:, ~first] @ ahead[:, ~first].T
         self.step += pairs * model.step
@@ -329,32 +354,32 @@ class Expected:
             names=["number", "expected"])
 
 
-def _symbol_lists(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for batch in batches:
-        if batch.num_rows:
-            lists = batch.column(column)
-            flat, bounds = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1]
-            yield batch, np.split(flat, bounds)
+def _documents(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, sizes and symbols of a batch's documents, all in one array."""
+    ids = _numbers(row["ids"])
+    return ids, np.array(row["sizes"]), np.frombuffer(row["symbols"], np.uint16)[ids]
+
+
+def _split(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    return np.split(flat, np.cumsum(sizes)[:-1])
 
 
-def expected_counts(docs: DataFrame, model: Model) -> tuple[Model, float]:
-    """Baum-Welch counts over all documents and the log likelihood; what returns is bounded by the model's size."""
+def expected_counts(batches: DataFrame, count: int, model: Model) -> tuple[Model, float]:
+    """Baum-Welch counts over all training documents and the log likelihood; what returns is bounded by the model's size."""
     k, size = model.emit.shape
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, waiting, tokens = Expected(model), [], 0
-        for _, lists in _symbol_lists(batches, 0):
-            for one in lists:
-                waiting.append(one)
-                tokens += len(one)
-                if tokens >= BATCH_TOKENS:
-                    sums.add(waiting)
-                    waiting, tokens = [], 0
-        if waiting:
-            sums.add(waiting)
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Expected(model, np.float32)
+        for part in parts:
+            for i in range(part.num_rows):
+                row = part.slice(i, 1).to_pylist()[0]
+                _, sizes, symbols = _documents(row)
+                if docs := [d for d, out in zip(_split(symbols, sizes), row["held"]) if not out]:
+                    sums.add(docs)
         yield sums.rows()
 
-    rows = docs.select("symbols").mapInArrow(run, "number long, expected array<double>").groupBy("number").agg(
+    dealt = batches.select("held", "sizes", "ids", "symbols").coalesce(max(1, -(-count // TASK_BATCHES)))
+    rows = dealt.mapInArrow(run, "number long, expected array<double>").groupBy("number").agg(
         F.array(*[F.sum(F.get("expected", F.lit(i))) for i in range(k)]).alias("expected")).toArrow()
     table = np.zeros((size + k + 2, k))
     if rows.num_rows:
@@ -372,44 +397,50 @@ def maximised(counts: Model, totals: np.ndarray) -> Model:
 
 def train(found: Corpus, states: int = STATES, iterations: int = ITERATIONS) -> tuple[Model, np.ndarray, list[float]]:
     """The model, the symbols' totals and the training log likelihood before every iteration."""
-    totals = symbol_totals(found.counts)
+    totals, count = symbol_totals(found), found.batches.count()
     model, logs = first_model(totals, states), []
     for _ in range(iterations):
-        counts, log = expected_counts(found.docs.where("NOT held_out"), model)
+        counts, log = expected_counts(found.batches, count, model)
         logs.append(log)
         model = maximised(counts, totals)
     return model, totals, logs
 
 
-def _word_sums(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """Per document of a batch: the sum of log10(count + 1/2) over its tokens, and the tokens that training knows."""
-    docs = rows.column("docs").combine_chunks()
-    sizes, at = docs.value_lengths().to_numpy(), docs.flatten().to_numpy()
-    times = rows.column("times").combine_chunks().flatten().to_numpy()
-    count = np.repeat(rows.column("c").to_numpy(), sizes)
-    n = int(at.max()) + 1
-    return pa.table({
-        "batch": pa.array(np.full(n, key[0].as_py())), "idx": pa.array(np.arange(n, dtype=np.int32)),
-        "count_log": pa.array(np.bincount(at, weights=times * np.log10(count + 0.5), minlength=n)),
-        "n_known": pa.array(np.bincount(at, weights=times * (count > 0), minlength=n).astype(np.int64))})
+SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, count_log double, symbol_log double"
+
 
+def batch_scores(model: Model, totals: np.ndarray, row: dict, at: np.ndarray, c: np.ndarray) -> pa.Table:
+    """Scores of a batch's documents; ``at`` and ``c`` are the counts of words that other batches have too.
+
+    ``count_log`` is the sum of log10(count + 1/2) over tokens, ``symbol_log`` log10 of the symbols' probability less
+    that of their totals.
+    """
+    ids, sizes, symbols = _documents(row)
+    counts = _own_counts(ids, sizes, row["held"], len(row["symbols"]) // 2)
+    counts[at] = c
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    add = lambda values: np.add.reduceat(values, starts)  # noqa: E731  every document has its end token
+    return pa.table({
+        "doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()),
+        "n_tokens": pa.array(sizes.astype(np.int64)), "n_known": pa.array(add((counts > 0).astype(np.int64)[ids])),
+        "count_log": pa.array(add(np.log10(counts + 0.5)[ids])),
+        "symbol_log": pa.array(log_likelihoods(model, _split(symbols, sizes)) / np.log(10.0) - add(np.log10(totals)[symbols]))})
 
-def word_sums(found: Corpus) -> DataFrame:
-    counted = found.rows.join(found.counts, "word", "left").select("batch", "docs", "times", F.coalesce("c", F.lit(0).cast("long")).alias("c"))
-    return counted.groupBy("batch").applyInArrow(_word_sums, "batch long, idx int, count_log double, n_known long")
 
+def score_corpus(found: Corpus, model: Model, totals: np.ndarray) -> DataFrame:
+    """SCORE_SCHEMA for every document."""
+    empty = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                       ("count_log", pa.float64()), ("symbol_log", pa.float64())]).empty_table()
 
-def symbol_scores(docs: DataFrame, model: Model, totals: np.ndarray) -> DataFrame:
-    """batch, idx, doc_id, held_out, n_tokens, symbol_log: log10 of the symbols' probability less that of their totals."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_totals = np.log10(totals)
-        for batch, lists in _symbol_lists(batches, 4):
-            logs = log_likelihoods(model, lists) / np.log(10.0) - np.array([log_totals[s].sum() for s in lists])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([len(s) for s in lists], pa.int64()), pa.array(logs)],
-                                             names=["batch", "idx", "doc_id", "held_out", "n_tokens", "symbol_log"])
+    def run(batch: pa.Table, shared: pa.Table) -> pa.Table:
+        if not batch.num_rows:
+            return empty
+        return batch_scores(model, totals, batch.to_pylist()[0], shared.column("word").to_numpy(), shared.column("c").to_numpy())
 
-    return docs.select("batch", "idx", "doc_id", "held_out", "symbols").mapInArrow(
-        run, "batch long, idx int, doc_id long, held_out boolean, n_tokens long, symbol_log double")
+    place = F.col("place")
+    shared = found.words.where("shared").select(
+        F.shiftright(place, PLACE_BITS).alias("batch"), place.bitwiseAND((1 << PLACE_BITS) - 1).alias("word"), "c")
+    return found.batches.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(run, SCORE_SCHEMA)
 
 
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -417,7 +448,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     found = corpus(docs, text, doc_id)
     model, totals, _ = train(found)
     per_token = F.log10(F.lit(found.tokens + 0.5 * (found.distinct + 1)))
-    joined = symbol_scores(found.docs, model, totals).join(word_sums(found), ["batch", "idx"])
-    return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(found.tokens).cast("long").alias("train_tokens"),
-                         (F.col("count_log") - F.col("n_tokens") * per_token).alias("base_score"),
-                         (F.col("count_log") + F.col("symbol_log")).alias("score"))
+    return score_corpus(found, model, totals).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(found.tokens).cast("long").alias("train_tokens"),
+        (F.col("count_log") - F.col("n_tokens") * per_token).alias("base_score"),
+        (F.col("count_log") + F.col("symbol_log")).alias("score"))
