@@ -49,6 +49,7 @@ SEED = 12
 PRIOR = 200.0  # tokens of the symbols' overall shares added to every state
 CHUNK = 2_048  # tokens
 BATCH_TOKENS, BATCH_DOCS = 1 << 19, 4_096
+UNIT_TOKENS = 1 << 20  # tokens whose recursions run side by side: more make a step's fixed cost smaller
 LONG_WORD = 48
 TASK_BATCHES = 16  # batches an expectation task reads at least, as every task gives back a table of the model's size
 PLACE_BITS, TASK_BITS = 25, 16  # a word's place: task, batch of the task, word of the batch
@@ -87,7 +88,8 @@ def _batch_rows(number: int, ids: list, held: list, texts: list[list[bytes]]) ->
     if len(names) >> PLACE_BITS or (number & ((1 << TASK_BITS) - 1)) == (1 << TASK_BITS) - 1:
         raise ValueError("a batch or a task is too large to be numbered")
     sizes, flat, m = np.array([len(r) for r in rows]), np.concatenate(rows), len(names)
-    symbols = np.array([symbol(w) for w in names], np.uint16)
+    symbols = (np.fromiter(map(zlib.crc32, names), np.int64, m) % SYMBOLS).astype(np.uint16)
+    symbols[end] = SYMBOLS
     list_of = lambda v, t: pa.array([v], pa.list_(t))
     none = lambda n, t: pa.nulls(n, t)
     yield pa.RecordBatch.from_arrays([
@@ -239,12 +241,12 @@ class Packed:
 
 
 def _in_units(chunks: list[np.ndarray]) -> Iterator[list[int]]:
-    """Indices of chunks, BATCH_TOKENS tokens at a time."""
+    """Indices of chunks, UNIT_TOKENS tokens at a time."""
     unit, tokens = [], 0
     for i, c in enumerate(chunks):
         unit.append(i)
         tokens += len(c)
-        if tokens >= BATCH_TOKENS:
+        if tokens >= UNIT_TOKENS:
             yield unit
             unit, tokens = [], 0
     if unit:
@@ -369,13 +371,18 @@ def expected_counts(batches: DataFrame, count: int, model: Model) -> tuple[Model
     k, size = model.emit.shape
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Expected(model, np.float32)
+        sums, waiting, tokens = Expected(model, np.float32), [], 0
         for part in parts:
             for i in range(part.num_rows):
                 row = part.slice(i, 1).to_pylist()[0]
                 _, sizes, symbols = _documents(row)
-                if docs := [d for d, out in zip(_split(symbols, sizes), row["held"]) if not out]:
-                    sums.add(docs)
+                waiting += [d for d, out in zip(_split(symbols, sizes), row["held"]) if not out]
+                tokens += len(symbols)
+                if tokens >= UNIT_TOKENS and waiting:
+                    sums.add(waiting)
+                    waiting, tokens = [], 0
+        if waiting:
+            sums.add(waiting)
         yield sums.rows()
 
     dealt = batches.select("held", "sizes", "ids", "symbols").coalesce(max(1, -(-count // TASK_BATCHES)))

@@ -89,7 +89,7 @@ def path_probabilities(model, doc):
 @pytest.mark.parametrize("chunk", [2, 3, 100])
 def test_likelihood_and_expected_counts(monkeypatch, chunk):
     monkeypatch.setattr(hmm, "CHUNK", chunk)
-    monkeypatch.setattr(hmm, "BATCH_TOKENS", 7)
+    monkeypatch.setattr(hmm, "UNIT_TOKENS", 7)
     rng, model = np.random.default_rng(1), small_model()
     docs = [rng.integers(0, 5, n) for n in (1, 4, 7, 2, 3, 8, 5, 1)]
     want = hmm.Model(np.zeros(3), np.zeros((3, 3)), np.zeros((3, 5)))
