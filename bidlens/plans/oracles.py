@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bidlens.functions import tokens
 from bidlens.schema import HASH_SEED
 
 ORACLES: dict[str, str] = {}
@@ -142,8 +143,7 @@ add("feature_table", """SELECT event_id, bidid, strftime(ts, '%Y-%m-%d %H:%M:%S.
   creative, advertiser, click FROM lab WHERE split = 'val'""")
 _KEY = "concat_ws(chr(31), coalesce(domain, '__null__'), slotid, creative)"
 add("triple_key", f"SELECT event_id, md5({_KEY}) AS placement FROM imp")
-_CATEGORICAL = ["region", "city", "adexchange", "slotvisibility", "slotformat", "advertiser", "domain", "url",
-                "slotid", "creative", "useragent", "IP", "userid"]
+_CATEGORICAL = tokens.CATEGORICAL_FIELDS  # one order of tokens, stated there
 add("feature_tokens", "SELECT event_id, concat_ws('|', "
     + ", ".join(f"'{f}=' || coalesce(\"{f}\", '__null__')" for f in _CATEGORICAL)
     + """, 'hour=' || hour(ts),
@@ -543,3 +543,25 @@ add("strategy_wins", """SELECT strategy, round(min(win_rate_pool), 6) AS win_rat
 add("sweep_gaps", "SELECT count(*) AS n_results, CAST(0 AS BIGINT) AS incomplete_cells, CAST(0 AS BIGINT) AS exhaustion_violations FROM settled", *_SWEEP)
 add("params_json", """SELECT advertiser, budget_id, strategy, label, grid_pos + 1 AS point, budget_id AS budget_label,
   round(coalesce(amount, base, low), 6) AS first_number FROM runs JOIN budgets USING (advertiser)""", _STATS, _RUNS, _BUDGETS)
+
+
+# --- Models: what must hold whatever the solver does ------------------------------
+
+_TRAIN = f"tr AS ({_sampled("(SELECT * FROM lab WHERE split = 'train')", 0.2)})"
+_HELD_OUT = """(SELECT count(*) FROM lab WHERE split = 'val') AS n_rows,
+  (SELECT CAST(sum(click) AS BIGINT) FROM lab WHERE split = 'val') AS n_positive"""
+# Without a penalty on the intercept a fit at its optimum predicts the training rows' share of clicks on average.
+add("lr_search", f"""SELECT {_HELD_OUT}, TRUE AS at_optimum, round(avg(click), 3) AS mean_prediction, 4 AS n_runs, 1 AS n_chosen FROM tr""", _TRAIN)
+add("gbt_rounds", f"SELECT {_HELD_OUT}, 4 AS n_models, 4 AS n_cut_at_best, 4 AS n_waited")
+
+
+def _outside_fold(field: str) -> str:
+    value = f"coalesce(\"{field}\", '__null__')"
+    rest = {x: f"({x} OVER (PARTITION BY {value}) - {x} OVER (PARTITION BY {value}, fold))" for x in ("count(*)", "sum(click)")}
+    return (f"round(({rest['sum(click)']} + 20 * share) / ({rest['count(*)']} + 20), 6) AS {field}_rate, "
+            f"round(ln(1 + {rest['count(*)']}), 6) AS {field}_rows")
+
+
+add("tree_value_rates", f"SELECT event_id, {', '.join(_outside_fold(f) for f in _CATEGORICAL)} FROM dealt", _TRAIN,
+    """dealt AS (SELECT *, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 5 AS fold,
+  (SELECT avg(click) FROM tr) AS share FROM tr)""")

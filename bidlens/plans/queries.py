@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -879,6 +879,17 @@ def lr_scores(spark, d):
     return search.score(test).select("event_id", "click", "p_raw")
 
 
+@query
+def lr_search(spark, d):
+    """Per penalty: validation rows, whether the fit is at its optimum, the mean prediction there, and how many runs are better."""
+    train, val, _ = _model_frames(spark, d)
+    found = models.LinearSearch(train, val, 0.2, keys=KEYS)
+    chosen = (F.col("c") == found.best_c) & (F.col("log_loss") == F.min("log_loss").over(Window.partitionBy()))  # one row per penalty
+    return found.records.select("c", "n_rows", "n_positive", (F.col("gradient") < 1e-4).alias("at_optimum"),
+                                F.round("mean_prediction", 3).alias("mean_prediction"), chosen.cast("int").alias("chosen")).groupBy(
+        "n_rows", "n_positive", "at_optimum", "mean_prediction").agg(F.count("*").alias("n_runs"), F.sum("chosen").alias("n_chosen"))
+
+
 @query
 def gbt_scores(spark, d):
     train, val, test = _model_frames(spark, d)
@@ -886,6 +897,30 @@ def gbt_scores(spark, d):
     return search.score(test).select("event_id", "click", "p_raw")
 
 
+@query
+def gbt_rounds(spark, d):
+    """Ensembles cut at their best validation round, and those that waited PATIENCE rounds for a better one."""
+    train, val, _ = _model_frames(spark, d)
+    search = models.TreeSearch(train, val, 0.2, keys=KEYS)
+    losses = spark.createDataFrame([(m, i + 1, x) for m, found in search.losses.items() for i, x in enumerate(found)],
+                                   "model string, round int, loss double")
+    best = losses.groupBy("model").agg(F.min_by("round", F.struct("loss", "round")).alias("best"), F.max("round").alias("last"))
+    return search.records.join(best, "model").groupBy("n_rows", "n_positive").agg(
+        F.count("*").alias("n_models"), F.count_if(F.col("n_trees") == F.col("best")).alias("n_cut_at_best"),
+        F.count_if(F.col("last") >= F.col("best") + models.PATIENCE).alias("n_waited"))
+
+
+@query
+def tree_value_rates(spark, d):
+    """The features of training rows: per field, rows and clicks of a row's value outside the row's own fold."""
+    train, _, _ = _model_frames(spark, d)
+    fields = tokens.CATEGORICAL_FIELDS
+    rates = materialize(models.value_rates(train, fields, ["event_id"]), "value-rates")
+    overall = train.agg(F.avg("click")).first()[0]
+    rows = models.with_value_rates(train, rates, fields, overall, models.fold_of(["event_id"]))
+    return rounded(rows.select("event_id", *[f"{f}_{x}" for f in fields for x in ("rate", "rows")]))
+
+
 @query
 def isotonic_scores(spark, d):
     rows = predictions(spark, d)
@@ -896,5 +931,8 @@ def isotonic_scores(spark, d):
 
 @query
 def ablation(spark, d):
+    """Fields left out by groups; the first variant must meet the record of the search's model with that penalty."""
     train, val, _ = _model_frames(spark, d)
-    return models.ablation(train, val, 0.2, keys=KEYS)
+    val = materialize(val, "val")
+    recorded = models.LinearSearch(train, val, 0.2, keys=KEYS, c_grid=[0.1]).records
+    return models.ablation(train, val, 0.2, keys=KEYS, recorded=recorded)
