@@ -565,3 +565,16 @@ def _outside_fold(field: str) -> str:
 add("tree_value_rates", f"SELECT event_id, {', '.join(_outside_fold(f) for f in _CATEGORICAL)} FROM dealt", _TRAIN,
     """dealt AS (SELECT *, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 5 AS fold,
   (SELECT avg(click) FROM tr) AS share FROM tr)""")
+
+# The fit at a score is the largest, over scores up to it, of the smallest mean of the rows from there to a score not below it.
+add("isotonic_scores", """SELECT event_id, y_true, p_calibrated, CASE WHEN b.x IS NULL THEN a.y WHEN a.x IS NULL OR a.x = b.x THEN b.y
+  ELSE a.y + (b.y - a.y) * (p_calibrated - a.x) / (b.x - a.x) END AS p_isotonic
+FROM (SELECT * FROM pred WHERE split = 'test') t ASOF LEFT JOIN knots a ON t.p_calibrated >= a.x ASOF LEFT JOIN knots b ON t.p_calibrated <= b.x""",
+    """pt AS (SELECT p_calibrated AS x, row_number() OVER (ORDER BY p_calibrated) AS i, sum(sum(y_true)) OVER (ORDER BY p_calibrated) AS s,
+  sum(count(*)) OVER (ORDER BY p_calibrated) AS m FROM pred WHERE split = 'val' GROUP BY p_calibrated)""",
+    """means AS (SELECT a.i AS a, b.i AS b, b.x, (b.s - coalesce(l.s, 0)) / (b.m - coalesce(l.m, 0)) AS mean
+  FROM pt a JOIN pt b ON b.i >= a.i LEFT JOIN pt l ON l.i = a.i - 1)""",
+    """fit AS (SELECT b AS i, any_value(x) AS x, max(lowest) AS y FROM (
+  SELECT a, b, x, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS lowest FROM means) GROUP BY b)""",
+    """knots AS (SELECT x, y FROM (SELECT *, lag(y) OVER (ORDER BY i) AS p, lead(y) OVER (ORDER BY i) AS n FROM fit)
+  WHERE p IS DISTINCT FROM y OR n IS DISTINCT FROM y)""")

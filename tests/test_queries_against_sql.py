@@ -8,7 +8,6 @@ from oracle_compare import TESTDATA, connect, difference
 
 FOLDER = f"{TESTDATA}/sf0.001"
 QUERIES, SQL = queries.QUERIES, oracles.ORACLES  # those of the training-data subpackage have tests of their own
-SLOW_WITHOUT_SQL = {"lr_scores", "gbt_scores", "ablation"}
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +24,7 @@ def test_query_matches_sql(spark, con, name):
     assert difference(QUERIES[name](spark, FOLDER).toPandas(), con.execute(SQL[name]).df()) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW_WITHOUT_SQL))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_gives_rows(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 
