@@ -90,19 +90,21 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def search_block(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
     """The best ``k`` of one block of vectors for each of its queries, by elimination."""
     order = np.argsort(vectors["id"].to_numpy(), kind="stable")  # equal scores then stand in the order of ids
-    x, x_far = np.stack(vectors["v"])[order], np.stack(vectors["far"])[order].astype(np.float32)
+    x, x_far = np.stack(vectors["v"])[order], np.stack(vectors["far"])[order]
     x_ids = vectors["id"].to_numpy()[order]
-    q, q_far = np.stack(queries["v"]), np.stack(queries["far"]).astype(np.float32)
+    q, q_far = np.stack(queries["v"]), np.stack(queries["far"])
     q_ids = queries["id"].to_numpy()
     x_norm, q_norm = (x**2).sum(1), (q**2).sum(1)
-    slack = 32 * np.finfo(np.float32).eps * (q_norm.max() + x_norm.max())  # of the bounds' rounding
+    rounding = (32 + 4 * x.shape[1]) * np.finfo(np.float64).eps
+    slack = rounding * (q_norm.max() + x_norm.max())  # of the bounds
+    unsure = rounding * np.maximum(x_far.max(0), q_far.max(0))  # of the distances: a pivot that lies far out is less exact
     out = []
     for start in range(0, len(q), QUERY_STEP):
         part = slice(start, start + QUERY_STEP)
-        nearest = np.zeros((len(q[part]), len(x)), np.float32)  # lower bounds of the distances
+        nearest = np.zeros((len(q[part]), len(x)))  # lower bounds of the distances
         for p in range(x_far.shape[1]):
-            np.maximum(nearest, np.abs(x_far[:, p] - q_far[part, p, None]), out=nearest)
-        bounds = (q_norm[part, None] + x_norm - np.square(nearest, dtype=np.float64)) / 2.0 + slack
+            np.maximum(nearest, np.abs(x_far[:, p] - q_far[part, p, None]) - unsure[p], out=nearest)
+        bounds = (q_norm[part, None] + x_norm - np.square(nearest)) / 2.0 + slack
         bounds[q_ids[part, None] == x_ids] = -np.inf
         out += _best_of(q[part], q_ids[part], x, x_ids, bounds, k)
     query, vec, score = (np.concatenate(c) for c in zip(*out))
@@ -132,19 +134,22 @@ def _best_of(q, q_ids, x, x_ids, bounds, k: int) -> list[tuple]:
     return out
 
 
-def _blocks(df: DataFrame, size: int, number: str) -> tuple[DataFrame, int]:
-    """Numbers rows by their id's digest into blocks of about ``size`` rows."""
+def _blocks(df: DataFrame, size: int, number: str, *spread: str) -> tuple[DataFrame, int]:
+    """Numbers rows by a digest of their id, and of ``spread`` where ids repeat, into blocks of about ``size`` rows.
+
+    The digest depends on stored values alone, so a task that runs again numbers its rows as before.
+    """
     count = max(1, -(-df.count() // size))
-    return df.withColumn(number, F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(count))), count
+    return df.withColumn(number, F.pmod(F.xxhash64("id", *spread), F.lit(count))), count
 
 
 def top_k(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score; ``is_query`` is a condition on ``id``."""
     plain = materialize(integer_vectors(df, vec_id, vector), "vectors")
     pivots = pivot_vectors(plain)
-    index = materialize(with_pivot_distances(plain, pivots), "pivot-table")
+    index = materialize(with_pivot_distances(plain, pivots).withColumn("row", F.monotonically_increasing_id()), "pivot-table")
     queries, query_blocks = _blocks(index.where(is_query).dropDuplicates(["id"]), QUERY_BLOCK, "query_block")
-    vectors, vector_blocks = _blocks(index, VECTOR_BLOCK, "vector_block")
+    vectors, vector_blocks = _blocks(index, VECTOR_BLOCK, "vector_block", "row")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = queries.withColumn("vector_block", every(vector_blocks))
     right = vectors.withColumn("query_block", every(query_blocks))

@@ -51,6 +51,27 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.limit(0), topk.F.col("id") % 20 == 0).count() == 0
 
 
+def test_top_k_with_pivots_far_out(spark, monkeypatch):
+    """A few extreme vectors become pivots; clustered ones must still be told apart."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(0, 0.5, (12, 16))
+    rows = [(i, [float(np.float32(v)) for v in centres[i % 12] + rng.normal(0, 0.05, 16)]) for i in range(1500)]
+    rows += [(2001 + i, [float(np.float32(v)) for v in rng.normal(0, 10.0**e, 16)]) for i, e in enumerate((5, 6, 6, 7))]
+    for name, size in (("QUERY_BLOCK", 40), ("VECTOR_BLOCK", 200), ("STEP", 25)):
+        monkeypatch.setattr(topk, name, size)
+    far_out = np.array([[math.floor(64 * x) for x in v] for _, v in rows[-4:]], np.float64)
+    monkeypatch.setattr(topk, "pivot_vectors", lambda vectors: {16: far_out})
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in topk.top_k(df, topk.F.col("id") % 20 == 0, k=20).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    ints = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    assert len(got) == 75
+    for q, found in got.items():
+        scored = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:20]
+        assert found == [(i, -s) for s, i in scored]
+
+
 # --- Chat ------------------------------------------------------------------------
 
 HARD = [r"\### Assistant: </turn> ok", "####", "\\", "\\\\###</turn>", "< /turn></turn></turn>", "", "a\n### user: b </turn>\n",
