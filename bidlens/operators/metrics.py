@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidlens.functions import probability as prob
@@ -72,38 +72,42 @@ def log_loss(predictions: DataFrame, score: str, label: str = "y_true") -> DataF
     return predictions.agg(F.avg(prob.log_loss_term(F.col(label), p)).alias("log_loss"))
 
 
-def bin_edges(ranked: DataFrame, n_bins: int) -> DataFrame:
-    """Edges of bins with equal counts; repeated edges collapse."""
+def bin_edges(ranked: DataFrame, n_bins: int, groups: Sequence[str] = ()) -> DataFrame:
+    """Edges of bins with equal counts, per group; repeated edges collapse."""
     probs = [i / n_bins for i in range(n_bins + 1)]
-    picked = pick_quantiles(ranked, SCORE, "n", "n_upto", probs)
-    return picked.select(F.array_distinct("quantiles").alias("edges"))
+    picked = pick_quantiles(ranked, SCORE, "n", "n_upto", probs, groups)
+    return picked.select(*groups, F.array_distinct("quantiles").alias("edges"))
 
 
-def binned(ranked: DataFrame, n_bins: int) -> DataFrame:
-    """Adds ``bin`` and the array ``edges``.
+def binned(ranked: DataFrame, n_bins: int, groups: Sequence[str] = ()) -> DataFrame:
+    """Adds ``bin`` and the array ``edges``, those of the row's group.
 
     Bins are closed on the right and the first one includes its lower edge, so a
     score's bin is the number of edges below it.  The comparisons are written out,
     which keeps them inside generated code.
     """
     below = " + ".join(f"coalesce(int(get(edges, {i}) < {SCORE}), 0)" for i in range(n_bins + 1))
-    with_edges = ranked.withColumn("edges", bin_edges(ranked, n_bins).scalar())
+    if groups:  # a row per group; stored, so that its size decides how it is joined
+        with_edges = join_null_safe(ranked, materialize(bin_edges(ranked, n_bins, groups), "bin-edges"), groups)
+    else:
+        with_edges = ranked.withColumn("edges", bin_edges(ranked, n_bins).scalar())
     return with_edges.withColumn("bin", F.expr(f"greatest(1, {below})"))
 
 
-def reliability_bins(ranked: DataFrame, n_bins: int = 10) -> DataFrame:
-    """Per bin: rows, mean predicted and observed rate, score range, gap and weight.
+def reliability_bins(ranked: DataFrame, n_bins: int = 10, groups: Sequence[str] = ()) -> DataFrame:
+    """Per group and bin: rows, mean predicted and observed rate, score range, gap and weight within the group.
 
     ``ratio`` is predicted over observed; a bin without positives has NULL there
     and the reason in ``ratio_note``.
     """
-    total = ranked.agg(F.sum("n")).scalar()
     n, p = F.col("n"), F.col(SCORE)
-    bins = binned(ranked, n_bins).groupBy("bin").agg(
+    bins = binned(ranked, n_bins, groups).groupBy(*groups, "bin").agg(
         F.sum("n").alias("n"), F.sum("pos").alias("n_positive"),
         (F.sum(p * n) / F.sum(n)).alias("mean_predicted"),
         (F.sum("pos") / F.sum(n)).alias("mean_actual"),
         F.min(p).alias("prob_min"), F.max(p).alias("prob_max"))
+    # A group has at most ``n_bins`` rows by now.
+    total = F.sum("n").over(Window.partitionBy(*groups)) if groups else ranked.agg(F.sum("n")).scalar()
     return bins.withColumns({
         "abs_gap": F.abs(F.col("mean_predicted") - F.col("mean_actual")),
         "weight": F.col("n") / total,
@@ -111,8 +115,8 @@ def reliability_bins(ranked: DataFrame, n_bins: int = 10) -> DataFrame:
         "ratio_note": prob.ratio_note(F.col("n_positive"))})
 
 
-def calibration_error(bins: DataFrame) -> DataFrame:
-    return bins.agg(F.sum(F.col("abs_gap") * F.col("weight")).alias("ece"))
+def calibration_error(bins: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    return bins.groupBy(*groups).agg(F.sum(F.col("abs_gap") * F.col("weight")).alias("ece"))
 
 
 def reliability_curve(bins: DataFrame, floor: float = 1e-6) -> DataFrame:
@@ -126,15 +130,15 @@ def reliability_curve(bins: DataFrame, floor: float = 1e-6) -> DataFrame:
 
 
 def matched_edge_bins(predictions: DataFrame, before: str, after: str, label: str = "y_true",
-                      n_bins: int = 10) -> DataFrame:
-    """Before/after calibration over the very same rows per bin.
+                      n_bins: int = 10, groups: Sequence[str] = ()) -> DataFrame:
+    """Before/after calibration over the very same rows per bin, per group.
 
     Bins come from ``before`` alone; both means are taken over them.
     """
-    sums = predictions.select(F.col(before), F.col(label), F.col(after).alias("_after"))
-    ranked = ranked_scores(score_table(sums, before, label, extra=["_after"]))
+    sums = predictions.select(*groups, F.col(before), F.col(label), F.col(after).alias("_after"))
+    ranked = ranked_scores(score_table(sums, before, label, groups, extra=["_after"]), groups)
     n, p = F.col("n"), F.col(SCORE)
-    bins = binned(ranked, n_bins).groupBy("bin", "edges").agg(
+    bins = binned(ranked, n_bins, groups).groupBy(*groups, "bin", "edges").agg(
         F.sum("n").alias("n"), F.sum("pos").alias("n_positive"),
         (F.sum("pos") / F.sum(n)).alias("observed_rate"),
         (F.sum(p * n) / F.sum(n)).alias("mean_before"),
@@ -152,31 +156,34 @@ def calibration_deviation(bins: DataFrame, ratios: Sequence[str] = ("ratio",)) -
     return bins.agg(*[F.avg(F.abs(F.col(r) - 1)).alias(f"mad_{r}") for r in ratios])
 
 
-def evaluate(predictions: DataFrame, score_raw: str, *, model: str, split: str,
-             sampling_rate: float = 1.0, n_bins: int = 10, label: str = "y_true") -> DataFrame:
-    """The evaluation record of a model on a split, one row.
+def evaluate(predictions: DataFrame, score_raw: str, *, model: str, split: str, sampling_rate: float = 1.0,
+             n_bins: int = 10, label: str = "y_true", groups: Sequence[str] = ()) -> DataFrame:
+    """The evaluation record of a model on a split: one row, or one per group with edges of its own.
 
-    Raw scores are recalibrated and clipped first; every figure then comes from
-    one ranked score table.
+    Raw scores are recalibrated and clipped first; every figure of every group then
+    comes from one ranked score table.
     """
     p = prob.clip(prob.recalibrate(F.col(score_raw), sampling_rate))
-    scored = predictions.select(F.col(label), p.alias("_score"))
-    ranked = ranked_scores(score_table(scored, "_score", label))
-    return evaluation_from_ranked(ranked, model, split, sampling_rate, n_bins)
+    scored = predictions.select(*groups, F.col(label), p.alias("_score"))
+    ranked = ranked_scores(score_table(scored, "_score", label, groups), groups)
+    return evaluation_from_ranked(ranked, model, split, sampling_rate, n_bins, groups)
 
 
 def evaluation_from_ranked(ranked: DataFrame, model: str, split: str, sampling_rate: float,
-                           n_bins: int) -> DataFrame:
-    area = auc_from_ranked(ranked)
-    loss = ranked.agg((F.sum(-F.col("pos") * F.log(SCORE) - F.col("neg") * F.log(1 - F.col(SCORE)))
-                       / F.sum("n"))).scalar()
-    ece = calibration_error(reliability_bins(ranked, n_bins)).scalar()
-    return area.select(
-        F.lit(model).alias("model"), F.lit(split).alias("split"),
+                           n_bins: int, groups: Sequence[str] = ()) -> DataFrame:
+    area = auc_from_ranked(ranked, groups)
+    loss = ranked.groupBy(*groups).agg((F.sum(-F.col("pos") * F.log(SCORE) - F.col("neg") * F.log(1 - F.col(SCORE)))
+                                        / F.sum("n")).alias("log_loss"))
+    ece = calibration_error(reliability_bins(ranked, n_bins, groups), groups)
+    if groups:
+        figures = join_null_safe(join_null_safe(area, loss, groups), ece, groups)
+    else:
+        figures = area.withColumns({"log_loss": loss.scalar(), "ece": ece.scalar()})
+    return figures.select(
+        *groups, F.lit(model).alias("model"), F.lit(split).alias("split"),
         F.col("n").alias("n_rows"), "n_positive",
         prob.safe_ratio(F.col("n_positive"), F.col("n")).alias("positive_rate"),
-        F.lit(float(sampling_rate)).alias("sampling_rate"), "auc",
-        loss.alias("log_loss"), ece.alias("ece"), F.lit(n_bins).alias("n_bins"))
+        F.lit(float(sampling_rate)).alias("sampling_rate"), "auc", "log_loss", "ece", F.lit(n_bins).alias("n_bins"))
 
 
 def precision_at(predictions: DataFrame, score: str, thresholds: Sequence[float],

@@ -382,6 +382,41 @@ add("metric_deltas", union(
         *_evaluation(f"{s}_after", f"{s}_rows", "p_step"))])
 add("metrics_reproduce", union(f"SELECT '{m}' AS metric, round({m}, 6) AS found, TRUE AS agrees FROM ev" for m in _M),
     "tst AS (SELECT * FROM pred WHERE split = 'test')", *_evaluation("ev", "tst", "p_calibrated"))
+
+
+def _bins_by(rows: str, score: str, name: str, group: str) -> list[str]:
+    """As ``_bins``, with edges per group."""
+    probs = ", ".join(str(i / 10) for i in range(11))
+    return [f"""{name}_edges AS (SELECT {group}, e, row_number() OVER (PARTITION BY {group} ORDER BY e) AS i FROM (
+                SELECT DISTINCT {group}, unnest(q) AS e FROM (SELECT {group}, quantile_cont({score}, [{probs}]) AS q FROM {rows} GROUP BY {group})))""",
+            f"""{name}_b AS (SELECT r.*, CAST(greatest(1, (SELECT count(*) FROM {name}_edges x WHERE x.e < r.{score} AND x.{group} = r.{group})) AS INT)
+                AS bin FROM {rows} r)"""]
+
+
+def _evaluation_by(name: str, rows: str, score: str, group: str) -> list[str]:
+    clipped = _CLIPPED.format(p=score)
+    return [f"{name}_s AS (SELECT *, {clipped} AS s FROM {rows})", *_bins_by(f"{name}_s", "s", name, group),
+            f"""{name}_ece AS (SELECT {group}, sum(gap * n) / sum(n) AS ece FROM (SELECT {group}, bin, count(*) AS n,
+                abs(avg(s) - avg(y_true)) AS gap FROM {name}_b GROUP BY {group}, bin) GROUP BY {group})""",
+            f"{name}_loss AS (SELECT {group}, {_LOSS.format(p='s')} AS log_loss FROM {name}_s GROUP BY {group})",
+            f"{name} AS (SELECT a.*, log_loss, ece FROM ({_auc(f'{name}_s', 's', group)}) a JOIN {name}_loss USING ({group}) JOIN {name}_ece USING ({group}))"]
+
+
+_TEST_ROWS = "tst AS (SELECT * FROM pred WHERE split = 'test')"
+add("evaluation_by_advertiser", """SELECT advertiser, 'stand-in' AS model, 'test' AS split, n AS n_rows, n_positive,
+  round(n_positive / n::DOUBLE, 6) AS positive_rate, 0.02::DOUBLE AS sampling_rate, round(auc, 6) AS auc, round(log_loss, 6) AS log_loss,
+  round(ece, 6) AS ece, 10 AS n_bins FROM ev""", _TEST_ROWS, *_evaluation_by("ev", "tst", "p_calibrated", "advertiser"))
+add("metric_deltas_by_advertiser", "SELECT advertiser, " + ", ".join(
+    f"round(b.{m}, 6) AS {m}_before, round(a.{m}, 6) AS {m}_after, round(a.{m} - b.{m}, 6) AS {m}_delta" for m in _M)
+    + " FROM before b JOIN after a USING (advertiser)", _TEST_ROWS,
+    *_evaluation_by("before", "tst", "p_calibrated", "advertiser"), *_evaluation_by("after", "tst", "p_step", "advertiser"))
+add("matched_edge_bins_by_advertiser", f"""SELECT m.advertiser, bin, n, n_positive, round(observed_rate, 6) AS observed_rate,
+  round(mean_before, 6) AS mean_before, round(mean_after, 6) AS mean_after, round(mean_before / nullif(observed_rate, 0), 6) AS ratio_before,
+  round(mean_after / nullif(observed_rate, 0), 6) AS ratio_after, CASE WHEN n_positive = 0 THEN {_NOTE} END AS ratio_note,
+  round(lo.e, 6) AS edge_low, round(coalesce(hi.e, lo.e), 6) AS edge_high
+FROM m LEFT JOIN c_edges lo ON lo.advertiser = m.advertiser AND lo.i = bin LEFT JOIN c_edges hi ON hi.advertiser = m.advertiser AND hi.i = bin + 1""",
+    *_bins_by("pred", "p_calibrated", "c", "advertiser"), _MATCHED.replace("m AS (SELECT bin", "m AS (SELECT advertiser, bin").replace(
+        "GROUP BY bin", "GROUP BY advertiser, bin"))
 add("precision_at_threshold", union(f"""SELECT {t}::DOUBLE AS threshold, count(*) AS n, CAST(coalesce(sum(y_true), 0) AS BIGINT) AS n_positive,
   round(sum(y_true) / nullif(count(*), 0)::DOUBLE, 6) AS precision FROM pred WHERE p_calibrated > {t}::DOUBLE"""
                                     for t in (0.01, 0.1, 0.5, 0.9)))

@@ -551,6 +551,26 @@ def metric_deltas(spark, d):
     return rounded(out)
 
 
+@query
+def evaluation_by_advertiser(spark, d):
+    """One evaluation record per advertiser, its bins with edges of its own."""
+    return rounded(metrics.evaluate(in_split(predictions(spark, d), "test"), "p_raw", model="stand-in", split="test",
+                                    sampling_rate=RATE, groups=["advertiser"]))
+
+
+@query
+def metric_deltas_by_advertiser(spark, d):
+    part = in_split(predictions(spark, d), "test")
+    before = metrics.evaluate(part, "p_raw", model="raw", split="test", sampling_rate=RATE, groups=["advertiser"])
+    after = metrics.evaluate(part, "p_step", model="stepped", split="test", groups=["advertiser"])
+    return rounded(metrics.metric_deltas(before, after, ["advertiser"]))
+
+
+@query
+def matched_edge_bins_by_advertiser(spark, d):
+    return rounded(metrics.matched_edge_bins(predictions(spark, d), "p_calibrated", "p_step", groups=["advertiser"]))
+
+
 @query
 def metrics_reproduce(spark, d):
     """A second evaluation of the same scores must reproduce the first to 1e-9."""
