@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidlens import schema
+from bidlens.session import materialize
 
 PRICE_COLUMNS = ["slotprice", "bidprice", "payprice"]
 APPROX_ACCURACY = 10_000
+SKETCH_SIZE = 4_096
+RANK_ERROR = 0.003  # of a quantile sketch of that size; twice what its authors state for 99 of 100 cases
+REPORT_QUANTILES = {"p50": 0.5, "p95": 0.95}
 
 
 def _present(df: DataFrame, names: Sequence[str]) -> list[str]:
@@ -82,6 +86,72 @@ def bidprice_lookup(df: DataFrame, by: Sequence[str] = ("season", "advertiser",
     return spread.withColumn("recoverable", F.col("n_distinct_bidprice") == 1)
 
 
+def validation_parts(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ("season", "advertiser")) -> DataFrame:
+    """Everything a report needs of a table, per group, in one scan; stored.
+
+    Counts, sums and quantile sketches merge, so figures of the table and of any
+    coarser grouping come from these rows without reading the table again.
+    """
+    names, prices = list(columns or df.columns), _present(df, PRICE_COLUMNS)
+    parts = [F.count("*").alias("n_rows"), *[F.count_if(F.col(c).isNull()).alias(f"null__{c}") for c in names]]
+    for p in prices:
+        parts += [F.min(p).alias(f"min__{p}"), F.max(p).alias(f"max__{p}"), F.sum(F.col(p).cast("double")).alias(f"sum__{p}"),
+                  F.count(p).alias(f"count__{p}"), F.count_if(F.col(p) < 0).alias(f"negative__{p}"),
+                  F.kll_sketch_agg_bigint(F.col(p).cast("long"), F.lit(SKETCH_SIZE)).alias(f"sketch__{p}")]
+    parts += [F.count_if(F.expr(rule)).alias(f"anomaly__{name}") for name, rule in _rules(df).items()]
+    parts += [F.count_distinct("bidprice").alias("n_distinct_bidprice")]
+    return materialize(df.groupBy(*by).agg(*parts), "validation-parts")
+
+
+def _rules(df: DataFrame) -> dict[str, str]:
+    return {n: r for n, r in ANOMALIES.items() if "payprice" not in r or "payprice" in df.columns}
+
+
+def complete_report(name: str, parts: DataFrame, by: Sequence[str] = ("season", "advertiser")) -> DataFrame:
+    """The whole report of a table in long form: table_name, check, subject, value.
+
+    Checks are rows, nulls and null_rate per column, price_min, price_max, price_mean,
+    price_negative, price_p50 and price_p95 (within RANK_ERROR) per price, anomaly per
+    rule, and per group how many different bid prices it has.
+    """
+    kinds = [c.split("__", 1) for c in parts.columns if "__" in c]
+    of_kind = lambda kind: [s for k, s in kinds if k == kind]
+    total = F.sum("n_rows")
+    rows: list[tuple[str, str, Column]] = [("rows", "", total)]
+    for c in of_kind("null"):
+        rows += [("nulls", c, F.sum(f"null__{c}")), ("null_rate", c, F.try_divide(F.sum(f"null__{c}"), total))]
+    for p in of_kind("sketch"):
+        rows += [("price_min", p, F.min(f"min__{p}")), ("price_max", p, F.max(f"max__{p}")),
+                 ("price_mean", p, F.try_divide(F.sum(f"sum__{p}"), F.sum(f"count__{p}"))), ("price_negative", p, F.sum(f"negative__{p}"))]
+        merged = F.kll_merge_agg_bigint(f"sketch__{p}")
+        rows += [(f"price_{q}", p, F.when(F.sum(f"count__{p}") > 0, F.kll_sketch_get_quantile_bigint(merged, F.lit(at))))
+                 for q, at in REPORT_QUANTILES.items()]
+    rows += [("anomaly", a, F.sum(f"anomaly__{a}")) for a in of_kind("anomaly")]
+    figures = parts.agg(*[v.cast("double").alias(f"v{i}") for i, (_, _, v) in enumerate(rows)])
+    long = figures.select(F.explode(F.array(*[
+        F.struct(F.lit(check).alias("check"), F.lit(subject).alias("subject"), F.col(f"v{i}").alias("value"))
+        for i, (check, subject, _) in enumerate(rows)])).alias("r")).select("r.*")
+    spread = parts.select(F.lit("distinct_bidprices").alias("check"), F.concat_ws("/", *by).alias("subject"),
+                          F.col("n_distinct_bidprice").cast("double").alias("value"))
+    return long.unionByName(spread).select(F.lit(name).alias("table_name"), "check", "subject", "value")
+
+
+def sketch_quality(df: DataFrame, parts: DataFrame) -> DataFrame:
+    """Per price and quantile: rows that have it, and whether the sketch's value lies within RANK_ERROR of the asked rank."""
+    prices = [c.removeprefix("sketch__") for c in parts.columns if c.startswith("sketch__")]
+    asked = [(p, q, at) for p in prices for q, at in REPORT_QUANTILES.items()]
+    values = parts.agg(*[F.kll_sketch_get_quantile_bigint(F.kll_merge_agg_bigint(f"sketch__{p}"), F.lit(at)).alias(f"{p}_{q}")
+                         for p, q, at in asked]).first()  # two numbers per price
+    counted = df.agg(*[c for p, q, _ in asked for c in (
+        F.count(p).alias(f"n_{p}_{q}"), F.count_if(F.col(p) < values[f"{p}_{q}"]).alias(f"below_{p}_{q}"),
+        F.count_if(F.col(p) <= values[f"{p}_{q}"]).alias(f"upto_{p}_{q}"))])
+    return counted.select(F.explode(F.array(*[
+        F.struct(F.lit(p).alias("column_name"), F.lit(q).alias("quantile"), F.col(f"n_{p}_{q}").alias("n"),
+                 ((F.col(f"below_{p}_{q}") <= (at + RANK_ERROR) * F.col(f"n_{p}_{q}"))
+                  & (F.col(f"upto_{p}_{q}") >= (at - RANK_ERROR) * F.col(f"n_{p}_{q}"))).alias("within_bound"))
+        for p, q, at in asked])).alias("r")).select("r.*")
+
+
 def validation_report(tables: dict[str, DataFrame | None]) -> DataFrame:
     """One row per table: does it exist, its rows and its anomaly counts.
 

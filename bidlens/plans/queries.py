@@ -108,7 +108,20 @@ def price_profile(spark, d):
 
 @query
 def price_profile_quantiles(spark, d):
-    return quality.price_profile(logs.impressions(spark, d)).select("column_name", "p50", "p95")
+    """Quantiles read from merged sketches, held against exact ranks."""
+    rows = logs.impressions(spark, d)
+    return quality.sketch_quality(rows, quality.validation_parts(rows, []))
+
+
+@query
+def validation_complete(spark, d):
+    """Every check of every table; approximate quantiles are left to ``price_profile_quantiles``."""
+    out = None
+    for log_type, name in schema.TABLE_OF_LOG_TYPE.items():
+        parts = quality.validation_parts(_tables(spark, d)[name], schema.raw_columns(log_type))
+        part = quality.complete_report(name, parts).where("check NOT IN ('price_p50', 'price_p95')")
+        out = part if out is None else out.unionByName(part)
+    return rounded(out)
 
 
 @query
