@@ -95,16 +95,19 @@ def search_block(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.Dat
     q, q_far = np.stack(queries["v"]), np.stack(queries["far"])
     q_ids = queries["id"].to_numpy()
     x_norm, q_norm = (x**2).sum(1), (q**2).sum(1)
-    rounding = (32 + 4 * x.shape[1]) * np.finfo(np.float64).eps
-    slack = rounding * (q_norm.max() + x_norm.max())  # of the bounds
-    unsure = rounding * np.maximum(x_far.max(0), q_far.max(0))  # of the distances: a pivot that lies far out is less exact
+    slack = 32 * np.finfo(np.float64).eps * (q_norm.max() + x_norm.max())  # of the bounds' rounding
+    # Distances are compared in 32 bits.  A pivot that lies far out is inexact there and tells least: it is left out.
+    unsure = 8 * np.finfo(np.float32).eps * np.maximum(x_far.max(0), q_far.max(0))
+    use = np.flatnonzero((unsure <= 4 * np.median(unsure)) & (unsure < 1e30))
+    x_far, q_far = x_far[:, use].astype(np.float32), q_far[:, use].astype(np.float32)
+    off = np.float32(unsure[use].max(initial=0.0))
     out = []
     for start in range(0, len(q), QUERY_STEP):
         part = slice(start, start + QUERY_STEP)
-        nearest = np.zeros((len(q[part]), len(x)))  # lower bounds of the distances
+        nearest = np.full((len(q[part]), len(x)), off)  # lower bounds of the distances, once ``off`` is taken from them
         for p in range(x_far.shape[1]):
-            np.maximum(nearest, np.abs(x_far[:, p] - q_far[part, p, None]) - unsure[p], out=nearest)
-        bounds = (q_norm[part, None] + x_norm - np.square(nearest)) / 2.0 + slack
+            np.maximum(nearest, np.abs(x_far[:, p] - q_far[part, p, None]), out=nearest)
+        bounds = (q_norm[part, None] + x_norm - np.square(nearest - off, dtype=np.float64)) / 2.0 + slack
         bounds[q_ids[part, None] == x_ids] = -np.inf
         out += _best_of(q[part], q_ids[part], x, x_ids, bounds, k)
     query, vec, score = (np.concatenate(c) for c in zip(*out))
