@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bidlens.functions import tokens
-from bidlens.schema import HASH_SEED
+from bidlens.schema import HASH_BUCKETS, HASH_SEED, HASHED_COLUMNS
 
 ORACLES: dict[str, str] = {}
 
@@ -140,16 +140,15 @@ add("parse_bid_lines", f"""SELECT season, date, count(*) AS n, CAST(sum(bidprice
   count(DISTINCT {_md5_bucket('userid')}) AS user_buckets FROM bids GROUP BY season, date""")
 add("stored_table_roundtrip", """SELECT season, date, advertiser, count(*) AS n, CAST(sum(payprice) AS BIGINT) AS spend
 FROM clk WHERE date >= DATE '2024-01-10' GROUP BY ALL""")
-add("load_ledger", """SELECT 'impressions' AS table_name, season, date, count(*) AS rows_in, count(*) AS rows_out
-FROM imp GROUP BY season, date""")
+add("load_ledger", """SELECT 'impressions' AS table_name, season, date, count(*) AS rows_in,
+  count(*) FILTER (WHERE bidid <> (SELECT min(bidid) FROM imp)) AS rows_out FROM imp GROUP BY season, date""")
 add("pending_days", """SELECT DISTINCT 'impressions' AS table_name, season, date FROM imp
 WHERE date NOT IN (SELECT date FROM clk WHERE advertiser = '0' AND adexchange = '0')""")
 add("usertag_array", """SELECT event_id, CAST(len(t) AS INT) AS n_tags, list_max(t) AS max_tag,
   array_to_string(t, '|') AS tags
 FROM (SELECT event_id, CASE WHEN usertag IS NOT NULL THEN
   list_transform(string_split(usertag, ','), lambda x: CAST(x AS INT)) END AS t FROM imp)""")
-add("hash_bucket_md5", f"""SELECT event_id, {_md5_bucket('domain')} AS domain_hash, {_md5_bucket('url')} AS url_hash,
-  {_md5_bucket('userid')} AS userid_hash FROM imp""")
+add("hash_bucket_md5", "SELECT event_id, " + ", ".join(f"{_md5_bucket(c)} AS {c}_hash" for c in HASHED_COLUMNS) + " FROM imp")
 
 # --- Labels, splits, features -------------------------------------------------------
 
@@ -212,9 +211,9 @@ _TAGS = "SELECT event_id, split, CAST(unnest(string_split(usertag, ',')) AS INT)
 add("tag_vocabulary", "SELECT DISTINCT tag FROM t WHERE split = 'train'", f"t AS ({_TAGS})")
 add("tag_multihot", """SELECT DISTINCT event_id, tag, 1 AS flag FROM t WHERE split = 'test'
   AND tag IN (SELECT tag FROM t WHERE split = 'train')""", f"t AS ({_TAGS})")
-add("tag_indicators", "SELECT event_id, " + ", ".join(
-    f"CASE WHEN usertag IS NOT NULL AND {t} IN (k, k % 7, k % 3) THEN 1 ELSE 0 END AS usertag_{t}"
-    for t in (0, 1, 2, 50)) + " FROM imp")
+add("tag_indicators", """SELECT event_id, coalesce(CASE WHEN usertag IS NOT NULL THEN array_to_string(list_filter(
+  list_sort(list_distinct([k, k % 7, k % 3])), lambda t: list_contains(known, t)), '|') END, '') AS tags
+FROM lab, (SELECT list(DISTINCT tag) AS known FROM (SELECT unnest([k, k % 7, k % 3]) AS tag FROM lab WHERE split = 'train' AND usertag IS NOT NULL))""")
 
 # --- Profile ------------------------------------------------------------------------
 
@@ -259,10 +258,9 @@ add("repeat_consistency", "SELECT count(*) AS n_repeated, " + ", ".join(
     + ", count(*) FILTER (WHERE t > 1) AS different_times FROM (SELECT bidid, " + ", ".join(
     f"count(DISTINCT {f}) AS {f}" for f in ("payprice", "bidprice", "advertiser", "slotid", "creative"))
     + ", count(DISTINCT ts) AS t FROM imp GROUP BY bidid HAVING count(*) > 1)")
-add("hash_collisions", union(f"""SELECT '{f}' AS field, count(DISTINCT {f}) AS n_values, count(DISTINCT {_md5_bucket(f, 1024)}) AS n_buckets,
-  round(1 - count(DISTINCT {_md5_bucket(f, 1024)}) / count(DISTINCT {f})::DOUBLE, 6) AS collision_rate,
-  round(1024.0::DOUBLE * (1 - exp(-count(DISTINCT {f}) / 1024.0::DOUBLE)), 6) AS expected_buckets FROM imp"""
-                             for f in ("userid", "url", "domain", "creative")))
+add("hash_collisions", union(f"""SELECT '{f}' AS field, v AS n_values, b AS n_buckets, round(1 - b / v::DOUBLE, 6) AS collision_rate,
+  round({HASH_BUCKETS}::DOUBLE * (1 - exp(-v / {HASH_BUCKETS}::DOUBLE)), 6) AS expected_buckets
+FROM (SELECT count(DISTINCT {f}) AS v, count(DISTINCT {_md5_bucket(f)}) AS b FROM imp) WHERE v > 0""" for f in HASHED_COLUMNS))
 _SHAPE = """(SELECT payprice FROM imp j WHERE {w} GROUP BY payprice ORDER BY count(*) DESC, payprice LIMIT 1) AS mode,
   CAST(quantile_cont(payprice, 0.5) AS DOUBLE) AS median, round(avg(payprice), 6) AS mean,
   round(quantile_cont(payprice::DOUBLE, 0.95), 6) AS p95,

@@ -183,10 +183,12 @@ def stored_table_roundtrip(spark, d):
 
 @query
 def load_ledger(spark, d):
-    """Rows in and out per day of a load."""
+    """Rows in and out per day of a stored load that lost the rows of one bid."""
     source = logs.impressions(spark, d)
     typed = rawlogs.parse_lines(logs.raw_lines(source, "imp"), "imp")
-    return tables.ledger_rows(source, typed, "impressions")
+    root = new_table_path(spark, "ledger-load")
+    tables.write_table(typed.where(F.col("bidid") != source.agg(F.min("bidid")).scalar()), root, "impressions")
+    return tables.ledger_rows(source, tables.read_table(spark, root, "impressions"), "impressions")
 
 
 @query
@@ -209,8 +211,7 @@ def usertag_array(spark, d):
 @query
 def hash_bucket_md5(spark, d):
     rows = logs.impressions(spark, d)
-    return rows.select("event_id", *[cleaning.hash_bucket_md5(F.col(c)).alias(f"{c}_hash")
-                                     for c in ("domain", "url", "userid")])
+    return rows.select("event_id", *[cleaning.hash_bucket_md5(F.col(c)).alias(f"{c}_hash") for c in schema.HASHED_COLUMNS])
 
 
 # --- Labels, splits, features ---------------------------------------------------
@@ -316,8 +317,11 @@ def tag_multihot(spark, d):
 
 @query
 def tag_indicators(spark, d):
-    rows = features.tag_indicators(labelled(spark, d), [0, 1, 2, 50])
-    return rows.select("event_id", *[f"usertag_{t}" for t in (0, 1, 2, 50)])
+    """An indicator per tag of the training split; per row those that are set, in order."""
+    rows = labelled(spark, d)
+    known = sorted(r.tag for r in features.tag_vocabulary(in_split(rows, "train")).where("tag IS NOT NULL").collect())
+    flags = features.tag_indicators(rows, known)
+    return flags.select("event_id", F.concat_ws("|", *[F.when(F.col(f"usertag_{t}") == 1, str(t)) for t in known]).alias("tags"))
 
 
 # --- Profile --------------------------------------------------------------------
@@ -410,8 +414,7 @@ def repeat_consistency(spark, d):
 
 @query
 def hash_collisions(spark, d):
-    return rounded(profile.hash_collisions(logs.impressions(spark, d), ["userid", "url", "domain", "creative"],
-                                           1024, cleaning.hash_bucket_md5))
+    return rounded(profile.hash_collisions(logs.impressions(spark, d), schema.HASHED_COLUMNS, bucket=cleaning.hash_bucket_md5))
 
 
 @query
