@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -103,7 +103,8 @@ def train(spark: SparkSession, base: str, out: str, *, kind: str = "linear", sea
     drawn = materialize(drawn, "train-sample")
     search = (models.LinearSearch if kind == "linear" else models.TreeSearch)(
         drawn, frames["val"], rate, keys=keys, **options)
-    info = {"model": kind, "sampling_rate": rate, "seed": seed, "sampling": record.first().asDict()}
+    info = {"model": kind, "sampling_rate": rate, "seed": seed, "sampling": record.first().asDict(), "season": season,
+            "bounds": bounds_of(chosen or split.season_split(season))}
     for name in ("val", "test") if touch_test else ("val",):
         scored = materialize(search.score(frames[name]).withColumnRenamed("click", "y_true"), f"scores-{name}")
         evaluation = metrics.evaluate(scored, "p_raw", model=kind, split=name, sampling_rate=rate)
@@ -116,6 +117,95 @@ def train(spark: SparkSession, base: str, out: str, *, kind: str = "linear", sea
     return search
 
 
+def bounds_of(chosen: split.Split) -> dict[str, list[str]]:
+    return {name: list(chosen.range_of(name)) for name in ("train", "val", "test")}
+
+
+def require_equal(found: Mapping, wanted: Mapping, names: Sequence[str], what: str) -> None:
+    """A record must say the same about ``names`` as what it is held against."""
+    off = {n: (found.get(n), wanted.get(n)) for n in names if found.get(n) != wanted.get(n)}
+    if off:
+        raise ValueError(f"{what}: {off}")
+
+
+def require_record_rebuilt(spark: SparkSession, out: str, name: str, tolerance: float = 1e-9) -> None:
+    """The evaluation of a split, computed anew from its stored scores, must give the stored record."""
+    scores, info = artifacts.read_predictions(spark, f"{out}/{name}")
+    rebuilt = metrics.evaluate(scores, "p_raw", model=info["model"], split=name, sampling_rate=info["sampling_rate"])
+    recorded = artifacts.read_record(spark, f"{out}/evaluation-{name}")
+    figures = [(float(recorded["auc"]), float(recorded["log_loss"]), float(recorded["ece"]))]
+    models.require_figures(rebuilt, spark.createDataFrame(figures, "auc double, log_loss double, ece double"), tolerance)
+
+
+def score_test(spark: SparkSession, base: str, out: str, *, chosen: split.Split | None = None) -> DataFrame:
+    """Scores the test split, once, with the model that ``train`` stored below ``out``.
+
+    Before a test row is read, the stored evidence must hold: the split has the bounds
+    the model was trained with, the stored model gives the stored validation scores,
+    and those give the stored validation record.
+    """
+    if artifacts.record_exists(spark, f"{out}/evaluation-test"):
+        raise FileExistsError("the test split has been evaluated already; it is not read again")
+    stored, info = artifacts.read_predictions(spark, f"{out}/val")
+    chosen = chosen or split.season_split(info["season"])
+    require_equal(info, {"bounds": bounds_of(chosen)}, ["bounds"], "the split is not the one of the training")
+    frames = _split_frames(spark, tables.output_root(base), info["season"], chosen)
+    rate = info["sampling_rate"]
+    require_reproduced(score_stored(spark, out, frames["val"], rate), stored)
+    require_record_rebuilt(spark, out, "val")
+    scored = materialize(score_stored(spark, out, frames["test"], rate).withColumnRenamed("click", "y_true"), "scores-test")
+    evaluation = metrics.evaluate(scored, "p_raw", model=info["model"], split="test", sampling_rate=rate)
+    artifacts.write_predictions(scored, f"{out}/test", {**info, "split": "test"})
+    artifacts.write_record(spark, f"{out}/evaluation-test", evaluation.first().asDict())
+    return artifacts.read_predictions(spark, f"{out}/test")[0]
+
+
+def verified_scores(spark: SparkSession, out: str, date_range: tuple[str, str], tolerance: float = 1e-9) -> tuple[DataFrame, dict]:
+    """The calibrated test scores below ``out``, if they may be used for a sweep over ``date_range``.
+
+    They must come from the model, rate and seed of the stored test scores, be fitted on
+    validation rows, hold probabilities recalibrated at that rate, and cover the range.
+    """
+    scores, info = artifacts.read_predictions(spark, f"{out}/test-calibrated")
+    _, raw_info = artifacts.read_predictions(spark, f"{out}/test")
+    require_equal(info, raw_info, ["model", "sampling_rate", "seed", "season", "bounds"], "calibrated and raw test scores differ")
+    require_equal(info, {"calibrator_fit_split": "val", "split": "test"}, ["calibrator_fit_split", "split"], "wrong splits")
+    first, last = info["bounds"]["test"]
+    if not first <= date_range[0] <= date_range[1] <= last:
+        raise ValueError(f"scores of {first} to {last} do not cover {date_range}")
+    gap = F.max(F.abs(recalibrate(F.col("p_raw"), info["sampling_rate"]) - F.col("p_calibrated")))
+    worst = scores.agg(F.coalesce(gap, F.lit(0.0))).first()[0]
+    if not worst <= tolerance:
+        raise AssertionError(f"stored probabilities are not those of rate {info['sampling_rate']}: off by {worst}")
+    return scores, info
+
+
+def store_sweep(spark: SparkSession, base: str, out: str, name: str, date_range: tuple[str, str], seed: int = sweep.SEED) -> DataFrame:
+    """A sweep over verified scores, stored as ``<out>/sweeps/<name>`` with the record of how it came about; never overwritten."""
+    path = f"{out}/sweeps/{name}"
+    if artifacts.record_exists(spark, f"{path}/info"):
+        raise FileExistsError(f"there is a sweep called {name} already")
+    scores, info = verified_scores(spark, out, date_range)
+    root = tables.output_root(base)
+    _, results = run_sweep(tables.read_table(spark, root, "impressions"), tables.read_table(spark, root, "clicks"), scores,
+                           season=info["season"], date_range=date_range, seed=seed)
+    results.write.parquet(f"{path}/results")
+    stored = spark.read.parquet(f"{path}/results")
+    # The record is written last: a sweep without one was not finished.
+    artifacts.write_record(spark, f"{path}/info", {
+        "name": name, "date_range": list(date_range), "sweep_seed": seed, "n_results": stored.count(),
+        **{k: info[k] for k in ("model", "sampling_rate", "seed", "season", "bounds")}})
+    return stored
+
+
+def read_sweep(spark: SparkSession, out: str, name: str) -> tuple[DataFrame, dict]:
+    """A stored sweep and its record, which must agree on the number of results."""
+    path = f"{out}/sweeps/{name}"
+    info, results = artifacts.read_record(spark, f"{path}/info"), spark.read.parquet(f"{path}/results")
+    require_equal({"n_results": results.count()}, info, ["n_results"], "results were lost")
+    return results, info
+
+
 def score_stored(spark: SparkSession, out: str, rows: DataFrame, rate: float) -> DataFrame:
     """Raw and recalibrated scores of ``rows`` by the model that ``train`` stored below ``out``."""
     scored = models.load_search(spark, f"{out}/model").score(rows)

@@ -80,3 +80,42 @@ def test_split_frames_hold_no_settlement_columns(spark, base):
     frame = split.load_split(tables.read_table(spark, processed, "impressions"),
                              tables.read_table(spark, processed, "clicks"), 2, "val", queries.SPLIT)
     assert not set(frame.columns) & {"payprice", "bidprice", "logtype", "keypage", "season", "date"}
+
+
+def test_chain_of_evidence(spark, base):
+    """Every gate lets the right input through and stops a wrong one."""
+    out = f"{base}/evidence"
+    jobs.train(spark, base, out, rate=0.2, chosen=queries.SPLIT, c_grid=[0.1], max_iter=5, dimension=1 << 10)
+    moved = split.Split({**queries.SPLIT.ranges, "val": ("2024-01-21", "2024-01-24")})
+    with pytest.raises(ValueError, match="not the one of the training"):
+        jobs.score_test(spark, base, out, chosen=moved)
+    record = artifacts.read_record(spark, f"{out}/evaluation-val")
+    artifacts.write_record(spark, f"{out}/evaluation-val", {**record, "auc": record["auc"] + 1e-6}, overwrite=True)
+    with pytest.raises(AssertionError, match="not reproduced"):
+        jobs.score_test(spark, base, out, chosen=queries.SPLIT)
+    artifacts.write_record(spark, f"{out}/evaluation-val", record, overwrite=True)
+    assert jobs.score_test(spark, base, out, chosen=queries.SPLIT).where("p_calibrated between 0 and 1").count() > 0
+    with pytest.raises(FileExistsError):
+        jobs.score_test(spark, base, out, chosen=queries.SPLIT)
+    jobs.calibrate_scores(spark, out)
+    scores, info = jobs.verified_scores(spark, out, TEST_DAYS)
+    with pytest.raises(ValueError, match="do not cover"):
+        jobs.verified_scores(spark, out, ("2024-01-25", "2024-01-26"))
+    whole = jobs.materialize(scores, "whole")
+    for change, error, words in (({"sampling_rate": 0.5}, ValueError, "differ"), ({"calibrator_fit_split": "test"}, ValueError, "wrong splits")):
+        artifacts.write_record(spark, f"{out}/test-calibrated/info", {**info, **change}, overwrite=True)
+        with pytest.raises(error, match=words):
+            jobs.verified_scores(spark, out, TEST_DAYS)
+    artifacts.write_predictions(whole.withColumn("p_calibrated", whole.p_raw), f"{out}/test-calibrated", info)
+    with pytest.raises(AssertionError, match="not those of rate"):
+        jobs.verified_scores(spark, out, TEST_DAYS)
+    artifacts.write_predictions(whole, f"{out}/test-calibrated", info)
+    stored = jobs.store_sweep(spark, base, out, "first", TEST_DAYS)
+    with pytest.raises(FileExistsError):
+        jobs.store_sweep(spark, base, out, "first", TEST_DAYS)
+    again, about = jobs.read_sweep(spark.newSession(), out, "first")
+    assert about["n_results"] == 400 == again.count() and about["date_range"] == list(TEST_DAYS)
+    assert sorted(map(str, again.select("run_id", "total_spend").collect())) == sorted(map(str, stored.select("run_id", "total_spend").collect()))
+    artifacts.write_record(spark, f"{out}/sweeps/first/info", {**about, "n_results": 401}, overwrite=True)
+    with pytest.raises(ValueError, match="lost"):
+        jobs.read_sweep(spark, out, "first")
