@@ -1,23 +1,26 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 The base finds emails, ip addresses, cards and phone numbers by their form.  They
-are the seeds of a search for identifiers that the forms miss.  Every token that
-holds a digit or an at sign is an occurrence with two lexical patterns: the two
-words before it, and the words before and after it.  Patterns and token values
-make a graph.  In each round Spark scores every pattern by the share of its
-different values that are believed to be of one kind, and accepts it for that
-kind when the share and the number of such values are high; then it scores every
-value by the accepted patterns it occurs in, and believes those with a high score
-that could be of the kind at all.  After the last round every occurrence of a
-newly believed value is a span.  Base spans always stay.
+are the seeds of a search for identifiers that the forms miss.  An occurrence is a
+whole base span, or a token that holds a digit or an at sign and meets no base
+span.  It has two lexical patterns: the two words before it, and the words before
+and after it.  Patterns and values make a graph.  In each round Spark scores every
+pattern by the share of its different values that are believed to be of one kind,
+and accepts it for that kind when the share and the number of such values are
+high; then it scores every value by the accepted patterns it occurs in, and
+believes those with a high score that could be of the kind at all.  After the last
+round every token of a newly believed value is a span.  Base spans always stay.
 
 Edges are distinct pairs of pattern and value, gathered map-side first, so a very
 common word or identifier does not multiply; nothing is gathered per pattern.
 Tables between the rounds are stored, so Spark can split skewed joins.
 
 Positions are code points, the end exclusive.  The patterns are written so that
-Java neither recurses nor starts again inside a run it has already refused: a
-long text takes time in proportion to its length.
+Java neither recurses nor starts again inside a run it has already refused.
+Matches leave their text as rows with the length of the gap before them, and
+places are running sums per text, so a text takes time in proportion to its length
+and (but for a sort) to its matches.  Context words are taken whole, however long;
+a pattern of more than 80 code points is known by its digest.
 
 Defined results: NULL text counts as empty and has no spans; texts of any length
 are read whole; repeated rows get the same spans each; ids may be NULL or
@@ -27,7 +30,9 @@ repeated, since rows have numbers of their own; an empty table gives no rows;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidlens.llm.tables import packed
@@ -43,28 +48,41 @@ TOKEN = r"(?<![A-Za-z0-9_@%+./:-])[A-Za-z_%+./:-]*+[0-9@][A-Za-z0-9_@%+./:-]*+"
 
 ROUNDS = 3
 LEAST_VALUES, LEAST_SHARE, LEAST_SCORE = 5, 0.9, 0.9
-CONTEXT = 60  # code points looked at on either side of a token
+TOKENS = len(KINDS)  # the number that stands for tokens where base forms have theirs
+PIECE = 1_000  # code points of a piece, when parts of a long text are looked up
+SPANS = "array<struct<kind:int,start:bigint,end:bigint>>"
+
+
+def context(gap: Column, following: Column) -> tuple[Column, Column]:
+    """The patterns of an occurrence, NULL where words are missing: words before it, and words around it."""
+    before = F.lower(F.regexp_extract(gap, r"(?<!\S)(\S++\s++\S++)\s*+$", 1))
+    last = F.lower(F.regexp_extract(gap, r"(?<!\S)(\S++)\s*+$", 1))
+    after = F.lower(F.regexp_extract(following, r"^[.:/-]*+\s*+(\S++)", 1))
+
+    def short(pattern: Column) -> Column:
+        return F.when(F.length(pattern) <= 80, pattern).otherwise(F.sha2(pattern, 256))
+
+    return (F.when(before != "", short(F.concat(F.lit("before "), F.regexp_replace(before, r"\s+", " ")))),
+            F.when((last != "") & (after != ""), short(F.concat(F.lit("around "), last, F.lit(" _ "), after))))
+
 
+def matches(text: Column, kind: int, pattern: str, possible: Column) -> Column:
+    """(kind, gap, size, value, before, around) of all matches from left to right; nothing is searched unless ``possible``.
 
-def matches(text: Column, pattern: str, possible: Column) -> Column:
-    """(start, end, value) of all matches from left to right; nothing is searched unless ``possible``."""
+    ``gap`` is the number of code points between the end of the match before and this one.
+    """
     gaps = F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.from_json(F.lit("[]"), "array<struct<start:bigint,end:bigint,value:string,left:string,right:string>>")
-    pairs = F.zip_with(values, F.arrays_zip(gaps.alias("gap"), F.slice(gaps, 2, 1 << 30).alias("next")),
-                       lambda v, g: F.struct(v.alias("value"), g["gap"].alias("gap"), g["next"].alias("next")))
-    pairs = F.filter(pairs, lambda p: p["value"].isNotNull())
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["gap"])
-        end = start + F.length(p["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(
-            start.alias("start"), end.alias("end"), p["value"].alias("value"),
-            F.right(p["gap"], F.lit(CONTEXT)).alias("left"),
-            F.left(p["next"], F.lit(CONTEXT)).alias("right")))).alias("out"))
+    def one(value: Column, around: Column) -> Column:
+        gap, following = around["gap"], around["next"]
+        before, both = context(gap, following)
+        return F.when(value.isNotNull(), F.struct(
+            F.lit(kind).alias("kind"), F.length(gap).cast("bigint").alias("gap"), F.length(value).cast("bigint").alias("size"),
+            value.alias("value"), before.alias("before"), both.alias("around")))
 
-    return F.when(possible, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(empty)
+    found = F.zip_with(values, F.arrays_zip(gaps.alias("gap"), F.slice(gaps, 2, 1 << 30).alias("next")), one)
+    return F.when(possible, F.filter(found, lambda m: m.isNotNull()))
 
 
 def digits(value: Column) -> Column:
@@ -82,49 +100,46 @@ def passes_luhn(number: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(number)), F.lit(0), add) % 10 == 0
 
 
-def _valid(kind: str, value: Column) -> Column:
-    if kind == "ip":
-        return F.forall(F.split(value, r"\."), lambda p: F.coalesce(
-            F.regexp_replace(p, "^0+(?=.)", "").try_cast("int") <= 255, F.lit(False)))
+def valid(kind: Column, value: Column) -> Column:
+    """Whether a match of a base form counts."""
     number = digits(value)
-    if kind == "card":
-        return F.when(F.length(number).between(16, 19), passes_luhn(number)).otherwise(False)
-    if kind == "phone":
-        return F.length(number).between(8, 15)
-    return F.lit(True)
-
-
-def base_spans(text: Column) -> Column:
-    """Array of (kind, start, end), kinds in their order, then by start."""
-    found = {"email": matches(text, EMAIL, F.contains(text, F.lit("@"))),
-             "ip": matches(text, IP, text.rlike(r"[0-9]\.[0-9]")),
-             "card": matches(text, CARD, text.rlike(r"[0-9][\x20-]?[0-9]")),
-             "phone": matches(text, PHONE, F.contains(text, F.lit("+")))}
-
-    def of_kind(number: int, kind: str) -> Column:
-        valid = F.filter(found[kind], lambda m: _valid(kind, m["value"]))
-        return F.transform(valid, lambda m: F.struct(
-            F.lit(number).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
-
-    return F.concat(*[of_kind(i, kind) for i, kind in enumerate(KINDS)])
-
-
-def occurrences(text: Column, base: Column) -> Column:
-    """Array of (start, end, value, before, around, seed): tokens with their patterns; ``seed`` is a base kind."""
-    def one(m: Column) -> Column:
-        value = F.regexp_replace(m["value"], "[.:/-]+$", "")
-        end = m["start"] + F.length(value)
-        before = F.lower(F.regexp_extract(m["left"], r"([^\s]+\s+[^\s]+)\s*$", 1))
-        last = F.lower(F.regexp_extract(m["left"], r"([^\s]+)\s*$", 1))
-        after = F.lower(F.regexp_extract(m["right"], r"^[.:/-]*\s*([^\s]+)", 1))
-        hit = F.filter(base, lambda s: (s["start"] < end) & (s["end"] > m["start"]))
-        return F.struct(
-            m["start"].alias("start"), end.alias("end"), F.lower(value).alias("value"),
-            F.when(before != "", F.concat(F.lit("before "), F.regexp_replace(before, r"\s+", " "))).alias("before"),
-            F.when((last != "") & (after != ""), F.concat(F.lit("around "), last, F.lit(" _ "), after)).alias("around"),
-            F.get(hit, F.lit(0))["kind"].alias("seed"))
-
-    return F.transform(matches(text, TOKEN, text.rlike("[0-9@]")), one)
+    parts = F.forall(F.split(value, r"\."), lambda p: F.coalesce(
+        F.regexp_replace(p, "^0+(?=.)", "").try_cast("int") <= 255, F.lit(False)))
+    luhn = F.when(F.length(number).between(16, 19), passes_luhn(number)).otherwise(False)
+    return F.when(kind == 1, parts).when(kind == 2, luhn).when(kind == 3, F.length(number).between(8, 15)).otherwise(True)
+
+
+def matched(text: Column) -> Column:
+    """The matches of all base forms and of tokens."""
+    found = [matches(text, 0, EMAIL, F.contains(text, F.lit("@"))),
+             matches(text, 1, IP, text.rlike(r"[0-9]\.[0-9]")),
+             matches(text, 2, CARD, text.rlike(r"[0-9][\x20-]?[0-9]")),
+             matches(text, 3, PHONE, F.contains(text, F.lit("+"))),
+             matches(text, TOKENS, TOKEN, text.rlike("[0-9@]"))]
+    none = F.slice(matches(F.lit(""), 0, EMAIL, F.lit(True)), 1, 0)
+    return F.concat(*[F.coalesce(m, none) for m in found])
+
+
+def occurrences(found: DataFrame) -> DataFrame:
+    """(row, kind, start, end, value, before, around): base spans, and tokens that meet none; from (row, matched).
+
+    One exchange by text serves both windows.
+    """
+    each = found.select("row", F.posexplode("matched").alias("number", "m")).select("row", "number", "m.*").repartition("row")
+    so_far = Window.partitionBy("row", "kind").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    ended = F.sum(F.col("gap") + F.col("size")).over(so_far)
+    is_token = F.col("kind") == TOKENS
+    # A token ends before the points and slashes that close it.
+    value = F.when(is_token, F.regexp_replace("value", "(?<![.:/-])[.:/-]++$", "")).otherwise(F.col("value"))
+    placed = each.withColumn("start", ended - F.col("size")).withColumn("value", value).select(
+        "row", "kind", "start", (F.col("start") + F.length("value")).alias("end"), F.lower("value").alias("value"),
+        "before", "around").where(is_token | valid(F.col("kind"), F.col("value")))
+    # Of base spans that start before a token's end, does any reach over its start?
+    at = F.when(is_token, F.col("end") - 1).otherwise(F.col("start"))
+    by_place = Window.partitionBy("row").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(~is_token, F.col("end"))).over(by_place)
+    return placed.withColumn("at", at).withColumn("reach", reach).where(
+        ~is_token | F.col("reach").isNull() | (F.col("reach") <= F.col("start"))).drop("at", "reach")
 
 
 def could_be(kind: Column, value: Column) -> Column:
@@ -158,26 +173,34 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS, least_values: int = LEAST_
     return found.groupBy("value").agg(F.min("kind").alias("kind"))
 
 
-def find_spans(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
-               least_values: int = LEAST_VALUES) -> DataFrame:
-    """One row per document: ``doc`` (the columns of ``keep``), ``base`` and ``spans``, arrays of (kind, start, end)."""
-    kept = docs.columns if keep is None else keep
+def located(docs: DataFrame, text: str, keep: list[str], least_values: int) -> tuple[DataFrame, DataFrame]:
+    """Stored (doc, row) of every document, and (row, kind, start, end, base) of every span."""
     parts = packed(docs, F.coalesce(F.col(text), F.lit("")).alias("whole"))
-    doc = F.struct(*[F.col("doc").getField(c).alias(c) for c in kept]).alias("doc")
-    with_base = parts.select(doc, "whole", base_spans(F.col("whole")).alias("base"))
-    found = materialize(with_base.select(
-        "doc", "base", occurrences(F.col("whole"), F.col("base")).alias("tokens"),
-        F.monotonically_increasing_id().alias("row")), "personal-data")
-    tokens = found.select("row", F.explode("tokens").alias("t"))
+    doc = F.struct(*[F.col("doc").getField(c).alias(c) for c in keep]).alias("doc")
+    found = materialize(parts.select(
+        doc, F.monotonically_increasing_id().alias("row"), matched(F.col("whole")).alias("matched")), "personal-data")
+    all_found = materialize(occurrences(found), "occurrences")
+    is_base = F.col("kind") < TOKENS
     edges = materialize(
-        tokens.select(F.explode(F.array("t.before", "t.around")).alias("pattern"), "t.value", "t.seed")
+        all_found.select(F.explode(F.array("before", "around")).alias("pattern"), "value", F.when(is_base, F.col("kind")).alias("seed"))
         .where("pattern IS NOT NULL AND value <> ''").groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges")
     new = materialize(bootstrap(edges, least_values=least_values), "discovered")
-    added = (tokens.where("t.seed IS NULL").select("row", "t.start", "t.end", "t.value").join(new, "value")
-             .groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added")))
-    joined = found.select("doc", "base", "row").join(added, "row", "left")
-    return joined.select("doc", "base", F.array_sort(F.concat("base", F.coalesce("added", F.expr(
-        "cast(array() as array<struct<kind:int,start:bigint,end:bigint>>)")))).alias("spans"))
+    added = (all_found.where(~is_base).select("row", "start", "end", "value").join(new, "value")
+             .select("row", "kind", "start", "end", F.lit(False).alias("base")))
+    spans = all_found.where(is_base).select("row", "kind", "start", "end", F.lit(True).alias("base")).unionByName(added)
+    return found.select("doc", "row"), materialize(spans, "spans")
+
+
+def find_spans(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
+               least_values: int = LEAST_VALUES) -> DataFrame:
+    """One row per document: ``doc`` (the columns of ``keep``), ``base`` and ``spans``, arrays of (kind, start, end)."""
+    found, spans = located(docs, text, docs.columns if keep is None else keep, least_values)
+    span = F.struct("kind", "start", "end")
+    listed = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("base"), span))).alias("base"),
+                                      F.array_sort(F.collect_list(span)).alias("spans"))
+    none = F.expr(f"cast(array() as {SPANS})")
+    return found.join(listed, "row", "left").select(
+        "doc", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -199,33 +222,58 @@ def report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
                         F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind; spans that overlap are replaced as one."""
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def part(pieces: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to ``end`` of a text cut into pieces; none if the range is empty."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    inside = (start % PIECE).cast("int") + 1
+    one = F.substring(F.get(pieces, first), inside, (end - start).cast("int"))
+    more = F.concat(F.substring(F.get(pieces, first), inside, F.lit(PIECE)),
+                    F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+                    F.substring(F.get(pieces, last), F.lit(1), (end - last * F.lit(PIECE).cast("bigint")).cast("int")))
+    return F.when(end <= start, F.lit("")).when(first == last, one).otherwise(more)
+
+
+def masked(text: Column, cuts: Column, reach: Column) -> Column:
+    """The text with its cuts, (start, at, kind) in order, replaced by their kinds.
+
+    ``at`` is the end of what was cut before and ``reach`` the end of the last cut.
+    """
     name = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
-                                                                  s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
-                         F.get(name, s["kind"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.when((s["start"] >= acc["at"]), apart).otherwise(acc["out"]).alias("out"))
+    def put_together(pieces: Column) -> Column:
+        parts = F.transform(cuts, lambda c: F.concat(part(pieces, c["at"], c["start"]), F.get(name, c["kind"])))
+        return F.concat(F.array_join(parts, ""), part(pieces, reach, F.length(text).cast("bigint")))
+
+    return bound(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PIECE), F.lit(0)), put_together)
+
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(by_start, zero, step, rest)).otherwise(text)
+def cuts_of(spans: DataFrame) -> DataFrame:
+    """(row, cuts, reach) for ``masked``; spans that overlap are one cut, named by the first."""
+    before = Window.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    apart = spans.withColumn("at", F.coalesce(F.max("end").over(before), F.lit(0).cast("bigint")))
+    return apart.groupBy("row").agg(
+        F.array_sort(F.collect_list(F.when(F.col("start") >= F.col("at"), F.struct("start", "at", "kind")))).alias("cuts"),
+        F.max("end").alias("reach"))
 
 
-def mask(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
+def mask(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
+         least_values: int = LEAST_VALUES) -> DataFrame:
     """``docs`` with personal data masked; a column with the text's length follows it."""
-    found = find_spans(docs, text)
+    found, spans = located(docs, text, docs.columns, least_values)
+    own = F.col("doc").getField(text)
+    done = found.join(cuts_of(spans), "row", "left").select(
+        "doc", F.when(F.col("cuts").isNotNull(), masked(own, F.col("cuts"), F.col("reach"))).alias("masked"))
     columns = []
     for field in docs.schema:
         value = F.col("doc").getField(field.name)
         if field.name == text:
-            value = F.when(value.isNotNull(), masked(value, F.col("spans")))
+            value = F.coalesce("masked", value)
         elif field.name == length:
-            own = F.col("doc").getField(text)
-            value = F.when(F.size("spans") > 0, F.length(masked(own, F.col("spans"))).cast(field.dataType)).otherwise(value)
+            value = F.coalesce(F.length("masked").cast(field.dataType), value)
         columns.append(value.alias(field.name))
-    return found.select(F.struct(*columns).alias("doc")).select("doc.*")
+    return done.select(F.struct(*columns).alias("doc")).select("doc.*")

@@ -1,5 +1,6 @@
 """The document operators against brute force, on texts with every odd case."""
 
+import collections
 import hashlib
 import random
 import re
@@ -408,6 +409,80 @@ def test_mask(spark):
     assert pii.mask(docs.limit(0)).count() == 0
 
 
+def test_phones_and_cards_are_discovered_by_whole_spans(spark):
+    texts = [f"ring us at +1 (743) 555-38{i:02d} soon" for i in range(8)]
+    texts += [f"paid with card 4539 1488 0343 64{n:02d} yesterday" for n in range(100) if luhn(f"45391488034364{n:02d}")]
+    texts += [f"seen from host 10.0.0.{i} again" for i in range(8)]
+    unseen = ["ring us at 743-555-3899 soon", "paid with card 4539148803436468 yesterday", "seen from host fe80:0:0:1:9:8 again",
+              "seat 743-555-38 soon"]
+    many = "".join(f"paid with card {10**15 + i} yesterday\n" for i in range(5))
+    rows = {r.doc_id: r.spans for r in pii.report(table(spark, texts + unseen)).collect()}
+    n = len(texts)
+    assert rows[n] == "phone:11:23"
+    assert rows[n + 1] == ("card:15:31" if sum("paid" in t for t in texts) >= 5 else "")
+    assert rows[n + 2] == "ip:15:29" and rows[n + 3] == ""
+    # Values that are no cards make the context doubtful; repeated rows and NULL ids get the same spans.
+    found = pii.report(table(spark, [*texts, many, unseen[0], unseen[0]], [*range(n + 1), None, None])).collect()
+    assert [r.spans for r in found if r.doc_id is None] == ["phone:11:23"] * 2 and len(found) == n + 3
+    assert pii.report(table(spark, texts).limit(0)).count() == 0
+
+
+def bootstrap_expected(edges, rounds, least_values):
+    seeds = {(v, s) for _, v, s in edges if s is not None}
+    seed_values, believed, found = {v for v, _ in seeds}, set(seeds), set()
+    sizes = collections.Counter(p for p, _, _ in edges)
+    for _ in range(rounds):
+        hits = collections.Counter((p, k) for p, v, _ in edges for w, k in believed if w == v)
+        accepted = {key: n / sizes[key[0]] for key, n in hits.items()
+                    if n >= least_values and n / sizes[key[0]] >= pii.LEAST_SHARE}
+        doubt = collections.defaultdict(lambda: 1.0)
+        for p, v, s in edges:
+            for (q, k), share in accepted.items():
+                if q == p and s is None and v not in seed_values:
+                    doubt[v, k] *= max(1 - share, 1e-3)
+        found = {(v, k) for (v, k), d in doubt.items() if 1 - d >= pii.LEAST_SCORE and (k == 0) == ("@" in v)}
+        believed = seeds | found
+    return {v: min(k for w, k in found if w == v) for v, _ in found}
+
+
+def test_scores_of_the_graph(spark):
+    rng = random.Random(9)
+    edges = {}
+    for p in range(30):
+        share = rng.choice([0.0, 0.95, 1.0, 1.0])
+        for _ in range(rng.randrange(3, 40)):
+            v = rng.randrange(60) if rng.random() < share else rng.randrange(60, 90)
+            edges[f"p{p}", f"v{v}@x" if v < 80 else f"2025550{v:03d}"] = 0 if v < 45 else None
+    # A chain: values that only patterns of the round before give.
+    edges.update({("c1", f"v{i}@x"): 0 for i in range(40)} | {("c1", f"w{i}@x"): None for i in range(4)})
+    edges.update({("c2", f"w{i}@x"): None for i in range(4)} | {("c2", "v1@x"): 0, ("c2", "z@x"): None})
+    rows = [(p, v, s) for (p, v), s in edges.items()]
+    df = spark.createDataFrame(rows, "pattern string, value string, seed int")
+    for rounds in (1, 3):
+        want = bootstrap_expected(rows, rounds, 5)
+        assert {r.value: r.kind for r in pii.bootstrap(df, rounds, 5).collect()} == want and want
+
+
+def test_a_text_with_very_many_matches(spark):
+    text = "".join(f"user{i}@mail.org wrote\n" for i in range(200_000))
+    row = pii.report(table(spark, [text])).first()
+    assert row.n_email == 200_000
+    assert row.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base_expected(text)).encode()).hexdigest()
+    assert pii.mask(table(spark, [text])).first().text == "<EMAIL> wrote\n" * 200_000
+
+
+def test_masked_ranges_of_long_and_odd_texts(spark):
+    texts = personal_texts() + ["👍" * 2_500 + " a.b@c.org " + "é" * 1_990 + " 10.0.0.1", "+4539148803436467 12", "x" * 1_000]
+    found = {r.doc_id: r.text for r in pii.mask(table(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        out, at = "", 0
+        for start, end, kind in sorted((s, e, list(FORMS).index(k)) for k, s, e in base_expected(text)):
+            if start >= at:
+                out += text[at:start] + f"<{list(FORMS)[kind].upper()}>"
+            at = max(at, end)
+        assert found[i] == (None if text is None else out + text[at:])
+
+
 # --- Quality ---------------------------------------------------------------------------
 
 def test_quality(spark):
