@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlens.session import folder_path, new_table_path
+from bidlens.session import folder_path, materialize, new_table_path
 
 CRLF = "\r\n"
 # The alphabet of RFC 4648 base 32 and Java's digits of base 32.
@@ -43,22 +43,24 @@ def record_id(page_id: Column, row: Column) -> Column:
 
 def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html",
                   date: str = "2024-01-01T00:00:00Z", smallest_revisit: int = 0) -> None:
-    """Writes ``payloads`` (digest, payload, winner) and ``headers`` (record header bytes, digest) below ``path``."""
+    """Writes ``payloads`` (digest, payload) and ``headers`` (record header bytes, digest) below ``path``.
+
+    Rows are numbered once, in a stored table, so all that refers to a row means the same one.
+    """
     spark = pages.sparkSession
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"),
-                        F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8").alias("payload"),
-                        F.monotonically_increasing_id().alias("row"))
+                        F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8").alias("payload"))
+    numbered = materialize(rows.select(
+        "page_id", "url", F.monotonically_increasing_id().alias("row"), F.sha2("payload", 256).alias("digest"),
+        F.octet_length("payload").alias("length"), base32_sha1(F.col("payload")).alias("sha1")), "pages")
     # Grouping by digest and content both: a digest with two contents gives two rows here.
-    stored = (rows.select(F.sha2("payload", 256).alias("digest"), "payload",
-                          F.struct("page_id", "row").alias("place"))
-              .groupBy("digest", "payload").agg(F.max("place").alias("winner")))
+    stored = rows.select(F.sha2("payload", 256).alias("digest"), "payload").distinct()
     stored.write.parquet(folder_path(path, "payloads"))
-    winners = spark.read.parquet(folder_path(path, "payloads")).select("digest", "winner")
-    if not winners.groupBy("digest").count().where("count > 1").isEmpty():
+    digests = spark.read.parquet(folder_path(path, "payloads")).select("digest")
+    if not digests.groupBy("digest").count().where("count > 1").isEmpty():
         raise ValueError("one digest stands for two payloads: the archive can't address them by it")
-    entries = rows.select(
-        "page_id", "url", "row", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("length"),
-        base32_sha1(F.col("payload")).alias("sha1")).join(winners, "digest")
+    winners = numbered.groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("winner"))
+    entries = numbered.join(winners, "digest")
     revisit = (F.col("length") >= smallest_revisit) & (F.col("winner.row") != F.col("row"))
     lines = [
         F.lit("WARC/1.1"),
