@@ -411,10 +411,10 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """doc_id, n_shingles, component_id, kept of every document."""
     found = _with_components(docs, [doc_id], text, doc_id)
     alone = F.col("digest").isNull()
-    return found.select(
-        F.col(f"doc.{doc_id}").alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.when(alone, F.col(f"doc.{doc_id}")).otherwise(F.col("first.value")).alias("component_id"),
-        (alone | (F.col("first.tie0") == F.col("row"))).alias("kept"))
+    own = F.col(f"doc.{doc_id}")
+    component = F.when(alone, own).otherwise(F.col("first.value"))
+    return found.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"),
+                        own.eqNullSafe(component).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
