@@ -4,8 +4,8 @@ Each word gives hashed features: itself, and its character n-grams with marked
 ends.  A feature has a learned vector, a document is the average of the vectors
 of all its features, and a softmax layer tells the labels apart.  Vectors and
 layer are trained by stochastic gradient descent in numpy, one document a step,
-on a bounded sample: the ``SAMPLE_ROWS`` labelled rows per label with the
-smallest id digests that are not held out.  Texts of the sample are turned into
+on a bounded sample: the ``SAMPLE_ROWS`` labelled ids per label with the
+smallest id digests that are not held out, one row per id.  Texts of the sample are turned into
 feature counts by Spark; a document has at most ``BUCKETS`` of them, so what the
 driver gathers is bounded by 2 * SAMPLE_ROWS * BUCKETS counts.
 
@@ -18,8 +18,9 @@ shares the labels have among all rows that may be learned from.
 
 Defined results: NULL and empty texts have no features and get the score of the
 bias alone; whole texts are scored, however long; labels that are NULL or for
-unknown ids are not learned from, repeated label rows count as often as they
-stand there; repeated documents get the same score; with labels of one kind only,
+unknown ids are not learned from; an id that is labelled more than once has the
+label of most of its rows, 1 on a tie, and counts once; of documents with one id
+the smallest text is learned from; repeated documents get the same score; with labels of one kind only,
 every score is that label's; an empty table gives no rows; other columns are
 carried by ``keep_good`` and ignored by ``score``.
 """
@@ -82,15 +83,21 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["label", "buckets", "counts"])
 
 
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """(id, label) of every id that may be learned from, one row each."""
+    votes = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("label")).where(
+        "id IS NOT NULL AND label IN (0, 1)").where(~is_held_out(F.col("id")))
+    return votes.groupBy("id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """label, buckets, counts of the sampled documents."""
-    usable = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("label")).where(
-        "id IS NOT NULL AND label IN (0, 1)").where(~is_held_out(F.col("id")))
+    usable = usable_labels(labels)
     order = [F.md5(F.col("id").cast("string")), F.col("id")]
     chosen = [usable.where(F.col("label") == k).orderBy(*order).limit(rows) for k in (0, 1)]
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * rows rows at most
     return (docs.select(F.col("doc_id").alias("id"), "text").join(sample, "id")
-            .select(F.col("label").cast("int").alias("label"), "text")
+            .groupBy("id", "label").agg(F.min("text").alias("text")).select("label", "text")
             .mapInArrow(_counts, "label int, buckets array<int>, counts array<float>"))
 
 
@@ -107,8 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int
     order = sorted(range(len(y)), key=lambda i: (zlib.crc32(buckets[i].tobytes()), counts[i].sum(), int(y[i])))
     vectors, layer, bias = _descend([buckets[i] for i in order], [shares[i] for i in order],
                                     y[order], np.random.default_rng(seed))
-    usable = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~is_held_out(F.col("doc_id")))
-    total = {r["quality"]: r["n"] for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    total = {r["label"]: r["n"] for r in usable_labels(labels).groupBy("label").agg(F.count("*").alias("n")).collect()}
     seen = Counter(y.tolist())
     shift = math.log(total[1] / total[0]) - math.log(seen[1] / seen[0])
     return Model(vectors @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0] + shift))
