@@ -86,6 +86,23 @@ def events_of_rows(conversations: DataFrame) -> DataFrame:
         F.lit(0).cast("long").alias("seq"), F.lit("append").alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def streamed_events(conversations: DataFrame) -> DataFrame:
+    """Every row as a message with the history a chat service logs, which folds back to the row's text.
+
+    A first attempt is given up, a second one arrives in deltas; every other message
+    is then spoilt and put right by an edit.
+    """
+    half = F.floor(F.length("text") / 2).cast("int")
+    first = [("append", F.concat(F.reverse("text"), F.lit(" ..."))), ("regenerate", F.lit("")),
+             ("append", F.left("text", half)), ("append", F.lit("")), ("append", F.substring("text", half + 1, F.length("text")))]
+    second = [("append", F.lit(" oops")), ("edit", F.col("text"))]
+    history = F.array(*[F.struct(F.lit(i).cast("long").alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+                        for i, (kind, text) in enumerate(first + second)])
+    corrected = F.col("message") % 2 == 0
+    log = F.when(corrected, history).otherwise(F.slice(history, 1, len(first)))
+    return events_of_rows(conversations).select(*KEYS, F.explode(log).alias("event")).select(*KEYS, "event.*")
+
+
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
     return zip(*[column.to_pylist() for column in batch.columns])
 

@@ -58,12 +58,12 @@ CONTROL_TEXT = r"\### Assistant: </turn> ok"
 
 
 def op9_chat(spark: SparkSession, d: str) -> DataFrame:
-    """All conversations and one, number -7, whose texts hold the template's own control strings."""
+    """All conversations, as logs of attempts, deltas and edits, and one, number -7, whose texts hold the template's control strings."""
     added = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
     rows = read(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
-    return chat.format_and_read_back(chat.events_of_rows(rows))
+    return chat.format_and_read_back(chat.streamed_events(rows))
 
 
 def op10_warc(spark: SparkSession, d: str) -> DataFrame:

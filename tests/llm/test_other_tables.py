@@ -107,6 +107,12 @@ def test_log_is_folded_and_read_back(spark):
         assert got.n_turns == len(turns) and got.turns_sha256 == hashlib.sha256(whole.encode()).hexdigest()
         assert got.loss_chars == len(loss) and got.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
         assert got.formatted_chars == sum(len(chat.render(r[2] or "", r[3] or "")[0]) for r in turns)
+    log = chat.streamed_events(df)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"append", "regenerate", "edit"}
+    assert {r.conv_id: r for r in chat.format_and_read_back(log).collect()} == found
+    # Equal turns and repeated rows are messages of their own.
+    twice = chat.format_and_read_back(chat.streamed_events(df.union(df))).collect()
+    assert {r.conv_id: (r.n_turns, r.loss_chars) for r in twice} == {c: (2 * r.n_turns, 2 * r.loss_chars) for c, r in found.items()}
     assert chat.format_and_read_back(chat.events_of_rows(df.limit(0))).count() == 0
 
 
