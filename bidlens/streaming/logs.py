@@ -11,12 +11,16 @@ from bidlens.sources import rawlogs
 
 
 def stream_lines(spark: SparkSession, folder: str, log_type: str) -> DataFrame:
-    """New raw files of one log type below ``folder`` as a stream of lines."""
+    """New raw files of one log type below ``folder`` as a stream of lines.
+
+    Files whose path names no known season or no day are left out, as by the batch load.
+    """
     lines = (spark.readStream.format("text").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", f"{log_type}.*.txt*").load(folder)
              .select("value", F.col("_metadata.file_path").alias("_path")))
     parts = rawlogs._path_parts(F.col("_path"))
-    return lines.select(F.col("value").alias("line"), parts["season"].alias("season"), parts["date"].alias("date"))
+    known = lines.where(parts["season"].isNotNull() & (parts["log_type"] == log_type))
+    return known.select(F.col("value").alias("line"), parts["season"].alias("season"), parts["date"].alias("date"))
 
 
 def ingest_available(spark: SparkSession, folder: str, log_type: str, root: str,
@@ -34,7 +38,7 @@ def ingest_available(spark: SparkSession, folder: str, log_type: str, root: str,
 
 
 def hourly_volume(stream: DataFrame, timestamp: str = "timestamp", late: str = "2 hours") -> DataFrame:
-    """Rows and spend per hour; rows later than ``late`` may be left out."""
+    """Rows and spend per hour.  In append and update mode rows later than ``late`` may be left out; complete mode counts all."""
     timed = stream.withColumn("_t", F.col(timestamp).cast("timestamp")).withWatermark("_t", late)
     return timed.groupBy(F.window("_t", "1 hour")).agg(
         F.count("*").alias("n"), F.sum("payprice").alias("spend")).select(

@@ -124,6 +124,9 @@ def test_export_refuses_nan(spark, tmp_path):
 def test_stream_ingest_takes_each_file_once(spark, raw, tmp_path):
     from bidlens.streaming import logs
     root, state = str(tmp_path / "s"), str(tmp_path / "state")
+    other = tmp_path / "raw" / "elsewhere"
+    other.mkdir()
+    (other / "imp.20130608.txt").write_text(lines(4))  # no known season: left out, as by the batch load
     for _ in range(2):
         logs.ingest_available(spark, raw, "imp", root, state).awaitTermination()
     assert spark.read.parquet(f"{root}/impressions").count() == 8
