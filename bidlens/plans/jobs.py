@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from bidlens import schema
 from bidlens.functions.probability import recalibrate
 from bidlens.operators import auction, calibrate, metrics, models, quality, report, sample, split, sweep
 from bidlens.session import folder_path, materialize, new_table_path
-from bidlens.sources import artifacts, rawlogs, tables
+from bidlens.sources import artifacts, commits, rawlogs, tables
 
 
 def ingest(spark: SparkSession, raw_root: str, base: str, *, seasons: Sequence[int] = (2, 3),
@@ -20,49 +20,57 @@ def ingest(spark: SparkSession, raw_root: str, base: str, *, seasons: Sequence[i
     """Raw files to typed tables, one Spark job per log type; returns the new ledger rows.
 
     Files whose day is already in the ledger are skipped unless ``overwrite``.  A
-    load is all or nothing: typed rows go to a staging folder first, and only when
-    as many are there as lines were read are their days published.  Rows in are
-    the staged rows of a day, rows out those of the published day.
+    load is all or nothing: each table's rows are stored as a version that no reader
+    sees, and only when as many rows are there as lines were read, day by day, does
+    one commit publish the days of all tables.
     """
     root = tables.output_root(base, sample_run)
-    ledger_path = folder_path(root, "ledger")
+    ledger = tables.ledger_path(root)
     names = F.create_map(*[F.lit(x) for pair in schema.TABLE_OF_LOG_TYPE.items() for x in pair])
     files = rawlogs.discover_files(spark, raw_root, seasons, log_types).withColumn("table_name", names[F.col("log_type")])
-    todo = files if overwrite else tables.pending(files, tables.read_ledger(spark, ledger_path))
+    todo = files if overwrite else tables.pending(files, tables.read_ledger(spark, ledger))
     listing = todo.select("path", "table_name", "season", "date").collect()  # file names only
     # Counting while writing uses an observation.  A session that ever held one cannot
     # ship a fitted model to its tasks, so the loads run in a session of their own.
-    loader = spark.newSession()
-    result = None
+    loader, version, loaded = spark.newSession(), commits.new_version(), None
     for log_type in log_types:
         table = schema.TABLE_OF_LOG_TYPE[log_type]
-        mine = [f for f in listing if f["table_name"] == table]
-        if not mine:
+        paths = [f["path"] for f in listing if f["table_name"] == table]
+        if not paths:
             continue
-        paths = [f["path"] for f in mine]
+        require_ledger_table(spark, root, table)
         lines = rawlogs.sample_lines(loader, paths) if sample_run else rawlogs.read_lines(loader, paths)
-        staging, read = new_table_path(spark, f"staged-{table}"), Observation(f"{table}-in")
-        rawlogs.parse_lines(lines.observe(read, F.count(F.lit(1)).alias("lines")), log_type).write.partitionBy(
-            *schema.PARTITION_COLUMNS).parquet(staging)
-        staged = spark.read.parquet(staging)
-        require_whole_load(read.get["lines"], staged.count(), table)
-        tables.write_table(staged, root, table)
-        days = materialize(tables.count_by_day(staged, table, "rows_in"), "loaded-days")
-        published = tables.read_table(spark, root, table).join(F.broadcast(days.select("season", "date")), ["season", "date"])
-        rows = (days.join(tables.count_by_day(published, table, "rows_out"), tables.DAY_KEYS, "left").fillna(0, ["rows_out"])
-                .withColumn("loaded_at", F.current_timestamp()))
-        rows = materialize(rows.select(*[f.name for f in tables.LEDGER_SCHEMA]), "ledger")
-        tables.require_equal_counts(rows)
-        rows.write.mode("append").json(ledger_path)
-        result = rows if result is None else result.unionByName(rows)
+        read = Observation(f"{table}-in")
+        counted = lines.observe(read, F.count(F.lit(1)).alias("lines"), F.sum(day_mark()).alias("marks"))
+        stored = commits.write_version(rawlogs.parse_lines(counted, log_type), root, table, version)
+        days = materialize(tables.count_by_day(stored, table, "rows_out").withColumn("rows_in", F.col("rows_out")), "loaded-days")
+        found = days.agg(F.sum("rows_out").alias("lines"), F.sum(F.col("rows_out") * day_mark()).alias("marks")).first()
+        require_whole_load(read.get, found.asDict(), table)
+        loaded = days if loaded is None else loaded.unionByName(days)
     tables.write_manifest(spark, folder_path(root, "manifest"))
-    return result if result is not None else spark.createDataFrame([], tables.LEDGER_SCHEMA)
+    if loaded is None:
+        return spark.createDataFrame([], tables.LEDGER_SCHEMA)
+    number = commits.commit(spark, ledger, loaded, version)
+    return commits.all_commits(spark, ledger).where(F.col("number") == number).select(*tables.LEDGER_SCHEMA.names)
 
 
-def require_whole_load(lines: int, rows: int, table: str) -> None:
+def day_mark() -> Column:
+    """A number of 16 bits per day: summed over rows it shows rows that changed their day."""
+    return F.pmod(F.xxhash64("season", F.col("date").cast("string")), F.lit(1 << 16))
+
+
+def require_ledger_table(spark: SparkSession, root: str, table: str) -> None:
+    """A table with files but no commits was not written by a load; its days would vanish behind the first commit."""
+    if tables.table_exists(spark, root, table) and not commits.committed_paths(spark, root, table, tables.ledger_path(root)):
+        raise FileExistsError(f"{table!r} under {root} has files that no commit names: load into another root")
+
+
+def require_whole_load(read: Mapping, stored: Mapping, table: str) -> None:
     """The gate before publication: what was published before stays when it is shut."""
+    lines, rows = ({k: v or 0 for k, v in part.items()} for part in (read, stored))
     if lines != rows:
-        raise AssertionError(f"{table}: {lines} lines were read but {rows} rows were staged; nothing was published")
+        raise AssertionError(f"{table}: {lines['lines']} lines were read but {rows['lines']} rows were stored, "
+                             "or rows changed their day; nothing was published")
 
 
 def validate(spark: SparkSession, base: str, sample_run: bool = False) -> tuple[DataFrame, DataFrame]:

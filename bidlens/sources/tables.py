@@ -7,9 +7,10 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from bidlens import schema
+from bidlens.sources import commits
+from bidlens.sources.commits import DAY_KEYS
 
 LEDGER_SCHEMA = T.StructType([
     T.StructField("table_name", T.StringType()),
@@ -19,7 +20,6 @@ LEDGER_SCHEMA = T.StructType([
     T.StructField("rows_out", T.LongType()),
     T.StructField("loaded_at", T.TimestampType()),
 ])
-DAY_KEYS = ["table_name", "season", "date"]
 
 
 def output_root(base: str, sample: bool = False) -> str:
@@ -27,9 +27,13 @@ def output_root(base: str, sample: bool = False) -> str:
     return f"{base.rstrip('/')}/{'sample' if sample else 'processed'}"
 
 
+def ledger_path(root: str) -> str:
+    return f"{root}/ledger"
+
+
 def write_table(df: DataFrame, root: str, table: str, overwrite: bool = True,
                 rebalance: bool = False) -> None:
-    """Snappy Parquet under ``root/table/season=/date=``.
+    """Snappy Parquet under ``root/table/season=/date=``, for tables outside the ledger.
 
     Only the partitions present in ``df`` are replaced.  Raw files hold one day
     each, so a task writes one day and nothing is shuffled.  For input whose days
@@ -48,13 +52,16 @@ def file_system(spark: SparkSession, path: str):
 
 
 def table_exists(spark: SparkSession, root: str, table: str) -> bool:
-    """True when at least one Parquet file is there; an empty folder is not a table."""
+    """True when a day is committed, or a Parquet file is there without a ledger; an empty folder is not a table."""
+    if commits.committed_paths(spark, root, table, ledger_path(root)):
+        return True
     fs, path = file_system(spark, f"{root}/{table}")
     if not fs.exists(path):
         return False
     files = fs.listFiles(path, True)
     while files.hasNext():
-        if files.next().getPath().getName().endswith(".parquet"):
+        found = files.next().getPath().toString()
+        if found.endswith(".parquet") and f"/{table}/load=" not in found:
             return True
     return False
 
@@ -65,20 +72,23 @@ def folder_bytes(spark: SparkSession, path: str) -> int:
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A lazy scan with its partition columns; Catalyst prunes days and columns."""
+    """A lazy scan with its partition columns; Catalyst prunes days and columns.
+
+    Of a table in the ledger only the committed versions of its days are read.
+    """
+    days = commits.committed_paths(spark, root, table, ledger_path(root))
+    if days:
+        return spark.read.option("basePath", f"{root}/{table}").parquet(*days).drop("load")
     if not table_exists(spark, root, table):
         raise FileNotFoundError(f"no table {table!r} under {root}: run the ingest job first")
     return spark.read.parquet(f"{root}/{table}")
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The current row of every loaded day; a day that was loaded again has its last one."""
-    try:
-        rows = spark.read.schema(LEDGER_SCHEMA).json(path)
-    except AnalysisException:
-        return spark.createDataFrame([], LEDGER_SCHEMA)
-    last = F.max(F.struct("loaded_at", "rows_in", "rows_out")).alias("last")
-    return rows.groupBy(*DAY_KEYS).agg(last).select(*DAY_KEYS, "last.rows_in", "last.rows_out", "last.loaded_at")
+    """One row per loaded day, from the commits that make it up; a day that was loaded again has its last load's."""
+    now = commits.current_versions(spark, path)
+    return now.groupBy(*DAY_KEYS).agg(F.sum("rows_in").alias("rows_in"), F.sum("rows_out").alias("rows_out"),
+                                      F.max("loaded_at").alias("loaded_at"))
 
 
 def pending(files: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bidlens import schema
-from bidlens.sources import rawlogs
+from bidlens.session import materialize
+from bidlens.sources import commits, rawlogs, tables
 
 
 def stream_lines(spark: SparkSession, folder: str, log_type: str) -> DataFrame:
@@ -27,14 +30,24 @@ def ingest_available(spark: SparkSession, folder: str, log_type: str, root: str,
                      checkpoint: str) -> StreamingQuery:
     """Loads the files that came since the last run, each exactly once, and stops.
 
-    The checkpoint remembers which files are done; the sink commits a file's rows
-    together or not at all.
+    Every micro-batch is stored as a version named by its number and the checkpoint,
+    then committed to the ledger, where it adds to its days.  A batch that is run
+    again after a failure writes the same version and is committed once.
     """
-    typed = rawlogs.parse_lines(stream_lines(spark, folder, log_type), log_type)
-    table = schema.TABLE_OF_LOG_TYPE[log_type]
-    return (typed.writeStream.format("parquet").outputMode("append")
-            .option("checkpointLocation", f"{checkpoint}/{table}").partitionBy(*schema.PARTITION_COLUMNS)
-            .trigger(availableNow=True).start(f"{root}/{table}"))
+    table, ledger = schema.TABLE_OF_LOG_TYPE[log_type], tables.ledger_path(root)
+    stream = hashlib.md5(f"{checkpoint}/{table}".encode()).hexdigest()
+
+    def store(batch: DataFrame, number: int) -> None:
+        session, version = batch.sparkSession, f"s{stream}-{number}"
+        if commits.all_commits(session, ledger).where(F.col("version") == version).isEmpty():
+            stored = commits.write_version(rawlogs.parse_lines(batch, log_type), root, table, version)
+            days = materialize(tables.ledger_rows(batch, stored, table), "streamed-days")
+            tables.require_equal_counts(days)
+            if not days.isEmpty():
+                commits.commit(session, ledger, days, version, adds=True)
+
+    return (stream_lines(spark, folder, log_type).writeStream.foreachBatch(store)
+            .option("checkpointLocation", f"{checkpoint}/{table}").trigger(availableNow=True).start())
 
 
 def hourly_volume(stream: DataFrame, timestamp: str = "timestamp", late: str = "2 hours") -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bidlens.plans import jobs
-from bidlens.sources import artifacts, rawlogs, tables
+from bidlens.sources import artifacts, commits, rawlogs, tables
 
 IMP = ["b{i}", "2013060600010400{i}", "1", "u", "agent, \"x\" (y)", "1.2.3.*", "0", "0", "null", "d", "", "null", "s",
        "300", "250", "0", "1", "5", "c", "238", "70", "null", "1458", "1,2"]
@@ -130,3 +130,62 @@ def test_stream_ingest_takes_each_file_once(spark, raw, tmp_path):
     for _ in range(2):
         logs.ingest_available(spark, raw, "imp", root, state).awaitTermination()
     assert spark.read.parquet(f"{root}/impressions").count() == 8
+
+
+def test_a_killed_load_leaves_the_old_days(spark, raw, tmp_path, monkeypatch):
+    base, root = str(tmp_path / "out"), str(tmp_path / "out" / "processed")
+    jobs.ingest(spark, raw, base)
+    imp = tmp_path / "raw" / "training2nd" / "imp.20130606.txt.bz2"
+    imp.write_bytes(bz2.compress(lines(9).encode()))
+
+    def killed(*args, **kwargs):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(jobs.commits, "commit", killed)
+    with pytest.raises(KeyboardInterrupt):
+        jobs.ingest(spark, raw, base, overwrite=True)
+    monkeypatch.undo()
+    table = tables.read_table(spark, root, "impressions")
+    assert table.count() == 8 and "load" not in table.columns
+    assert {(r.table_name, r.rows_out) for r in tables.read_ledger(spark, f"{root}/ledger").collect()} == {
+        ("impressions", 5), ("impressions", 3), ("clicks", 2), ("bids", 7)}
+    jobs.ingest(spark, raw, base, overwrite=True)
+    assert tables.read_table(spark, root, "impressions").count() == 12
+    assert table.count() == 8                                       # a reader keeps the days it resolved
+    day = tables.read_table(spark, root, "impressions").where("date = '2013-06-07'")
+    assert day.count() == 3 and "PartitionFilters: [isnotnull(date" in day._jdf.queryExecution().toString()
+
+
+def test_commits_take_the_next_free_number(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    day = spark.createDataFrame([("t", 2, 5, 5)], "table_name string, season int, rows_in long, rows_out long").withColumn(
+        "date", F.lit("2013-06-06").cast("date"))
+    assert commits.commit(spark, ledger, day, "a") == 0
+    stale = commits.all_commits(spark, ledger).where("false").drop("number").withColumn("number", F.lit(0))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(commits, "all_commits", lambda *_: stale)     # a writer that has not seen commit 0
+        assert commits.commit(spark, ledger, day, "b") == 1
+    assert commits.commit(spark, ledger, day, "c", adds=True) == 2
+    assert sorted(r.version for r in commits.current_versions(spark, ledger).collect()) == ["b", "c"]
+    assert [(r.rows_in, r.rows_out) for r in tables.read_ledger(spark, ledger).collect()] == [(10, 10)]
+
+
+def test_files_without_a_commit_are_not_loaded_over(spark, raw, tmp_path):
+    base = str(tmp_path / "out")
+    tables.write_table(rawlogs.parse_lines(spark.createDataFrame([(lines(1).strip(), 2)], "line string, season int").withColumn(
+        "date", F.lit("2013-06-01").cast("date")), "imp"), f"{base}/processed", "impressions")
+    with pytest.raises(FileExistsError, match="no commit names"):
+        jobs.ingest(spark, raw, base)
+
+
+def test_streamed_files_stand_in_the_ledger(spark, raw, tmp_path):
+    from bidlens.streaming import logs
+    root, state = str(tmp_path / "s"), str(tmp_path / "state")
+    logs.ingest_available(spark, raw, "imp", root, state).awaitTermination()
+    late = tmp_path / "raw" / "training2nd" / "imp.20130606.txt"
+    late.write_text(lines(4))                                       # a second file of a loaded day
+    logs.ingest_available(spark, raw, "imp", root, state).awaitTermination()
+    assert {(str(r.date), r.rows_in, r.rows_out) for r in tables.read_ledger(spark, f"{root}/ledger").collect()} == {
+        ("2013-06-06", 9, 9), ("2013-06-07", 3, 3)}
+    assert tables.read_table(spark, root, "impressions").count() == 12
+    assert jobs.rawlogs.discover_files(spark, raw, log_types=("imp",)).count() == 3
