@@ -142,6 +142,9 @@ add("stored_table_roundtrip", """SELECT season, date, advertiser, count(*) AS n,
 FROM clk WHERE date >= DATE '2024-01-10' GROUP BY ALL""")
 add("load_ledger", """SELECT 'impressions' AS table_name, season, date, count(*) AS rows_in,
   count(*) FILTER (WHERE bidid <> (SELECT min(bidid) FROM imp)) AS rows_out FROM imp GROUP BY season, date""")
+add("committed_days", """SELECT 2 AS season, date, count(*) AS n, CAST(sum(payprice) AS BIGINT) AS spend, count(*) AS rows_in, count(*) AS rows_out
+FROM (SELECT date, payprice FROM imp WHERE date NOT IN (SELECT date FROM clk WHERE date >= DATE '2024-01-10')
+  UNION ALL SELECT date, payprice FROM clk WHERE date >= DATE '2024-01-10' UNION ALL SELECT date, payprice FROM conv) GROUP BY date""")
 add("pending_days", """SELECT DISTINCT 'impressions' AS table_name, season, date FROM imp
 WHERE date NOT IN (SELECT date FROM clk WHERE advertiser = '0' AND adexchange = '0')""")
 add("usertag_array", """SELECT event_id, CAST(len(t) AS INT) AS n_tags, list_max(t) AS max_tag,
@@ -158,9 +161,13 @@ FROM (SELECT advertiser, CASE WHEN bidid IN (SELECT bidid FROM conv) THEN 1 ELSE
 add("label_counts", "SELECT count(*) AS n_rows, CAST(sum(click) AS BIGINT) AS n_positive FROM lab")
 _RATE = "count(*) AS n, CAST(sum(click) AS BIGINT) AS n_positive, round(avg(click), 6) AS {name}"
 add("split_counts", f"SELECT split, {_RATE.format(name='positive_rate')} FROM lab GROUP BY split")
-add("split_coverage", """SELECT CAST(d AS DATE) AS date, 1 AS n_splits, TRUE AS covered_once
-FROM (SELECT unnest(generate_series((SELECT min(date) FROM imp)::TIMESTAMP, (SELECT max(date) FROM imp)::TIMESTAMP,
-  INTERVAL 1 DAY)) AS d)""")
+_RANGES = {"in use": ("2024-01-01", "2024-01-20", "2024-01-21", "2024-01-25", "2024-01-26", "2024-12-31"),
+           "loose": ("2024-01-03", "2024-01-20", "2024-01-18", "2024-01-25", "2024-01-28", "2024-12-31")}
+add("split_coverage", union("""SELECT '{0}' AS ranges, date, n AS n_splits, n = 1 AS covered_once FROM (SELECT date,
+  CAST(date BETWEEN '{1}' AND '{2}' AS INT) + CAST(date BETWEEN '{3}' AND '{4}' AS INT) + CAST(date BETWEEN '{5}' AND '{6}' AS INT) AS n
+  FROM days)""".format(name, *ends) for name, ends in _RANGES.items()),
+    """days AS (SELECT CAST(d AS DATE) AS date FROM (SELECT unnest(generate_series((SELECT min(date) FROM imp)::TIMESTAMP,
+  (SELECT max(date) FROM imp)::TIMESTAMP, INTERVAL 1 DAY)) AS d))""")
 add("feature_table", """SELECT event_id, bidid, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS time_text, userid, useragent, "IP",
   region, city, adexchange, domain, url, urlid, slotid, slotwidth, slotheight, slotvisibility, slotformat, slotprice,
   creative, advertiser, click FROM lab WHERE split = 'val'""")
@@ -188,7 +195,9 @@ add("sampling_record", """SELECT 0.1::DOUBLE AS negative_sampling_rate, CAST(42
   CAST(round_even(0.1 * q, 0) AS BIGINT) AS n_negative_sampled, round(p / (p + q)::DOUBLE, 6) AS positive_rate_before,
   round(p / (p + round_even(0.1 * q, 0))::DOUBLE, 6) AS positive_rate_after
 FROM (SELECT count(*) FILTER (WHERE click = 1) AS p, count(*) FILTER (WHERE click = 0) AS q FROM lab)""")
-add("sampling_record_check", "SELECT 0 AS n_differing, TRUE AS same")
+add("sampling_record_check", f"""SELECT 'all drawn rows' AS drawn, '' AS differing, TRUE AS same
+UNION ALL SELECT 'rows lost', CASE WHEN lost > 0 THEN 'n_negative_sampled|positive_rate_after' ELSE '' END, lost = 0
+FROM (SELECT count(*) AS lost FROM ({_sampled('lab', 0.1)}) WHERE click = 0 AND adexchange IS NULL)""")
 _WIDE = ["domain", "url", "slotid", "creative", "useragent", "IP", "userid"]
 _VOCAB = union(f"""SELECT '{f}' AS field, coalesce("{f}", '__null__') AS value, count(*) AS n,
   {'count(*) < 5' if f in _WIDE else 'FALSE'} AS is_rare FROM lab WHERE split = 'train' GROUP BY 2"""
@@ -402,8 +411,9 @@ add("metric_deltas", union(
     *[part for s in ("val", "test") for part in (
         f"{s}_rows AS (SELECT * FROM pred WHERE split = '{s}')", *_evaluation(f"{s}_before", f"{s}_rows", "p_calibrated"),
         *_evaluation(f"{s}_after", f"{s}_rows", "p_step"))])
-add("metrics_reproduce", union(f"SELECT '{m}' AS metric, round({m}, 6) AS found, TRUE AS agrees FROM ev" for m in _M),
-    "tst AS (SELECT * FROM pred WHERE split = 'test')", *_evaluation("ev", "tst", "p_calibrated"))
+add("metrics_reproduce", union(f"SELECT '{run}' AS run, '{m}' AS metric, round(ev.{m}, 6) AS found, abs(ev.{m} - o.{m}) <= 1e-9 AS agrees "
+                               f"FROM ev, {other} o" for run, other in (("again", "ev"), ("uncorrected", "raw")) for m in _M),
+    "tst AS (SELECT * FROM pred WHERE split = 'test')", *_evaluation("ev", "tst", "p_calibrated"), *_evaluation("raw", "tst", "p_raw"))
 
 
 def _bins_by(rows: str, score: str, name: str, group: str) -> list[str]:
@@ -497,11 +507,19 @@ add("oracle_cost", """SELECT advertiser, CAST(sum(click) AS BIGINT) AS clicks, C
   CAST(median(payprice) FILTER (WHERE click = 1) AS DOUBLE) AS median_price_clicked,
   CAST(median(payprice) AS DOUBLE) AS median_price_all FROM pool GROUP BY advertiser""")
 add("align_predictions", "SELECT event_id, round(p_click, 6) AS p_click FROM pool")
-add("alignment_report", """SELECT advertiser, CAST(count(*) FILTER (WHERE in_pool) AS BIGINT) AS pool_rows, count(*) AS prediction_rows,
-  CAST(0 AS BIGINT) AS colliding_keys, CAST(0 AS BIGINT) AS pool_unmatched, count(*) FILTER (WHERE NOT in_pool) AS predictions_unused
-FROM (SELECT advertiser, NOT payprice > bidprice AND payprice <> 0 AS in_pool FROM imp) GROUP BY advertiser""")
-add("same_rows", """SELECT (SELECT count(*) FROM imp) AS rows_a, (SELECT count(*) FROM pool) AS rows_b,
-  (SELECT count(*) FROM imp) - (SELECT count(*) FROM pool) AS only_a, CAST(0 AS BIGINT) AS only_b, CAST(0 AS BIGINT) AS different_count""")
+add("alignment_report", """SELECT coalesce(a.advertiser, b.advertiser) AS advertiser, CAST(coalesce(sum(a.n), 0) AS BIGINT) AS pool_rows,
+  CAST(coalesce(sum(b.n), 0) AS BIGINT) AS prediction_rows, count(*) FILTER (WHERE b.n > 1) AS colliding_keys,
+  CAST(coalesce(sum(a.n) FILTER (WHERE b.n IS NULL), 0) AS BIGINT) AS pool_unmatched,
+  CAST(coalesce(sum(b.n) FILTER (WHERE a.n IS NULL), 0) AS BIGINT) AS predictions_unused
+FROM (SELECT advertiser, bidid, ts, count(*) AS n FROM pool GROUP BY ALL) a
+FULL JOIN (SELECT advertiser, bidid, ts, CAST(sum(CASE WHEN slotvisibility = '1' THEN 1 ELSE 0 END + CASE WHEN adexchange IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS n
+  FROM imp WHERE adexchange IS NOT NULL OR slotvisibility = '1' GROUP BY ALL) b
+  ON a.advertiser = b.advertiser AND a.bidid = b.bidid AND a.ts = b.ts GROUP BY ALL""")
+add("same_rows", """SELECT CAST(sum(a.n) AS BIGINT) AS rows_a, CAST(sum(b.n) AS BIGINT) AS rows_b, count(*) FILTER (WHERE b.n IS NULL) AS only_a,
+  count(*) FILTER (WHERE a.n IS NULL) AS only_b, count(*) FILTER (WHERE a.n <> b.n) AS different_count
+FROM (SELECT advertiser, bidid, ts, count(*) AS n FROM imp WHERE date >= DATE '2024-01-05' GROUP BY ALL) a
+FULL JOIN (SELECT advertiser, bidid, ts, count(*) AS n FROM (SELECT advertiser, bidid, ts FROM pool UNION ALL SELECT advertiser, bidid, ts FROM clk)
+  GROUP BY ALL) b ON a.advertiser = b.advertiser AND a.bidid = b.bidid AND a.ts = b.ts""")
 add("correction_audit", """SELECT 0.0::DOUBLE AS recalibration_gap, 0.0::DOUBLE AS calibration_gap, round(g, 6) AS reverse_gap, 'val' AS fit_split,
   g > 1e-4 AS passed FROM (SELECT max(abs(w / (w + (1 - w) / 0.02::DOUBLE) - p_step)) AS g
     FROM (SELECT floor(p_raw * 1000) / 1000.0::DOUBLE AS w, p_step FROM pred))""")
@@ -597,7 +615,14 @@ add("strategy_wins", """SELECT strategy, round(min(win_rate_pool), 6) AS win_rat
   (SELECT count(*) FROM winners WHERE most_clicks = strategy) AS cells_by_clicks,
   (SELECT count(*) FROM winners WHERE lowest_cpc = strategy) AS cells_by_cpc FROM marked WHERE best GROUP BY strategy""",
     *_SWEEP, _MARKED, _WINNERS)
-add("sweep_gaps", "SELECT count(*) AS n_results, CAST(0 AS BIGINT) AS incomplete_cells, CAST(0 AS BIGINT) AS exhaustion_violations FROM settled", *_SWEEP)
+add("sweep_gaps", """SELECT 'whole' AS results, count(*) AS n_results, CAST(0 AS BIGINT) AS incomplete_cells, CAST(0 AS BIGINT) AS exhaustion_violations
+FROM settled UNION ALL SELECT 'damaged', CAST(sum(n) AS BIGINT), count(*) FILTER (WHERE n <> m AND n > 0), CAST(sum(v) AS BIGINT)
+FROM (SELECT count(*) FILTER (WHERE clicks_won % 3 <> 1) AS n, count(*) AS m, count(*) FILTER (WHERE clicks_won % 3 <> 1 AND stop IS NULL) AS v
+  FROM settled GROUP BY advertiser, budget_id, split_part(run_id, ':', 1))""", *_SWEEP)
+add("dashboard_readback", """SELECT advertiser, budget_id AS budget_label, strategy, grid_pos + 1 AS point, label, best AS is_best_by_clicks,
+  clicks_won, stop IS NOT NULL AS exhausted, round(total_spend::DOUBLE, 2) AS spend_fen,
+  CAST((SELECT date_diff('day', min(p.date), max(p.date)) + 1 FROM pool p WHERE p.advertiser = m.advertiser) * 24 AS INT) AS n_hours
+FROM marked m""", *_SWEEP, _MARKED)
 add("params_json", """SELECT advertiser, budget_id, strategy, label, grid_pos + 1 AS point, budget_id AS budget_label,
   round(coalesce(amount, base, low), 6) AS first_number FROM runs JOIN budgets USING (advertiser)""", _STATS, _RUNS, _BUDGETS)
 

@@ -18,7 +18,7 @@ from bidlens.operators import (auction, calibrate, features, labels, metrics, mo
                                prefix, profile, quality, report, sample, split, sweep)
 from bidlens.plans import event_logs as logs
 from bidlens.session import materialize, new_table_path
-from bidlens.sources import rawlogs, tables
+from bidlens.sources import commits, rawlogs, tables
 from bidlens.streaming import logs as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,6 +191,23 @@ def load_ledger(spark, d):
     return tables.ledger_rows(source, tables.read_table(spark, root, "impressions"), "impressions")
 
 
+@query
+def committed_days(spark, d):
+    """What readers see of four loads: all days, later days replaced by their clicks, one never committed, purchases added."""
+    root, table = new_table_path(spark, "committed"), "impressions"
+    typed = materialize(rawlogs.parse_lines(logs.raw_lines(logs.impressions(spark, d), "imp"), "imp", keep=logs.KEEP), "typed-lines")
+    clicks = typed.where("event_type = 'click' and date >= date'2024-01-10'")
+    purchases = typed.where("event_type = 'purchase'")
+    for name, rows, adds in (("first", typed, False), ("second", clicks, False), ("third", purchases, None), ("fourth", purchases, True)):
+        stored = commits.write_version(rows.drop(*EXTRA), root, table, name)
+        if adds is not None:
+            commits.commit(spark, tables.ledger_path(root), tables.ledger_rows(rows, stored, table), name, adds)
+    seen = tables.read_table(spark, root, table).groupBy("season", "date").agg(
+        F.count("*").alias("n"), F.sum("payprice").alias("spend"))
+    ledger = tables.read_ledger(spark, tables.ledger_path(root)).select("season", "date", "rows_in", "rows_out")
+    return seen.join(ledger, ["season", "date"], "full")
+
+
 @query
 def pending_days(spark, d):
     """Days that still have to be loaded when the ledger lists those with clicks."""
@@ -237,9 +254,15 @@ def split_counts(spark, d):
     return rounded(split.split_counts(labelled(spark, d), SPLIT))
 
 
+LOOSE_RANGES = {"train": ("2024-01-03", "2024-01-20"), "val": ("2024-01-18", "2024-01-25"), "test": ("2024-01-28", "2024-12-31")}
+
+
 @query
 def split_coverage(spark, d):
-    return split.split_coverage(split.calendar(logs.impressions(spark, d)), SPLIT)
+    """Every day against the split in use and against ranges that overlap and leave days out."""
+    days = split.calendar(logs.impressions(spark, d))
+    return split.split_coverage(days, SPLIT).withColumn("ranges", F.lit("in use")).unionByName(
+        split.split_coverage(days, split.Split(LOOSE_RANGES)).withColumn("ranges", F.lit("loose")))
 
 
 @query
@@ -275,12 +298,14 @@ def sampling_record(spark, d):
 
 @query
 def sampling_record_check(spark, d):
-    """The record re-derived from the drawn rows must equal the one written at the draw."""
+    """The record re-derived from the drawn rows, all of them and without those of no known exchange."""
     rows = labelled(spark, d)
     kept, record = sample.downsample_negatives(rows, 0.1, SEED, ["event_id"])
-    drawn = kept.where("click = 0").agg(F.count("*")).scalar()
-    return sample.same_record(record, record.withColumn("n_negative_sampled", drawn)).select(
-        F.size("differing").alias("n_differing"), "same")
+    kept = materialize(kept.select("event_id", "adexchange", "click"), "drawn")
+    cases = {"all drawn rows": kept, "rows lost": kept.where("adexchange is not null or click = 1")}
+    found = [sample.same_record(record, sample.record_of_draw(rows, part, 0.1, SEED)).select(
+        F.lit(name).alias("drawn"), F.array_join("differing", "|").alias("differing"), "same") for name, part in cases.items()]
+    return found[0].unionByName(found[1])
 
 
 @query
@@ -589,11 +614,14 @@ def matched_edge_bins_by_advertiser(spark, d):
 
 @query
 def metrics_reproduce(spark, d):
-    """A second evaluation of the same scores must reproduce the first to 1e-9."""
+    """A second evaluation of the same scores reproduces the first to 1e-9; one without the rate does not."""
     part = in_split(predictions(spark, d), "test")
     found = metrics.evaluate(part, "p_raw", model="a", split="test", sampling_rate=RATE)
-    again = metrics.evaluate(part.repartition("userid"), "p_raw", model="b", split="test", sampling_rate=RATE)
-    return metrics.metrics_reproduce(found, again).select("metric", F.round("found", 6).alias("found"), "agrees")
+    others = {"again": metrics.evaluate(part.repartition("userid"), "p_raw", model="b", split="test", sampling_rate=RATE),
+              "uncorrected": metrics.evaluate(part, "p_raw", model="c", split="test")}
+    rows = [metrics.metrics_reproduce(found, other).select(
+        F.lit(name).alias("run"), "metric", F.round("found", 6).alias("found"), "agrees") for name, other in others.items()]
+    return rows[0].unionByName(rows[1])
 
 
 @query
@@ -699,14 +727,18 @@ def align_predictions(spark, d):
 
 @query
 def alignment_report(spark, d):
+    """Scores that miss the rows of no known exchange and hold those of one visibility twice."""
     scores = logs.predictions(logs.impressions(spark, d), RATE)
+    scores = scores.where("adexchange is not null").unionByName(scores.where("slotvisibility = '1'"))
     return auction.alignment_report(pool(spark, d), scores)
 
 
 @query
 def same_rows(spark, d):
-    """Impressions against the pool by key: what the exclusions took away."""
-    return overlap.same_rows(logs.impressions(spark, d), pool(spark, d), ["advertiser", "bidid", "timestamp"])
+    """Later impressions against pool and clicks together: keys on one side, and keys held more often on the other."""
+    keys = ["advertiser", "bidid", "timestamp"]
+    later = logs.impressions(spark, d).where("date >= date'2024-01-05'")
+    return overlap.same_rows(later, pool(spark, d).select(keys).unionByName(logs.clicks(spark, d).select(keys)), keys)
 
 
 @query
@@ -840,6 +872,25 @@ def dashboard_json(spark, d):
     return report.dashboard_json(cells, report.dashboard_meta(cells, 2, tuple(map(str, days))))
 
 
+@query
+def dashboard_readback(spark, d):
+    """The exported JSON lines read again as text and opened to one row per point."""
+    _, _, hourly = _sweep(spark, d)
+    cells = report.dashboard_cells(hourly)
+    path = new_table_path(spark, "dashboard")
+    report.dashboard_json(cells, report.dashboard_meta(cells, 2, ("2024-01-01", "2024-12-31"))).write.text(path)
+    lines = spark.read.text(path).select(F.from_json("value", cells.schema).alias("c")).select("c.*").where("budget_label is not null")
+
+    def of(strategy: str):
+        return F.transform(f"strategies.{strategy}", lambda p: F.struct(F.lit(strategy).alias("strategy"), p.alias("p")))
+
+    points = F.concat(*map(of, report.STRATEGY_ORDER))
+    return lines.select("advertiser", "budget_label", F.explode(points).alias("x")).select(
+        "advertiser", "budget_label", "x.strategy", "x.p.point", "x.p.label", "x.p.is_best_by_clicks", "x.p.clicks_won",
+        F.col("x.p.exhaustion.exhausted").alias("exhausted"), F.round("x.p.spend_fen", 2).alias("spend_fen"),
+        F.size("x.p.spend_trajectory_fen").alias("n_hours"))
+
+
 @query
 def sweep_series(spark, d):
     _, _, hourly = _sweep(spark, d)
@@ -866,12 +917,17 @@ def strategy_wins(spark, d):
 
 @query
 def sweep_gaps(spark, d):
-    """Completeness of the sweep: points, labels and budgets per cell."""
+    """Completeness of the sweep, and of one that lost points and calls every budget exhausted."""
     _, results, _ = _sweep(spark, d)
-    broken = report.grid_gaps(results).agg(F.count("*")).scalar()
-    wrong = report.exhaustion_violations(results).agg(F.count("*")).scalar()
-    return results.agg(F.count("*").alias("n_results")).withColumns(
-        {"incomplete_cells": broken, "exhaustion_violations": wrong})
+    damaged = results.where("clicks_won % 3 <> 1").withColumn("budget_exhausted", F.lit(True))
+
+    def faults(part: DataFrame, name: str) -> DataFrame:
+        broken = report.grid_gaps(part).agg(F.count("*")).scalar()
+        wrong = report.exhaustion_violations(part).agg(F.count("*")).scalar()
+        return part.agg(F.count("*").alias("n_results")).withColumns(
+            {"results": F.lit(name), "incomplete_cells": broken, "exhaustion_violations": wrong})
+
+    return faults(results, "whole").unionByName(faults(damaged, "damaged"))
 
 
 @query
