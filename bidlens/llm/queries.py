@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from bidlens.llm import (bpe, chat, exact_dedup, hmm, near_dedup, packing, pii, prefix_trie, quality, sharding, topk,
                          vector_codes, warc)
 from bidlens.llm.tables import read
+from bidlens.session import new_table_path
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
 def op1_sharding(spark: SparkSession, d: str) -> DataFrame:
-    """Documents over 64 shards by id: doc_id, slot, shard."""
-    return sharding.assign(read(spark, d, "documents").select("doc_id"), ["doc_id"], SHARDS)
+    """Whole documents stored in 64 shards by id and read back: doc_id, slot, shard and the text's length in bytes."""
+    stored = sharding.write_shards(read(spark, d, "documents"), new_table_path(spark, "shards"), ["doc_id"], SHARDS)
+    return stored.select("doc_id", F.octet_length("text").alias("text_bytes"), "slot", "shard")
 
 
 def word_file() -> str:

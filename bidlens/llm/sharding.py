@@ -12,9 +12,13 @@ A key that holds a large share of the rows would fill one shard.  ``spread``
 names further columns that are mixed into the key where such keys exist; without
 it rows of one key stay together.
 
+``write_shards`` stores whole rows by shard, where they are read: no row moves to
+another task, and a hot shard gets several files in every task.
+
 Defined results: NULL keys are a key of their own; repeated rows go to the same
-shard; empty tables give no rows; ``assign`` adds its columns after those of the
-input and refuses names that are already there.
+shard; empty tables give no rows and no files.  ``slot`` and ``shard`` come after
+the input's columns; input columns of these names, in any case, keep their values
+under a name with underscores in front.
 """
 
 from __future__ import annotations
@@ -68,18 +72,33 @@ def table_frame(spark: SparkSession, names: Sequence[str], slots: int = SLOTS) -
     return spark.createDataFrame(list(enumerate(table)), "slot long, shard int")
 
 
+def free_names(columns: Sequence[str], taken: Sequence[str] = ("slot", "shard")) -> list[str]:
+    """The input's column names, with underscores before those that the operator needs."""
+    used, out = {c.lower() for c in [*columns, *taken]}, []
+    for name in columns:
+        new = name
+        if name.lower() in taken:
+            while new.lower() in used:
+                new = f"_{new}"
+            used.add(new.lower())
+        out.append(new)
+    return out
+
+
 def assign(df: DataFrame, keys: Sequence[str], names: Sequence[str], spread: Sequence[str] = (),
            slots: int = SLOTS) -> DataFrame:
     """Adds ``slot`` and ``shard`` to every row."""
-    if {"slot", "shard"} & set(df.columns):
-        raise ValueError("the input has a column named slot or shard")
-    placed = df.withColumn("slot", slot_of([F.col(c) for c in [*keys, *spread]], slots))
+    slot = slot_of([F.col(quoted(c)) for c in [*keys, *spread]], slots).alias("slot")
+    free = [F.col(quoted(c)).alias(new) for c, new in zip(df.columns, free_names(df.columns))]
+    placed = df.select(*free, slot)
     return placed.join(F.broadcast(table_frame(df.sparkSession, names, slots)), "slot").select(
-        *map(quoted, df.columns), "slot", "shard")
+        *map(quoted, placed.columns), "shard")
 
 
 def write_shards(df: DataFrame, path: str, keys: Sequence[str], names: Sequence[str],
-                 spread: Sequence[str] = (), rows_per_file: int = 1_000_000) -> None:
-    """One folder per shard, written where the rows are: no shuffle, hot shards get several files."""
-    (assign(df, keys, names, spread).drop("slot").write.option("maxRecordsPerFile", rows_per_file)
+                 spread: Sequence[str] = (), rows_per_file: int = 1_000_000) -> DataFrame:
+    """One folder per shard; returns the stored rows, ``shard`` last."""
+    placed = assign(df, keys, names, spread)
+    (placed.write.option("maxRecordsPerFile", rows_per_file).option("compression", "zstd")
      .partitionBy("shard").parquet(path))
+    return df.sparkSession.read.schema(placed.schema).parquet(path)

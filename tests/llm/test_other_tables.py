@@ -16,7 +16,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from bidlens.llm import chat, topk, warc
+from bidlens.llm import chat, sharding, topk, warc
 from bidlens.llm.oracles import ORACLES
 from bidlens.llm.queries import QUERIES
 from oracle_compare import TESTDATA, connect, difference
@@ -174,6 +174,14 @@ def test_query_covers_the_table(spark, name):
     assert len(rows) == len(ids) and {r.doc_id for r in rows} == ids
 
 
+def test_sharding_query_against_plain_look_ups(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()
+    filled = sharding.fill_table([f"shard-{i:03d}" for i in range(64)])
+    slots = {d.doc_id: int(hashlib.md5(f"={d.doc_id}".encode()).hexdigest()[:15], 16) % 65537 for d in docs}
+    assert sorted(map(tuple, QUERIES["op1_sharding"](spark, FOLDER).collect())) == sorted(
+        (d.doc_id, len(d.text.encode()), slots[d.doc_id], filled[slots[d.doc_id]]) for d in docs)
+
+
 def test_pipeline(spark):
     """Each stage's decisions against plain rules, on the small documents."""
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")

@@ -79,12 +79,25 @@ def test_shards_of_rows(spark, tmp_path):
     assert len(rows) == 4 and sharding.assign(docs.limit(0), ["doc_id"], names).count() == 0
     sharding.write_shards(docs.drop("a.b"), str(tmp_path / "s"), ["doc_id"], names)
     assert spark.read.parquet(str(tmp_path / "s")).count() == 4
-    with pytest.raises(ValueError):
-        sharding.assign(docs.withColumnRenamed("row", "slot"), ["doc_id"], names)
     with pytest.raises(ValueError):
         sharding.fill_table(names, 100)
 
 
+def test_shards_hold_whole_rows_of_any_columns(spark, tmp_path):
+    long_key = "k" * 500_000
+    docs = spark.createDataFrame(
+        [(long_key, "a", 1, "x" * 300_000), (long_key, "b", 2, ""), (None, None, None, None), ("c", "c", 3, "t"), ("c", "c", 3, "t")],
+        "`key.1` string, Slot string, shard int, text string")
+    names = [f"s{i}" for i in range(8)]
+    stored = sharding.write_shards(docs, str(tmp_path / "s"), ["key.1"], names)
+    assert stored.columns == ["key.1", "_Slot", "_shard", "text", "slot", "shard"]
+    assert Counter(map(tuple, stored.select("`key.1`", "_Slot", "_shard", "text").collect())) == Counter(map(tuple, docs.collect()))
+    assert len({(r.slot, r.shard) for r in stored.where("`key.1` like 'k%'").collect()}) == 1
+    spread = sharding.assign(docs, ["key.1"], names, spread=["shard"])
+    assert len({r.slot for r in spread.where("`key.1` like 'k%'").collect()}) == 2
+    assert sharding.write_shards(docs.limit(0), str(tmp_path / "e"), ["key.1"], names).count() == 0
+
+
 # --- Encoding and packing ------------------------------------------------------
 
 def test_round_trip_is_the_librarys(spark, texts):
